@@ -50,8 +50,7 @@ def detect_platform(text: Column) -> Column:
 
 def detect_version(tags: Column) -> Column:
     """Release number of the first tag that carries one."""
-    pattern = F.lit(f"(?iU){VERSION_PATTERN}")
-    found = F.transform(tags, lambda tag: F.regexp_extract(tag, pattern, 1))
+    found = F.transform(tags, lambda tag: F.regexp_extract(tag, f"(?iU){VERSION_PATTERN}", 1))
     return F.get(F.filter(found, lambda v: v != ""), F.lit(0))
 
 

@@ -166,13 +166,13 @@ def parse_answer(answer: Column) -> Column:
     trimmed = F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")
     fenced = F.regexp_replace(F.regexp_replace(trimmed, r"^```[^\n]*(?:\n|$)", ""), r"(?:^|\n)[ \t]*```[ \t]*$", "")
     body = F.when(trimmed.startswith("```"), fenced).otherwise(trimmed)
-    inner = F.regexp_extract(body, F.lit(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"), 0)
+    inner = F.regexp_extract(body, r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0)
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.nullif(inner, F.lit(""))))
 
 
 def parse_reply(answer: Column) -> Column:
     """JSON between the first opening and the last closing brace."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(answer, F.lit(r"(?s)\{.*\}"), 0), F.lit("")))
+    return F.try_parse_json(F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit("")))
 
 
 def label_clusters(clusters: DataFrame, *, model: Model = keyword_label) -> DataFrame:

@@ -11,7 +11,10 @@ from caseloom.schemas import TICKETS
 
 def normalize(raw: DataFrame, normalized_at: Column, *, redaction: bool = False,
               payload: str = "raw_payload") -> DataFrame:
-    """One canonical row per payload, plus ``errors`` naming the required fields that failed."""
+    """One canonical row per payload, plus ``errors`` naming the required fields that failed.
+
+    ``payload`` is a variant column, best from ``sources.raw``, whose readers parse each text once.
+    """
     p = F.col(payload)
     strings = lambda path: F.try_variant_get(p, path, "string")
     text = lambda path: F.coalesce(N.variant_text(p, path), F.lit(""))

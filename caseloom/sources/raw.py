@@ -25,10 +25,19 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.explode(found).alias("raw_payload"))
 
 
+def parse_payloads(frame: DataFrame, column: str, *keep: str) -> DataFrame:
+    """Payload variants of a text column; text that is no JSON gives no row.
+
+    The one-element explode keeps the optimizer from copying the parse into
+    every field read from the payload: each text is parsed once.
+    """
+    return frame.select(*keep, F.explode(F.array(F.try_parse_json(column))).alias("raw_payload")).where(
+        F.col("raw_payload").isNotNull())
+
+
 def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """Payload rows of JSON lines; lines that are no JSON give no row."""
-    lines = spark.read.text(path)
-    return lines.select(F.try_parse_json("value").alias("raw_payload")).where(F.col("raw_payload").isNotNull())
+    return parse_payloads(spark.read.text(path), "value")
 
 
 def unwrap_envelope(document: Column, depth: int = ENVELOPE_DEPTH) -> Column:
@@ -108,12 +117,12 @@ def land_raw(rows: DataFrame, path: str, backup_path: str | None = None) -> None
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(path)
-    return stored.withColumn("raw_payload", F.try_parse_json("raw_payload"))
+    stored = spark.read.parquet(path).withColumnRenamed("raw_payload", "payload")
+    return parse_payloads(stored, "payload", "ticket_key", "ingested_at", "job_id", "source")
 
 
 def current_raw(landed: DataFrame) -> DataFrame:
     """Last written payload per ticket key."""
     row = F.struct("ticket_key", F.to_json("raw_payload").alias("payload"), "ingested_at", "job_id", "source")
     latest = landed.groupBy("ticket_key").agg(F.max_by(row, F.struct("ingested_at", "job_id")).alias("row"))
-    return latest.select("row.*").withColumn("raw_payload", F.try_parse_json("payload")).drop("payload")
+    return parse_payloads(latest.select("row.*"), "payload", "ticket_key", "ingested_at", "job_id", "source")
