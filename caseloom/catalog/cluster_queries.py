@@ -1 +1,124 @@
+"""Cluster facts from vectors, and clustering itself."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caseloom.catalog import named
+from caseloom.catalog import views as V
+from caseloom.catalog.vector_queries import _SCORES, _top
+from caseloom.operators import clusters as C, density as D, feedback as H
+
+_MEANS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+x AS (SELECT vec_id, label, unnest(e) AS val, generate_subscripts(e, 1) AS dim FROM v),
+m AS (SELECT label, dim, avg(val) AS mean FROM x GROUP BY 1, 2)"""
+
+
+@named("centroid", "WITH " + _MEANS + """
+SELECT CAST(label AS BIGINT) AS cluster_id, CAST(dim - 1 AS INTEGER) AS dim, round(mean, 6) AS mean FROM m""")
+def centroid(spark, folder):
+    found = C.centroids(V.member_vectors(spark, folder))
+    return found.select("cluster_id", F.posexplode("centroid").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@named("representatives", "WITH " + _MEANS + """,
+d AS (SELECT label, vec_id, sqrt(sum((val - mean) ** 2)) AS distance FROM x JOIN m USING (label, dim) GROUP BY 1, 2)
+SELECT CAST(label AS BIGINT) AS cluster_id, vec_id AS ticket_id, round(distance, 6) AS distance,
+       CAST(row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) AS INTEGER) AS rank
+FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) <= 3""")
+def representatives(spark, folder):
+    return C.representatives(V.member_vectors(spark, folder)).withColumn("distance", F.round("distance", 6))
+
+
+@named("cluster_sizes", "SELECT CAST(label AS BIGINT) AS cluster_id, count(*) AS size FROM embeddings GROUP BY 1")
+def cluster_sizes(spark, folder):
+    return C.cluster_sizes(V.member_vectors(spark, folder))
+
+
+def _with_noise(spark, folder):
+    """Label 0 plays the noise."""
+    return V.member_vectors(spark, folder).withColumn("cluster_id", F.col("cluster_id") - 1)
+
+
+@named("cluster_counts", """
+SELECT count(DISTINCT label) FILTER (label > 0) AS n_clusters, count(*) FILTER (label = 0) AS n_noise FROM embeddings""")
+def cluster_counts(spark, folder):
+    return C.cluster_counts(_with_noise(spark, folder))
+
+
+@named("cluster_labels", "SELECT DISTINCT CAST(label - 1 AS BIGINT) AS cluster_id FROM embeddings WHERE label > 0")
+def cluster_labels(spark, folder):
+    return C.cluster_labels(_with_noise(spark, folder))
+
+
+_REACH = "WITH RECURSIVE " + _SCORES + ", " + _top(15) + """,
+g AS (SELECT query_id AS src, neighbour_id AS dst, rank, sqrt(greatest(0, 2 - 2 * score)) AS length FROM hits),
+core AS (SELECT src AS node, length AS core FROM g WHERE rank = 3),
+reach AS (SELECT g.src, g.dst, greatest(length, a.core, b.core) AS reach
+          FROM g JOIN core a ON a.node = g.src JOIN core b ON b.node = g.dst)"""
+
+
+@named("reach_edges", _REACH + " SELECT src, dst, round(reach, 6) AS reach FROM reach")
+def reach_edges(spark, folder):
+    return D.reach_edges(V.vectors(spark, folder)).withColumn("reach", F.round("reach", 6))
+
+
+@named("density_clusters", _REACH + """,
+e AS (SELECT src, dst FROM reach WHERE reach <= 1.09 UNION SELECT dst, src FROM reach WHERE reach <= 1.09),
+c(node, label) AS (SELECT id, id FROM v UNION SELECT e.dst, c.label FROM c JOIN e ON e.src = c.node AND c.label < e.dst),
+l AS (SELECT node, min(label) AS component FROM c GROUP BY 1),
+s AS (SELECT component, count(*) AS size FROM l GROUP BY 1 HAVING count(*) >= 5),
+n AS (SELECT component, row_number() OVER (ORDER BY size DESC, component) - 1 AS number FROM s)
+SELECT node AS id, CAST(coalesce(number, -1) AS BIGINT) AS cluster_id FROM l LEFT JOIN n USING (component)""")
+def density_clusters(spark, folder):
+    return D.density_clusters(V.vectors(spark, folder), eps=1.09)
+
+
+@named("density_clusters_auto")
+def density_clusters_auto(spark, folder):
+    """The cut is chosen from the data; checked on planted clusters in the tests."""
+    return D.density_clusters(V.vectors(spark, folder), eps="auto")
+
+
+@named("centre_clusters")
+def centre_clusters(spark, folder):
+    return D.centre_clusters(V.vectors(spark, folder), k=10)
+
+
+@named("reduced_dimensions")
+def reduced_dimensions(spark, folder):
+    reduced = D.reduce_dimensions(V.vectors(spark, folder))
+    return reduced.select("id", F.posexplode("vec").alias("dim", "value"))
+
+
+_EDITS = """edits AS (
+  SELECT event_id AS edited_at, CASE user_id % 4 WHEN 0 THEN 'move' WHEN 1 THEN 'split' ELSE 'duplicate' END AS action,
+         user_id AS ticket_id, event_id % 10 AS cluster_id, event_id % 97 AS target_id FROM events WHERE event_type <> 'error'),
+merges AS (SELECT DISTINCT user_id % 10 AS a, (user_id * 3) % 10 AS b FROM events
+           WHERE event_type = 'error' AND user_id % 30 = 7)"""
+
+
+@named("feedback", "WITH RECURSIVE " + _EDITS + """,
+base AS (SELECT vec_id AS ticket_id, CAST(label AS BIGINT) AS cluster_id FROM embeddings),
+newest AS (SELECT * FROM edits QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY edited_at DESC) = 1),
+moved AS (SELECT b.ticket_id, CASE WHEN n.action = 'duplicate' THEN t.cluster_id ELSE n.cluster_id END AS new_cluster,
+                 b.cluster_id AS old_cluster
+          FROM base b LEFT JOIN newest n USING (ticket_id) LEFT JOIN base t ON t.ticket_id = n.target_id),
+placed AS (SELECT ticket_id, coalesce(new_cluster, old_cluster) AS cluster_id, new_cluster IS NOT NULL AS human FROM moved),
+e AS (SELECT a, b FROM merges UNION SELECT b, a FROM merges),
+r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(label) AS merged FROM r GROUP BY 1)
+SELECT ticket_id, coalesce(merged, cluster_id) AS cluster_id,
+       CASE WHEN human OR merged <> cluster_id THEN 'human' ELSE 'auto' END AS assigned_by
+FROM placed LEFT JOIN m ON node = cluster_id""")
+def feedback(spark, folder):
+    """Events read as an edit log over the labelled vectors."""
+    e = V.table(spark, folder, "events")
+    user, merge = F.col("user_id"), F.col("event_type") == "error"
+    kind = F.when(user % 4 == 0, F.lit("move")).when(user % 4 == 1, F.lit("split")).otherwise(F.lit("duplicate"))
+    edits = e.where(~merge | (user % 30 == 7)).select(
+        F.col("event_id").alias("edited_at"), F.when(merge, F.lit("merge")).otherwise(kind).alias("action"),
+        F.when(~merge, user).alias("ticket_id"),
+        F.when(merge, user % 10).otherwise(F.col("event_id") % 10).alias("cluster_id"),
+        F.when(merge, (user * 3) % 10).otherwise(F.col("event_id") % 97).alias("target_id"))
+    return H.apply_feedback(V.member_vectors(spark, folder).select("ticket_id", "cluster_id"), edits)

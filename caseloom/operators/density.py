@@ -35,43 +35,51 @@ def reach_edges(vectors: DataFrame, *, neighbours: int = GRAPH_NEIGHBOURS, min_s
         "src", "dst", F.greatest("length", "src_core", "dst_core").alias("reach"))
 
 
-def _cut(vectors: DataFrame, edges: DataFrame, eps: float) -> DataFrame:
-    nodes = vectors.select(F.col("id").alias("node"))
-    return components(nodes, edges.where(F.col("reach") <= eps))
-
-
 def density_clusters(vectors: DataFrame, *, eps: float | str = "auto", min_cluster_size: int = MIN_CLUSTER_SIZE,
                      steps: int = 6, **options) -> DataFrame:
     """(id, cluster_id): numbered by falling size, -1 for noise; empty below the minimum size.
 
-    ``eps='auto'`` tries distance quantiles of the reachability graph and takes the cut whose clusters
-    hold most rows over the largest distance range.
+    Clusters are the components of the reachability graph cut at ``eps``.
+    ``eps='auto'`` cuts at several distance quantiles at once and takes the cut
+    whose clusters hold most rows over the largest distance range.
     """
     few = vectors.limit(min_cluster_size).count() < min_cluster_size
     if few:
         return vectors.limit(0).select("id", F.lit(NOISE).cast("bigint").alias("cluster_id"))
     edges = cut_lineage(reach_edges(vectors, **options))
-    if eps == "auto":
-        eps = _best_cut(vectors, edges, min_cluster_size, steps)
-    labelled = _cut(vectors, edges, eps)
-    return name_clusters(labelled, min_cluster_size)
-
-
-def _best_cut(vectors: DataFrame, edges: DataFrame, min_cluster_size: int, steps: int) -> float:
     shares = [(i + 1) / (steps + 1) for i in range(steps)]
-    levels = sorted(set(edges.agg(F.percentile_approx("reach", shares).alias("q")).first()["q"] or []))
-    if not levels:
-        return 0.0
-    best, best_score = levels[0], -1.0
-    for level, following in zip(levels, levels[1:] + [levels[-1] * 1.1]):
-        sizes = _cut(vectors, edges, level).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        facts = sizes.where(F.col("size") >= min_cluster_size).agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("rows")).first()
-        # One cluster holding everything says nothing; rows kept over the life of the cut decide.
-        score = facts["rows"] * (1 / level - 1 / following) * (facts["n"] > 1) if level > 0 else 0.0
+    levels = [float(eps)] if eps != "auto" else sorted(
+        set(edges.agg(F.percentile_approx("reach", shares).alias("q")).first()["q"] or [0.0]))
+    cuts = cut_lineage(_cuts(vectors, edges, levels))
+    chosen = _best_level(cuts, levels, min_cluster_size) if len(levels) > 1 else 0
+    return name_clusters(cuts.where(F.col("level") == chosen).drop("level"), min_cluster_size)
+
+
+def _cuts(vectors: DataFrame, edges: DataFrame, levels: list) -> DataFrame:
+    """(level, node, component) of every cut, found in one run over (level, node) pairs."""
+    every = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(eps).alias("eps")) for i, eps in enumerate(levels)])
+    nodes = vectors.select("id", F.explode(every).alias("cut")).select(
+        F.struct("cut.level", F.col("id").alias("node")).alias("node"))
+    kept = edges.select("src", "dst", F.explode(F.filter(every, lambda c: F.col("reach") <= c["eps"])).alias("cut"))
+    linked = kept.select(F.struct("cut.level", F.col("src").alias("node")).alias("src"),
+                         F.struct("cut.level", F.col("dst").alias("node")).alias("dst"))
+    found = components(nodes, linked)
+    return found.select("node.level", "node.node", F.col("component.node").alias("component"))
+
+
+def _best_level(cuts: DataFrame, levels: list, min_cluster_size: int) -> int:
+    """Level whose clusters keep most rows over the life of the cut; one row per level reaches the driver."""
+    sizes = cuts.groupBy("level", "component").agg(F.count(F.lit(1)).alias("size"))
+    facts = {r["level"]: r for r in sizes.where(F.col("size") >= min_cluster_size).groupBy("level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows")).collect()}
+    best, best_score = 0, -1.0
+    for i, (level, following) in enumerate(zip(levels, levels[1:] + [levels[-1] * 1.1])):
+        # One cluster holding everything says nothing.
+        several = i in facts and facts[i]["n"] > 1 and level > 0
+        score = facts[i]["rows"] * (1 / level - 1 / following) if several else 0.0
         if score > best_score:
-            best, best_score = level, score
-    return float(best)
+            best, best_score = i, score
+    return best
 
 
 def name_clusters(labelled: DataFrame, min_cluster_size: int) -> DataFrame:

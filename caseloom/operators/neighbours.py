@@ -33,18 +33,25 @@ COLUMN_ROWS = 4096
 SCORE_DIGITS = 9
 
 
-def unit(vector: Column) -> Column:
-    """The vector with length one; a zero vector stays zero."""
-    wide = vector.cast("array<double>")
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
-    # array(norm) binds the norm once for all elements.
-    return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
-
-
 def is_zero(vector: Column) -> Column:
+    """Stops at the first element that is not zero."""
     return ~F.exists(vector, lambda x: x != 0)
 
 
+def _matrix_reader():
+    """A function from a column of vectors to rows of length one; zero rows stay zero.
+
+    Vectors travel as they are stored and are scaled where they are compared.
+    """
+    def read(column):
+        import numpy as np
+        points = np.stack(column.to_numpy()).astype(np.float64)
+        norms = np.linalg.norm(points, axis=1, keepdims=True)
+        return np.divide(points, norms, out=points, where=norms > 0)
+
+    return read
+
+
 @dataclass
 class Cells:
     """Pivots and per-cell facts of one corpus.  Bounded by ``MAX_CELLS`` rows."""
@@ -64,13 +71,15 @@ def _home_cells(frame: DataFrame, pivots: list) -> DataFrame:
     schema = T.StructType(frame.schema.fields + [T.StructField("cell", T.IntegerType()),
                                                  T.StructField("reach", T.DoubleType())])
 
+    read = _matrix_reader()
+
     def assign(batches):
         import numpy as np
         table = np.asarray(pivots, dtype=np.float64)
         for batch in batches:
             if len(batch) == 0:
                 continue
-            points = np.stack(batch["vec"].to_numpy()).astype(np.float64)
+            points = read(batch["vec"])
             squared = np.maximum(0.0, (points ** 2).sum(1)[:, None] + (table ** 2).sum(1)[None, :] - 2 * points @ table.T)
             home = squared.argmin(axis=1)
             yield batch.assign(cell=home.astype("int32"), reach=np.sqrt(squared[np.arange(len(home)), home]))
@@ -84,7 +93,10 @@ def _build_cells(corpus: DataFrame, wanted: int | None) -> tuple[DataFrame, Cell
     if number == 1:
         return corpus.withColumn("cell", F.lit(0)), Cells([None], [total], [0.0], [2.0])
     picked = corpus.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(number).collect()
-    pivots = [list(row["vec"]) for row in picked]
+    pivots = []
+    for row in picked:
+        length = math.sqrt(sum(x * x for x in row["vec"]))
+        pivots.append([x / length if length else 0.0 for x in row["vec"]])
     placed = cut_lineage(_home_cells(corpus, pivots))
     facts = {r["cell"]: r for r in placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect()}
@@ -100,6 +112,7 @@ def _visits(queries: DataFrame, cells: Cells, own_cell: bool, other_cells: bool)
     """One row per query and cell to search; ``radius`` is the query's proven search radius."""
     schema = T.StructType([queries.schema["id"], queries.schema["vec"], T.StructField("cell", T.IntegerType())])
     pivots, rows, lo, hi = cells.pivots, cells.rows, cells.nearest, cells.farthest
+    read = _matrix_reader()
 
     def plan(batches):
         import numpy as np
@@ -111,7 +124,7 @@ def _visits(queries: DataFrame, cells: Cells, own_cell: bool, other_cells: bool)
         for batch in batches:
             if len(batch) == 0:
                 continue
-            points = np.stack(batch["vec"].to_numpy()).astype(np.float64)
+            points = read(batch["vec"])
             squared = np.maximum(0.0, (points ** 2).sum(1)[:, None] + (table ** 2).sum(1)[None, :] - 2 * points @ table.T)
             dist = np.sqrt(squared)
             home = dist.argmin(axis=1)
@@ -157,7 +170,7 @@ def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows:
     other_type = placed.schema["id"].dataType
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("neighbour_id", other_type),
                            T.StructField("score", T.DoubleType())])
-    digits, block = SCORE_DIGITS, 512
+    digits, block, read = SCORE_DIGITS, 512, _matrix_reader()
 
     def compare(a, b):
         import numpy as np
@@ -168,8 +181,7 @@ def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows:
             return empty
         b = b.sort_values("id", kind="stable")
         q_ids, c_ids = a["id"].to_numpy(), b["id"].to_numpy()
-        q = np.stack(a["vec"].to_numpy()).astype(np.float64)
-        c = np.stack(b["vec"].to_numpy()).astype(np.float64)
+        q, c = read(a["vec"]), read(b["vec"])
         take = min(k, len(c_ids))
         found_q, found_c, found_s = [], [], []
         for start in range(0, len(q_ids), block):
@@ -214,8 +226,10 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, *, exclude_self: bool
     """
     options = dict(exclude_self=exclude_self, earlier_only=earlier_only, min_score=min_score,
                    column_rows=column_rows)
-    queries = queries.select("id", unit(F.col("vec")).alias("vec")).where(F.col("vec").isNotNull())
-    corpus = corpus.select("id", unit(F.col("vec")).alias("vec")).where(F.col("vec").isNotNull())
+    queries = queries.select("id", "vec").where(F.col("vec").isNotNull())
+    corpus = corpus.select("id", "vec").where(F.col("vec").isNotNull())
+    # An upper bound is enough to size the columns, and counting before any filter stays cheap.
+    n_queries = queries.count()
     blank = None
     if not earlier_only and (min_score is None or min_score <= 0):
         blank = _blank_answers(queries.where(is_zero(F.col("vec"))), corpus, k, exclude_self)
@@ -223,7 +237,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, *, exclude_self: bool
     placed, layout = _build_cells(corpus, cells)
     if layout.single:
         visits = queries.withColumn("cell", F.lit(0))
-        found = _search(visits, placed, layout.rows, [queries.count()], k, **options)
+        found = _search(visits, placed, layout.rows, [n_queries], k, **options)
     else:
         found = _search_cells(cut_lineage(queries), placed, layout, k, options)
     best = _best(found, k)
