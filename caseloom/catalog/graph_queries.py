@@ -1 +1,148 @@
+"""Knowledge graph of the derived tickets."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caseloom.catalog import named
+from caseloom.catalog import views as V
+from caseloom.catalog.intake_queries import RAW_SQL, normalized
+from caseloom.catalog.vector_queries import _SCORES
+from caseloom.operators import graph as G, normalize as N
+from caseloom.operators.neighbours import duplicate_edges
+
+ENTITIES_SQL = RAW_SQL + """, found AS (
+  SELECT ticket_id, 'Environment' AS node_type, p AS name FROM (
+    SELECT ticket_id, CASE WHEN o_custkey % 5 = 0 THEN 'windows' WHEN o_custkey % 7 = 2 THEN 'linux'
+      WHEN o_custkey % 5 = 1 THEN 'macos' END AS p FROM raw WHERE dated) WHERE p IS NOT NULL
+  UNION ALL SELECT ticket_id, 'Environment', 'version ' || (o_custkey % 7) || '.' || (o_orderkey % 10)
+    FROM raw WHERE dated AND o_orderkey % 3 <> 0
+  UNION ALL SELECT ticket_id, 'ErrorSignature', CASE o_custkey % 5 WHEN 0 THEN '500' ELSE '7001' END
+    FROM raw WHERE dated AND o_custkey % 5 IN (0, 1)
+  UNION ALL SELECT ticket_id, 'Component', CASE o_custkey % 5 WHEN 1 THEN 'client' ELSE 'cloud' END
+    FROM raw WHERE dated AND o_custkey % 5 IN (1, 3)
+  UNION ALL SELECT ticket_id, 'Component', 'storage' FROM raw WHERE dated AND o_custkey % 5 = 3),
+placed AS (SELECT ticket_id, o_custkey % 20 AS cluster_id FROM raw WHERE dated),
+node AS (SELECT *, node_type || ':' || substr(md5(name), 1, 16) AS node_id FROM found)"""
+
+
+def _tickets(spark, folder):
+    return N.accepted(normalized(spark, folder))
+
+
+def _found(spark, folder):
+    return G.entities(_tickets(spark, folder))
+
+
+def _assignments(spark, folder):
+    t = _tickets(spark, folder)
+    return t.select("ticket_id", (F.col("assignee_id") % 20).alias("cluster_id"), F.lit(0.5).alias("confidence"))
+
+
+@named("graph_nodes", "WITH " + ENTITIES_SQL + """
+SELECT DISTINCT node_id, node_type, name FROM node
+UNION ALL SELECT 'Ticket:' || ticket_id, 'Ticket', 'Order ' || ticket_id FROM raw WHERE dated""")
+def graph_nodes(spark, folder):
+    return G.nodes(_tickets(spark, folder), _found(spark, folder)).drop("properties")
+
+
+@named("graph_mentions", "WITH " + ENTITIES_SQL + """
+SELECT md5('mentions|Ticket:' || ticket_id || '|' || node_id) AS edge_id, 'mentions' AS edge_type,
+       'Ticket:' || ticket_id AS src, node_id AS dst, CAST(1 AS DOUBLE) AS weight FROM node""")
+def graph_mentions(spark, folder):
+    return G.mentions(_found(spark, folder)).drop("properties")
+
+
+@named("graph_belongs_to", "WITH " + ENTITIES_SQL + """
+SELECT 'Ticket:' || ticket_id AS src, 'IssueCluster:' || cluster_id AS dst, '0.5' AS confidence FROM placed""")
+def graph_belongs_to(spark, folder):
+    return G.belongs_to(_assignments(spark, folder)).select("src", "dst", F.col("properties")["confidence"].alias("confidence"))
+
+
+def _shares(kinds: str, share: float) -> str:
+    return f"""WITH {ENTITIES_SQL},
+n AS (SELECT cluster_id, node_id, count(*) AS n FROM node JOIN placed USING (ticket_id) WHERE node_type IN ({kinds}) GROUP BY 1, 2),
+s AS (SELECT cluster_id, count(*) AS size FROM placed GROUP BY 1)
+SELECT 'IssueCluster:' || cluster_id AS src, node_id AS dst, round(n / size, 6) AS weight
+FROM n JOIN s USING (cluster_id) WHERE n / size >= {share}"""
+
+
+@named("graph_caused_by", _shares("'Component', 'Feature'", 0.2))
+def graph_caused_by(spark, folder):
+    found = G.caused_by(_found(spark, folder), _assignments(spark, folder))
+    return found.select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@named("graph_mitigated_by", f"""WITH {ENTITIES_SQL},
+fix AS (SELECT ticket_id, CASE WHEN o_custkey % 5 = 1 THEN 'update client' ELSE 'restart' END AS name FROM raw WHERE dated
+        AND o_orderstatus = 'F'),
+n AS (SELECT cluster_id, name, count(*) AS n FROM fix JOIN placed USING (ticket_id) GROUP BY 1, 2),
+s AS (SELECT cluster_id, count(*) AS size FROM placed GROUP BY 1)
+SELECT 'IssueCluster:' || cluster_id AS src, 'Fix:' || substr(md5(name), 1, 16) AS dst, round(n / size, 6) AS weight
+FROM n JOIN s USING (cluster_id) WHERE n / size >= 0.2""")
+def graph_mitigated_by(spark, folder):
+    """The fix of a solved ticket follows from its description."""
+    t = _tickets(spark, folder)
+    fix = F.when(F.col("assignee_id") % 5 == 1, F.lit("update client")).otherwise(F.lit("restart"))
+    fixes = t.where(F.col("status") == "solved").select("ticket_id", F.lit("Fix").alias("node_type"), fix.alias("name"))
+    found = G.mitigated_by(fixes, _assignments(spark, folder))
+    return found.select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@named("graph_duplicate_of", "WITH " + _SCORES + """
+SELECT 'Ticket:' || query_id AS src, 'Ticket:' || neighbour_id AS dst FROM scores
+WHERE score >= 0.45 AND neighbour_id < query_id
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) = 1""")
+def graph_duplicate_of(spark, folder):
+    return G.duplicate_of(duplicate_edges(V.vectors(spark, folder), 0.45)).select("src", "dst")
+
+
+@named("entity_weights", "WITH " + ENTITIES_SQL + " SELECT node_type, name, count(*) AS n_tickets FROM found GROUP BY 1, 2")
+def entity_weights(spark, folder):
+    return G.edge_weights(_found(spark, folder))
+
+
+@named("shared_entities", "WITH " + ENTITIES_SQL + """,
+n AS (SELECT *, count(*) OVER (PARTITION BY node_type, name) AS n_tickets FROM found)
+SELECT ticket_id, count(*) AS n_entities, CAST(sum(n_tickets - 1) AS BIGINT) AS n_links, min(n_tickets) AS rarest
+FROM n GROUP BY 1""")
+def shared_entities(spark, folder):
+    return G.shared_entities(_found(spark, folder))
+
+
+@named("communities", "WITH RECURSIVE " + ENTITIES_SQL + """,
+few AS (SELECT node_type, name FROM found GROUP BY 1, 2 HAVING count(*) <= 0.05 * (SELECT count(DISTINCT ticket_id) FROM found)),
+e AS (SELECT DISTINCT ticket_id AS t, node_id AS n FROM node SEMI JOIN few USING (node_type, name)),
+ent AS (SELECT DISTINCT a.n AS x, b.n AS y FROM e a JOIN e b USING (t)),
+r(x, label) AS (SELECT n, n FROM (SELECT DISTINCT n FROM e) UNION SELECT ent.y, r.label FROM r JOIN ent USING (x)),
+l AS (SELECT x, min(label) AS root FROM r GROUP BY 1),
+rooted AS (SELECT t, min(root) AS root FROM e JOIN l ON x = n GROUP BY 1),
+named AS (SELECT root, min('Ticket:' || t) AS first FROM rooted GROUP BY 1),
+low AS (SELECT root, least(first, root) AS community FROM named)
+SELECT DISTINCT ticket_id, coalesce(community, 'Ticket:' || ticket_id) AS community
+FROM found LEFT JOIN rooted ON t = ticket_id LEFT JOIN low USING (root)""")
+def communities(spark, folder):
+    """Tickets connected through entities that at most one ticket in twenty names."""
+    return G.communities(_found(spark, folder), max_share=0.05)
+
+
+@named("stabilized_clusters", "WITH " + ENTITIES_SQL + """,
+noisy AS (SELECT p.ticket_id, CASE WHEN o_orderstatus = 'O' THEN -1 ELSE cluster_id END AS cluster_id,
+                 o_custkey % 5 AS community FROM placed p JOIN raw USING (ticket_id)),
+n AS (SELECT community, cluster_id, count(*) AS n FROM noisy WHERE cluster_id >= 0 GROUP BY 1, 2),
+top AS (SELECT community, cluster_id AS first_cluster FROM n
+         QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, cluster_id) = 1)
+SELECT ticket_id, CASE WHEN cluster_id < 0 THEN first_cluster ELSE cluster_id END AS cluster_id FROM noisy JOIN top USING (community)""")
+def stabilized_clusters(spark, folder):
+    """Open tickets are noise; the community is the description they share."""
+    t = _tickets(spark, folder)
+    noisy = t.select("ticket_id", F.when(F.col("status") == "open", F.lit(-1)).otherwise(F.col("assignee_id") % 20)
+                     .cast("bigint").alias("cluster_id"))
+    return G.stabilize(noisy, t.select("ticket_id", (F.col("assignee_id") % 5).alias("community")))
+
+
+@named("tickets_for_node", "WITH " + ENTITIES_SQL + """
+SELECT ticket_id, 'Order ' || ticket_id AS subject FROM found WHERE node_type = 'Component' AND name = 'cloud'""")
+def tickets_for_node(spark, folder):
+    picked = G.node_id(F.lit("Component"), F.lit("cloud"))
+    return G.tickets_for_node(_tickets(spark, folder), G.mentions(_found(spark, folder)), picked).select("ticket_id", "subject")

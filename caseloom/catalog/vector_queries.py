@@ -123,11 +123,13 @@ def embed_text(spark, folder):
     """Vectors of all documents, compared by their filled places, signs and length."""
     d = V.table(spark, folder, "documents").select("doc_id", "text")
     vectors = E.assert_dimension(E.embed(d, "doc_id"), E.DIMENSION)
-    cells = vectors.select("doc_id", F.posexplode("vec").alias("bucket", "x")).where(F.col("x") != 0)
-    return cells.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_filled"), F.count_if(F.col("x") > 0).alias("n_positive"),
-        F.sum(F.col("bucket") + 1).alias("places"),
-        (F.abs(F.sum(F.col("x").cast("double") * F.col("x").cast("double")) - 1) < 1e-5).alias("unit_length"))
+    squares = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    places = F.transform("vec", lambda x, i: F.when(x != 0, i + 1).otherwise(F.lit(0)))
+    return vectors.where(F.exists("vec", lambda x: x != 0)).select(
+        "doc_id", F.size(F.filter("vec", lambda x: x != 0)).cast("bigint").alias("n_filled"),
+        F.size(F.filter("vec", lambda x: x > 0)).cast("bigint").alias("n_positive"),
+        F.aggregate(places, F.lit(0).cast("bigint"), lambda total, p: total + p).alias("places"),
+        (F.abs(squares - 1) < 1e-5).alias("unit_length"))
 
 
 def message_hits(spark, folder, k=5):
