@@ -22,7 +22,7 @@ DESCRIPTIONS = ["Fails on Windows with error 500", "Client crash on macbook, cod
 
 def payload_text(spark, folder):
     """(ticket_id, payload): orders written as raw ticket JSON, with gaps and odd values."""
-    o = V.table(spark, folder, "orders")
+    o = V.texts(spark, folder, "orders")
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     code = F.substring("o_orderpriority", 1, 1)

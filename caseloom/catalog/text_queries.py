@@ -42,7 +42,7 @@ def _redacted_sql(column: str) -> str:
 WITH h AS (SELECT doc_id, {_HIDE} AS t FROM documents)
 SELECT doc_id, {_unhide(_redacted_sql('t'))} AS redacted_text FROM h""")
 def redact(spark, folder):
-    return V.table(spark, folder, "documents").select("doc_id", R.redact(F.col("text")).alias("redacted_text"))
+    return V.texts(spark, folder, "documents").select("doc_id", R.redact(F.col("text")).alias("redacted_text"))
 
 
 def _stats_sql() -> str:
@@ -61,7 +61,7 @@ def _stats_sql() -> str:
 
 @named("redact_stats", _stats_sql())
 def redact_stats(spark, folder):
-    found = R.redact_with_stats(V.table(spark, folder, "documents"), "text")
+    found = R.redact_with_stats(V.texts(spark, folder, "documents"), "text")
     return found.select("doc_id", F.explode("counts").alias("pattern", "hits"))
 
 
@@ -69,7 +69,7 @@ def redact_stats(spark, folder):
 WITH h AS (SELECT conv_id, turn, role, {_HIDE} AS t FROM conversations)
 SELECT conv_id, turn, {_unhide(_redacted_sql('t'))} AS body_redacted FROM h""")
 def redacted_threads(spark, folder):
-    return V.table(spark, folder, "conversations").select(
+    return V.texts(spark, folder, "conversations").select(
         "conv_id", "turn", R.redact(F.col("text")).alias("body_redacted"))
 
 

@@ -121,7 +121,7 @@ SELECT doc_id, count(*) FILTER (x <> 0) AS n_filled, count(*) FILTER (x > 0) AS
 FROM s JOIN n USING (doc_id) WHERE norm > 0 GROUP BY 1""")
 def embed_text(spark, folder):
     """Vectors of all documents, compared by their filled places, signs and length."""
-    d = V.table(spark, folder, "documents").select("doc_id", "text")
+    d = V.texts(spark, folder, "documents").select("doc_id", "text")
     vectors = E.assert_dimension(E.embed(d, "doc_id"), E.DIMENSION)
     squares = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     places = F.transform("vec", lambda x, i: F.when(x != 0, i + 1).otherwise(F.lit(0)))
@@ -135,7 +135,7 @@ def embed_text(spark, folder):
 def message_hits(spark, folder, k=5):
     """Incoming messages (benchmark texts) against all documents, through the default embedder."""
     messages = V.table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
-    documents = V.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = V.texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     # Stored once: the search reads the corpus more than one time.
     return B.nearest(cut_lineage(E.embed(messages, "id")), cut_lineage(E.embed(documents, "id")), k)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caseloom.session import spread
+
 AS_OF = "2001-07-01"
 
 
@@ -11,6 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on."""
+    return spread(table(spark, folder, name))
+
+
 def order_tickets(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as tickets of the cluster (customer) they belong to."""
     o = table(spark, folder, "orders")

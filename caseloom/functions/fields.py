@@ -60,59 +60,56 @@ def build_fulltext(subject: Column, description: Column, bodies: Column) -> Colu
     return F.array_join(F.filter(parts, lambda p: p.rlike(r"(?U)\S")), "\n\n")
 
 
-def variant_text(value: Column, path: str) -> Column:
-    """A string field of a payload; null when the field has another type."""
-    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    return F.when(kind == "STRING", F.try_variant_get(value, path, "string"))
+# Typed view of a raw payload.  Fields whose JSON type matters stay variants.
+PAYLOAD = (
+    "struct<id:string, url:string, created_at:variant, updated_at:variant, solved_at:variant, status:variant, "
+    "priority:variant, type:string, subject:variant, description:variant, tags:array<string>, "
+    "comments:array<struct<id:bigint, author_id:bigint, created_at:variant, body:string, public:variant>>, "
+    "custom_fields:array<struct<id:string, value:variant>>, "
+    "attachments:array<struct<id:bigint, file_name:string, filename:string, content_type:string, size:bigint, "
+    "content_url:string>>, assignee_id:bigint, requester_id:bigint, group_id:bigint>")
 
 
-def variant_items(value: Column, path: str) -> Column:
-    """An array field of a payload; empty when missing or not an array."""
-    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+def as_text(value: Column) -> Column:
+    """A variant that is a string; null for any other type."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+def items(column: Column) -> Column:
+    """Array entries that are present; empty when the field is missing or no array."""
+    kind = F.filter(column, lambda i: i.isNotNull())
+    return F.coalesce(kind, F.array())
 
 
-def normalize_comments(items: Column, fallback_time: Column) -> Column:
+def normalize_comments(comments: Column, fallback_time: Column) -> Column:
     """Comment structs; a comment marked ``public: false`` is a system note."""
 
     def one(item: Column) -> Column:
-        public = F.try_variant_get(item, "$.public", "variant")
-        hidden = (F.schema_of_variant(public) == "BOOLEAN") & ~F.try_variant_get(item, "$.public", "boolean")
-        hidden = F.coalesce(hidden, F.lit(False))
-        body = F.coalesce(F.try_variant_get(item, "$.body", "string"), F.lit(""))
+        # Only a JSON false hides a comment, the text "false" does not.
+        hidden = F.coalesce((F.schema_of_variant(item["public"]) == "BOOLEAN")
+                            & ~F.try_variant_get(item["public"], "$", "boolean"), F.lit(False))
+        body = F.coalesce(item["body"], F.lit(""))
         return F.struct(
-            F.try_variant_get(item, "$.id", "bigint").alias("id"),
-            F.try_variant_get(item, "$.author_id", "bigint").alias("author_id"),
+            item["id"].alias("id"), item["author_id"].alias("author_id"),
             F.when(hidden, F.lit("system")).otherwise(F.lit("end-user")).alias("author_role"),
-            F.coalesce(parse_timestamp(variant_text(item, "$.created_at")), fallback_time).alias("created_at"),
-            body.alias("body_text"),
-            body.alias("body_redacted"),
-            F.coalesce(F.try_variant_get(item, "$.public", "boolean"), F.lit(True)).alias("is_public"),
-        )
+            F.coalesce(parse_timestamp(as_text(item["created_at"])), fallback_time).alias("created_at"),
+            body.alias("body_text"), body.alias("body_redacted"),
+            F.coalesce(F.try_variant_get(item["public"], "$", "boolean"), F.lit(True)).alias("is_public"))
 
-    return F.transform(items, one)
+    return F.transform(comments, one)
 
 
-def flatten_custom_fields(items: Column) -> Column:
+def flatten_custom_fields(fields: Column) -> Column:
     """``[{id, value}]`` to a map of JSON text; the last value of an id stays."""
-    keyed = F.filter(items, lambda i: is_object(i) & F.try_variant_get(i, "$.id", "string").isNotNull())
-    pairs = F.transform(keyed, lambda i: F.struct(
-        F.try_variant_get(i, "$.id", "string").alias("key"),
-        F.to_json(F.try_variant_get(i, "$.value", "variant")).alias("value")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"])
-    return F.map_from_arrays(keys, last)
-
-
-def normalize_attachments(items: Column) -> Column:
-    """Attachment metadata; entries that are not objects are left out."""
-    return F.transform(F.filter(items, is_object), lambda a: F.struct(
-        F.try_variant_get(a, "$.id", "bigint").alias("id"),
-        F.coalesce(F.try_variant_get(a, "$.file_name", "string"),
-                   F.try_variant_get(a, "$.filename", "string"), F.lit("")).alias("filename"),
-        F.coalesce(F.try_variant_get(a, "$.content_type", "string"), F.lit("")).alias("content_type"),
-        F.coalesce(F.try_variant_get(a, "$.size", "bigint"), F.lit(0)).alias("size"),
-        F.try_variant_get(a, "$.content_url", "string").alias("url")))
+    last = F.filter(fields, lambda f, i: f["id"].isNotNull() & ~F.exists(
+        F.slice(fields, i + 2, F.size(fields)), lambda later: later["id"].eqNullSafe(f["id"])))
+    return F.map_from_entries(F.transform(last, lambda f: F.struct(
+        f["id"].alias("key"), F.to_json(f["value"]).alias("value"))))
+
+
+def normalize_attachments(attachments: Column) -> Column:
+    """Attachment metadata with the defaults for missing fields."""
+    return F.transform(attachments, lambda a: F.struct(
+        a["id"].alias("id"), F.coalesce(a["file_name"], a["filename"], F.lit("")).alias("filename"),
+        F.coalesce(a["content_type"], F.lit("")).alias("content_type"),
+        F.coalesce(a["size"], F.lit(0)).alias("size"), a["content_url"].alias("url")))

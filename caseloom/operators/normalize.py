@@ -15,31 +15,23 @@ def normalize(raw: DataFrame, normalized_at: Column, *, redaction: bool = False,
 
     ``payload`` is a variant column, best from ``sources.raw``, whose readers parse each text once.
     """
-    p = F.col(payload)
-    strings = lambda path: F.try_variant_get(p, path, "string")
-    text = lambda path: F.coalesce(N.variant_text(p, path), F.lit(""))
-
-    tags = F.filter(F.transform(N.variant_items(p, "$.tags"), lambda t: F.try_variant_get(t, "$", "string")),
-                    lambda t: t.isNotNull())
-    parsed = raw.select(
-        F.coalesce(strings("$.id"), F.lit("")).alias("ticket_id"),
-        strings("$.url").alias("source_url"),
-        N.parse_timestamp(N.variant_text(p, "$.created_at")).alias("created_at"),
-        N.parse_timestamp(N.variant_text(p, "$.updated_at")).alias("updated_given"),
-        N.parse_timestamp(N.variant_text(p, "$.solved_at")).alias("solved_at"),
-        N.parse_status(N.variant_text(p, "$.status")).alias("status"),
-        N.parse_priority(N.variant_text(p, "$.priority")).alias("priority"),
-        strings("$.type").alias("ticket_type"),
-        text("$.subject").alias("subject"),
-        text("$.description").alias("description"),
-        tags.alias("tags"),
-        N.normalize_comments(F.filter(N.variant_items(p, "$.comments"), N.is_object), normalized_at).alias("comments"),
-        N.flatten_custom_fields(N.variant_items(p, "$.custom_fields")).alias("custom_fields"),
-        N.normalize_attachments(N.variant_items(p, "$.attachments")).alias("attachments"),
-        F.try_variant_get(p, "$.assignee_id", "bigint").alias("assignee_id"),
-        F.try_variant_get(p, "$.requester_id", "bigint").alias("requester_id"),
-        F.try_variant_get(p, "$.group_id", "bigint").alias("group_id"),
-    )
+    # One typed read per payload.  The one-element explode keeps the optimizer from repeating it per field.
+    typed = raw.select(F.explode(F.array(F.try_variant_get(payload, "$", N.PAYLOAD))).alias("p")).select("p.*")
+    typed = typed.withColumns({c: N.as_text(F.col(c)) for c in (
+        "created_at", "updated_at", "solved_at", "status", "priority", "subject", "description")})
+    parsed = typed.select(
+        F.coalesce("id", F.lit("")).alias("ticket_id"), F.col("url").alias("source_url"),
+        N.parse_timestamp(F.col("created_at")).alias("created_at"),
+        N.parse_timestamp(F.col("updated_at")).alias("updated_given"),
+        N.parse_timestamp(F.col("solved_at")).alias("solved_at"),
+        N.parse_status(F.col("status")).alias("status"), N.parse_priority(F.col("priority")).alias("priority"),
+        F.col("type").alias("ticket_type"), F.coalesce("subject", F.lit("")).alias("subject"),
+        F.coalesce("description", F.lit("")).alias("description"), N.items(F.col("tags")).alias("tags"),
+        N.normalize_comments(N.items(F.col("comments")), normalized_at).alias("comments"),
+        N.items(F.col("custom_fields")).alias("fields"),
+        N.normalize_attachments(N.items(F.col("attachments"))).alias("attachments"),
+        "assignee_id", "requester_id", "group_id",
+    ).withColumn("custom_fields", N.flatten_custom_fields(F.col("fields")))
     bodies = F.transform("comments", lambda c: c["body_text"])
     all_text = F.concat_ws(" ", "subject", "description", F.array_join("tags", " "))
     clean = redact if redaction else (lambda c: c)

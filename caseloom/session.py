@@ -59,3 +59,13 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write the frame to reliable storage and go on from there."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits; an input with enough splits stays as it is.
+
+    Meant in front of costly row-wise work.  A table of many files never pays
+    for the extra shuffle.
+    """
+    wanted = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(wanted) if frame.rdd.getNumPartitions() < wanted else frame
