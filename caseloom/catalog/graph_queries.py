@@ -10,6 +10,7 @@ from caseloom.catalog.intake_queries import RAW_SQL, normalized
 from caseloom.catalog.vector_queries import _SCORES
 from caseloom.operators import graph as G, normalize as N
 from caseloom.operators.neighbours import duplicate_edges
+from caseloom.session import cut_lineage
 
 ENTITIES_SQL = RAW_SQL + """, found AS (
   SELECT ticket_id, 'Environment' AS node_type, p AS name FROM (
@@ -43,7 +44,9 @@ def _assignments(spark, folder):
 SELECT DISTINCT node_id, node_type, name FROM node
 UNION ALL SELECT 'Ticket:' || ticket_id, 'Ticket', 'Order ' || ticket_id FROM raw WHERE dated""")
 def graph_nodes(spark, folder):
-    return G.nodes(_tickets(spark, folder), _found(spark, folder)).drop("properties")
+    tickets = cut_lineage(_tickets(spark, folder).select(
+        "ticket_id", "subject", "description", "status", "platform", "version"))
+    return G.nodes(tickets, G.entities(tickets)).drop("properties")
 
 
 @named("graph_mentions", "WITH " + ENTITIES_SQL + """
@@ -107,7 +110,7 @@ n AS (SELECT *, count(*) OVER (PARTITION BY node_type, name) AS n_tickets FROM f
 SELECT ticket_id, count(*) AS n_entities, CAST(sum(n_tickets - 1) AS BIGINT) AS n_links, min(n_tickets) AS rarest
 FROM n GROUP BY 1""")
 def shared_entities(spark, folder):
-    return G.shared_entities(_found(spark, folder))
+    return G.shared_entities(cut_lineage(_found(spark, folder)))
 
 
 @named("communities", "WITH RECURSIVE " + ENTITIES_SQL + """,
@@ -145,4 +148,5 @@ def stabilized_clusters(spark, folder):
 SELECT ticket_id, 'Order ' || ticket_id AS subject FROM found WHERE node_type = 'Component' AND name = 'cloud'""")
 def tickets_for_node(spark, folder):
     picked = G.node_id(F.lit("Component"), F.lit("cloud"))
-    return G.tickets_for_node(_tickets(spark, folder), G.mentions(_found(spark, folder)), picked).select("ticket_id", "subject")
+    tickets = cut_lineage(_tickets(spark, folder).select("ticket_id", "subject", "description", "platform", "version"))
+    return G.tickets_for_node(tickets, G.mentions(G.entities(tickets)), picked).select("ticket_id", "subject")

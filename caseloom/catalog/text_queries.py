@@ -214,7 +214,7 @@ _TOKENS = """tokens AS (
 
 
 def _source_texts(spark, folder):
-    d = V.table(spark, folder, "documents")
+    d = V.texts(spark, folder, "documents")
     return d.select(F.col("source").alias("cluster_id"), F.col("doc_id").alias("ticket_id"), "text")
 
 

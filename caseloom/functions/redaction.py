@@ -53,4 +53,8 @@ def redact_with_stats(frame: DataFrame, column: str, strict: bool = True,
         counters.append(counter)
     found = F.map_filter(F.map_from_arrays(F.array(*keys), F.array(*counters)), lambda _, n: n > 0)
     empty = F.from_json(F.lit("{}"), "map<string,int>")
-    return staged.withColumn(counts_name, F.coalesce(found, empty)).drop(*counters)
+    result = F.struct(F.col(text_name), F.coalesce(found, empty).alias(counts_name))
+    kept = [c for c in frame.columns if c not in (text_name, counts_name)]
+    # The one-element explode ends the chain: a later filter on the result is not copied back into every step.
+    done = staged.select(*kept, F.explode(F.array(result)).alias("__done"))
+    return done.select(*kept, f"__done.{text_name}", f"__done.{counts_name}")

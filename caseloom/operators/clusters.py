@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from caseloom.functions.text import keyword_tokens
+from caseloom.functions.text import STOP_WORDS, keyword_tokens
 from caseloom.operators.joins import salted_join
 from caseloom.operators.kpis import WEEKS, week_bucket
 
@@ -24,7 +24,7 @@ def ranked(frame: DataFrame, group: str, order: list, limit: int, name: str = "r
 def keyword_counts(texts: DataFrame) -> DataFrame:
     """(cluster_id, word, n, first position) with the words counted before the shuffle."""
     tokens = texts.select("cluster_id", "ticket_id", F.posexplode(keyword_tokens(F.col("text"))).alias("pos", "word"))
-    return tokens.groupBy("cluster_id", "word").agg(
+    return tokens.where(~F.col("word").isin(STOP_WORDS)).groupBy("cluster_id", "word").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("ticket_id", "pos")).alias("first_seen"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.operators.components import components
 from caseloom.schemas import EDGE_TYPES
+from caseloom.session import cut_lineage
 
 # Component names looked for in ticket text.
 COMPONENTS = ["media server", "client", "cloud", "mobile", "storage", "sso"]
@@ -127,6 +128,7 @@ def communities(found: DataFrame, max_share: float | None = None) -> DataFrame:
     ``max_share`` keeps entities named by at most that share of the rows from
     counting as a connection; by default every entity counts.
     """
+    found = cut_lineage(found)  # read four times below
     links = found
     if max_share is not None:
         total = found.select("ticket_id").distinct().count()
