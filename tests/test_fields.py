@@ -6,12 +6,12 @@ from caseloom.functions import fields as N
 from caseloom.operators import normalize as Z
 from caseloom.sources import raw as R
 
-AT = F.lit("2025-02-01 00:00:00").cast("timestamp")
+AT = "2025-02-01 00:00:00"
 
 
 def normalized(spark, tickets, redaction=False):
     lines = spark.createDataFrame([(json.dumps(t),) for t in tickets], "value string")
-    return Z.normalize(R.parse_payloads(lines, "value"), AT, redaction=redaction)
+    return Z.normalize(R.parse_payloads(lines, "value"), F.lit(AT).cast("timestamp"), redaction=redaction)
 
 
 def one(spark, **fields):

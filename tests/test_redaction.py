@@ -19,7 +19,7 @@ GOLDEN = [
     ("this does look like nothing special", "[REDACTED_LICENSE] nothing special"),
     ("token: abcdefghijklmnopqrstuvwxyz", "[REDACTED_API_KEY]"),
     ("Dr. Jane Doe Smith", "[REDACTED_NAME_PREFIX] Smith"),
-    ("éa@b.com", "éa@b.com".replace("éa@b.com", "éa@b.com")),
+    ("éa@b.com", "éa@b.com"),
     ("", ""),
     (None, None),
 ]
