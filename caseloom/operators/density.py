@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.operators.clusters import NOISE
@@ -48,8 +50,10 @@ def density_clusters(vectors: DataFrame, *, eps: float | str = "auto", min_clust
         return vectors.limit(0).select("id", F.lit(NOISE).cast("bigint").alias("cluster_id"))
     edges = cut_lineage(reach_edges(vectors, **options))
     shares = [(i + 1) / (steps + 1) for i in range(steps)]
-    levels = [float(eps)] if eps != "auto" else sorted(
-        set(edges.agg(F.percentile_approx("reach", shares).alias("q")).first()["q"] or [0.0]))
+    if eps == "auto":
+        levels = sorted(set(edges.agg(F.percentile_approx("reach", shares + [1.0]).alias("q")).first()["q"] or [0.0]))
+    else:
+        levels = [float(eps)]
     cuts = cut_lineage(_cuts(vectors, edges, levels))
     chosen = _best_level(cuts, levels, min_cluster_size) if len(levels) > 1 else 0
     return name_clusters(cuts.where(F.col("level") == chosen).drop("level"), min_cluster_size)
@@ -68,15 +72,19 @@ def _cuts(vectors: DataFrame, edges: DataFrame, levels: list) -> DataFrame:
 
 
 def _best_level(cuts: DataFrame, levels: list, min_cluster_size: int) -> int:
-    """Level whose clusters keep most rows over the life of the cut; one row per level reaches the driver."""
+    """Level whose clusters hold most rows, weighted by how far the distance may grow until the next level.
+
+    The growth is a ratio, so the choice does not depend on the scale of the
+    distances.  One row per level reaches the driver.
+    """
     sizes = cuts.groupBy("level", "component").agg(F.count(F.lit(1)).alias("size"))
     facts = {r["level"]: r for r in sizes.where(F.col("size") >= min_cluster_size).groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows")).collect()}
     best, best_score = 0, -1.0
-    for i, (level, following) in enumerate(zip(levels, levels[1:] + [levels[-1] * 1.1])):
+    for i, (level, following) in enumerate(zip(levels, levels[1:])):
         # One cluster holding everything says nothing.
         several = i in facts and facts[i]["n"] > 1 and level > 0
-        score = facts[i]["rows"] * (1 / level - 1 / following) if several else 0.0
+        score = facts[i]["rows"] * math.log(following / level) if several else 0.0
         if score > best_score:
             best, best_score = i, score
     return best
