@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.operators.components import components
+from caseloom.operators.joins import salted_join
 
 
 def apply_feedback(assignments: DataFrame, edits: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def apply_feedback(assignments: DataFrame, edits: DataFrame) -> DataFrame:
         F.col("cluster_id").alias("src"), F.col("target_id").cast("bigint").alias("dst"))
     ends = merges.select(F.col("src").alias("node")).unionByName(merges.select(F.col("dst").alias("node")))
     merged = components(ends, merges).select(F.col("node").alias("cluster_id"), F.col("component").alias("merged_id"))
-    return placed.join(merged, "cluster_id", "left").select(
+    return salted_join(placed, merged, "cluster_id", "ticket_id", "left").select(
         "ticket_id", F.coalesce("merged_id", "cluster_id").alias("cluster_id"),
         F.when(F.col("merged_id") != F.col("cluster_id"), F.lit("human")).otherwise(F.col("assigned_by")).alias("assigned_by"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.operators.components import components
+from caseloom.operators.joins import salted_join
 from caseloom.schemas import EDGE_TYPES
 from caseloom.session import cut_lineage
 
@@ -116,7 +117,7 @@ def shared_entities(found: DataFrame) -> DataFrame:
     The links are counted from the entity frequencies, so no pair of tickets is
     ever formed.
     """
-    counted = found.join(edge_weights(found), ["node_type", "name"])
+    counted = salted_join(found, edge_weights(found), ["node_type", "name"], "ticket_id")
     return counted.groupBy("ticket_id").agg(
         F.count(F.lit(1)).alias("n_entities"), F.sum(F.col("n_tickets") - 1).alias("n_links"),
         F.min("n_tickets").alias("rarest"))
@@ -149,7 +150,7 @@ def stabilize(assignments: DataFrame, community: DataFrame) -> DataFrame:
         "community", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
     leading = counts.groupBy("community").agg(
         F.max_by("cluster_id", F.struct("n", -F.col("cluster_id"))).alias("leading"))
-    fused = joined.join(leading, "community", "left")
+    fused = salted_join(joined, leading, "community", "ticket_id", "left")
     return fused.select("ticket_id", F.when((F.col("cluster_id") < 0) & F.col("leading").isNotNull(), F.col("leading"))
                         .otherwise(F.col("cluster_id")).alias("cluster_id"))
 

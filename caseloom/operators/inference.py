@@ -25,15 +25,16 @@ MAX_CITATIONS = 10
 CITATION_CHARS = 50
 
 
-def run_model(frame: DataFrame, key: str, model: Model) -> DataFrame:
-    """Add the model's answer and the metrics of the call; a failed call leaves an error.
+def run_model(frame: DataFrame, model: Model, keep: list) -> DataFrame:
+    """The columns of ``keep`` with the model's answer and the metrics of the call.
 
-    Rows stream through in Arrow batches; nothing is held across batches.
+    A failed call leaves an error.  Rows stream through in Arrow batches and the
+    kept columns travel along, so no join brings them back.
     """
     added = [("output", T.StringType()), ("error", T.StringType()), ("output_tokens", T.LongType()),
              ("output_chars", T.LongType()), ("latency_seconds", T.DoubleType()),
              ("tokens_per_second", T.DoubleType())]
-    schema = T.StructType([frame.schema[key]] + [T.StructField(n, t) for n, t in added])
+    schema = T.StructType([frame.schema[c] for c in keep] + [T.StructField(n, t) for n, t in added])
 
     def call(batches):
         import time
@@ -50,9 +51,9 @@ def run_model(frame: DataFrame, key: str, model: Model) -> DataFrame:
                     error = str(problem)[:200]
                 spent = time.monotonic() - start
                 tokens = len(output.split()) if output else 0
-                rows.append((row[key], output, error, tokens, len(output or ""), spent,
-                             tokens / spent if spent > 0 else 0.0))
-            yield pd.DataFrame(rows, columns=[key] + [n for n, _ in added])
+                rows.append((output, error, tokens, len(output or ""), spent, tokens / spent if spent > 0 else 0.0))
+            answers = pd.DataFrame(rows, columns=[n for n, _ in added], index=batch.index)
+            yield pd.concat([batch[keep], answers], axis=1)
 
     return frame.mapInPandas(call, schema)
 
@@ -118,14 +119,13 @@ def summarize(tickets: DataFrame, existing: DataFrame | None = None, *, model: M
     if existing is not None:
         finished, todo = split_resumable(tickets, existing)
         reused = finished.select("ticket_id", "summary", "status", F.lit(True).alias("skipped"))
-    answered = run_model(todo.withColumn("input_chars", F.length("content")), "ticket_id", model)
-    facts = todo.select("ticket_id", "subject", F.length("content").cast("bigint").alias("input_chars"))
-    joined = answered.join(facts, "ticket_id")
+    sized = todo.withColumn("input_chars", F.length("content").cast("bigint"))
+    answered = run_model(sized, model, ["ticket_id", "subject", "input_chars"])
     filled = F.coalesce(F.col("output"), F.lit("")) != ""
     reason = F.coalesce(F.concat(F.lit(": "), F.col("error")), F.lit(" - no output"))
     placeholder = F.concat(F.lit("Subject: "), F.coalesce("subject", F.lit("")),
                            F.lit("\n\n[Summary generation failed"), reason, F.lit("]"))
-    fresh = joined.select(
+    fresh = answered.select(
         "ticket_id", F.when(filled, F.col("output")).otherwise(placeholder).alias("summary"),
         F.when(filled, F.lit("ok")).otherwise(F.lit("failed")).alias("status"), F.lit(False).alias("skipped"),
         "error", "input_chars", "output_tokens", "output_chars", "latency_seconds", "tokens_per_second")
@@ -183,8 +183,9 @@ def label_clusters(clusters: DataFrame, *, model: Model = keyword_label) -> Data
     has_texts = F.size(F.coalesce("texts", F.array().cast("array<string>"))) > 0
     asked = clusters.where(has_texts).select(
         "cluster_id", "keywords", prompts.cluster_prompt(F.col("texts"), F.col("keywords")).alias("prompt"))
-    answers = run_model(asked, "cluster_id", model).select("cluster_id", "output", "error")
-    return summary_fields(clusters.select("cluster_id").join(answers, "cluster_id", "left"))
+    answers = run_model(asked, model, ["cluster_id"]).select("cluster_id", "output")
+    silent = clusters.where(~has_texts).select("cluster_id", F.lit(None).cast("string").alias("output"))
+    return summary_fields(answers.unionByName(silent))
 
 
 def summary_fields(answers: DataFrame) -> DataFrame:
@@ -241,8 +242,7 @@ def route_messages(messages: DataFrame, hits: DataFrame, tickets: DataFrame, clu
         F.get("near", F.lit(0))["cluster_id"].cast("string").alias("best_cluster"),
         F.get("near", F.lit(0))["score"].alias("best_score"),
         prompts.routing_prompt(F.col("text"), F.lit(context), lines).alias("prompt"))
-    answers = run_model(asked.drop("cited"), "id", model).select("id", "output")
-    full = asked.select("id", "cited").join(answers, "id")
+    full = run_model(asked, model, ["id", "cited"])
     p = parse_reply(F.col("output"))
     citations = F.slice(F.concat("cited", F.array(*cited) if cited else empty), 1, MAX_CITATIONS)
     texts = lambda path: F.coalesce(F.try_variant_get("p", path, "array<string>"),
@@ -271,10 +271,9 @@ def describe_images(tickets: DataFrame, files: DataFrame | None = None, *, model
         loaded = first.withColumn("content", F.lit(b""))
     else:
         loaded = first.join(files.select("path", "content"), "path", "left")
-    loaded = loaded.withColumn("image_key", F.concat_ws(":", "ticket_id", "pos"))
-    seen = run_model(loaded.where(F.col("content").isNotNull()).select("image_key", "filename", "content"),
-                     "image_key", model).select("image_key", "output")
-    told = loaded.select("ticket_id", "pos", "filename", "image_key").join(seen, "image_key", "left")
+    keep = ["ticket_id", "pos", "filename"]
+    seen = run_model(loaded.where(F.col("content").isNotNull()), model, keep).select(*keep, "output")
+    told = seen.unionByName(loaded.where(F.col("content").isNull()).select(*keep, F.lit(None).cast("string").alias("output")))
     text = F.coalesce("output", F.concat(F.lit("[Image: "), F.col("filename"), F.lit(" - not available]")))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "filename", text.alias("description"))))
     return told.groupBy("ticket_id").agg(F.transform(ordered, lambda i: F.struct(

@@ -35,13 +35,16 @@ def with_labels(frame: DataFrame, clusters: DataFrame) -> DataFrame:
     return frame.join(clusters.select("cluster_id", F.col("label").alias("cluster_label")), "cluster_id", "left")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = 32) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: str | list, spread_by: str, how: str = "inner",
+                salts: int = 32) -> DataFrame:
     """Join many rows per key to one row per key without meeting a hot key in one task.
 
     Left rows of a key are spread over ``salts`` sub-keys by ``spread_by``; the
-    right side, one row per key, is copied to each of them.
+    right side, one row per key, is copied to each of them.  Meant for a right
+    side much shorter than the left one.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return left.withColumn("__salt", salt).join(
-        right.withColumn("__salt", copies), [key, "__salt"]).drop("__salt")
+        right.withColumn("__salt", copies), [*keys, "__salt"], how).drop("__salt")

@@ -29,7 +29,8 @@ from caseloom.session import cut_lineage
 
 CELL_ROWS = 200_000
 MAX_CELLS = 1024
-COLUMN_ROWS = 4096
+COLUMN_BYTES = 32 << 20
+MIN_COLUMN_ROWS = 2048
 SCORE_DIGITS = 9
 
 
@@ -87,8 +88,18 @@ def _home_cells(frame: DataFrame, pivots: list) -> DataFrame:
     return frame.mapInPandas(assign, schema)
 
 
-def _build_cells(corpus: DataFrame, wanted: int | None) -> tuple[DataFrame, Cells]:
-    total = corpus.count()
+def _column_rows(corpus: DataFrame, rows: int) -> int:
+    """Rows one task holds per side: as many as memory allows, fewer while cores would idle.
+
+    Longer columns mean fewer copies of the other side in the shuffle.
+    """
+    first = corpus.select(F.size("vec").alias("d")).first()
+    most = max(1, COLUMN_BYTES // (4 * (first["d"] if first else 1)))
+    share = math.ceil(rows / math.sqrt(corpus.sparkSession.sparkContext.defaultParallelism))
+    return min(most, max(MIN_COLUMN_ROWS, share))
+
+
+def _build_cells(corpus: DataFrame, wanted: int | None, total: int) -> tuple[DataFrame, Cells]:
     number = wanted or max(1, min(MAX_CELLS, math.ceil(total / CELL_ROWS)))
     if number == 1:
         return corpus.withColumn("cell", F.lit(0)), Cells([None], [total], [0.0], [2.0])
@@ -217,24 +228,24 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, *, exclude_self: bool = False,
             earlier_only: bool = False, min_score: float | None = None, cells: int | None = None,
-            column_rows: int = COLUMN_ROWS) -> DataFrame:
+            column_rows: int | None = None) -> DataFrame:
     """(query_id, neighbour_id, score, rank): exact cosine top-k, ties by the smaller id.
 
     Both inputs have columns ``id`` and ``vec``.  ``min_score`` keeps scores at or
     above it; ``earlier_only`` keeps neighbours with a smaller id than the query.
     A zero vector scores 0 against everything.
     """
-    options = dict(exclude_self=exclude_self, earlier_only=earlier_only, min_score=min_score,
-                   column_rows=column_rows)
     queries = queries.select("id", "vec").where(F.col("vec").isNotNull())
     corpus = corpus.select("id", "vec").where(F.col("vec").isNotNull())
     # An upper bound is enough to size the columns, and counting before any filter stays cheap.
-    n_queries = queries.count()
+    n_queries, n_corpus = queries.count(), corpus.count()
+    options = dict(exclude_self=exclude_self, earlier_only=earlier_only, min_score=min_score,
+                   column_rows=column_rows or _column_rows(corpus, max(n_queries, n_corpus)))
     blank = None
     if not earlier_only and (min_score is None or min_score <= 0):
         blank = _blank_answers(queries.where(is_zero(F.col("vec"))), corpus, k, exclude_self)
         queries = queries.where(~is_zero(F.col("vec")))
-    placed, layout = _build_cells(corpus, cells)
+    placed, layout = _build_cells(corpus, cells, n_corpus)
     if layout.single:
         visits = queries.withColumn("cell", F.lit(0))
         found = _search(visits, placed, layout.rows, [n_queries], k, **options)
@@ -287,15 +298,14 @@ def duplicate_edges(vectors: DataFrame, min_score: float, **layout) -> DataFrame
     """
     if min_score <= 0:
         raise ValueError("duplicates need a positive score")
-    digest = F.md5(F.to_json(F.struct("vec")))
-    marked = vectors.select("id", "vec", digest.alias("digest"))
-    groups = marked.groupBy("digest").agg(F.min("id").alias("first_id"), F.min_by("vec", "id").alias("vec"))
-    firsts = groups.select(F.col("first_id").alias("id"), "vec")
-    members = salted_join(marked.select("id", "digest"), groups.select("digest", "first_id"), "digest", "id")
-    blank = is_zero(F.col("vec"))
-    zero_digest = marked.where(blank).select("digest").distinct()
-    copies = members.where(F.col("id") != F.col("first_id")).join(zero_digest, "digest", "left_anti").select(
-        "id", F.col("first_id").alias("duplicate_of"), F.lit(1.0).alias("score"))
+    marked = vectors.where(~is_zero(F.col("vec"))).select(
+        "id", "vec", F.md5(F.to_json(F.struct("vec"))).alias("digest"))
+    groups = marked.groupBy("digest").agg(
+        F.min("id").alias("first_id"), F.min_by("vec", "id").alias("vec"), F.count(F.lit(1)).alias("n"))
+    repeated = groups.where(F.col("n") > 1).select("digest", "first_id")
+    copies = salted_join(marked.select("id", "digest"), repeated, "digest", "id").where(
+        F.col("id") != F.col("first_id")).select("id", F.col("first_id").alias("duplicate_of"), F.lit(1.0).alias("score"))
+    firsts = cut_lineage(groups.select(F.col("first_id").alias("id"), "vec"))
     searched = nearest(firsts, firsts, 1, earlier_only=True, min_score=min_score, **layout)
     edges = searched.select(F.col("query_id").alias("id"), F.col("neighbour_id").alias("duplicate_of"), "score")
     return edges.unionByName(copies)

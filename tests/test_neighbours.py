@@ -60,7 +60,7 @@ def test_many_cells_skip_work_on_grouped_data(spark):
     points = planted(4, rows=400, centres=8, dims=16)
     points = points[np.linalg.norm(points, axis=1) > 0]
     v = frame(spark, points)
-    placed, cells = B._build_cells(v, 20)
+    placed, cells = B._build_cells(v, 20, len(points))
     wide = v.withColumn("radius", F.lit(0.6))
     assert B._visits(wide, cells, True, True).count() < 0.5 * len(points) * 20
 
