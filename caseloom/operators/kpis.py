@@ -31,11 +31,13 @@ def weekly_volume(tickets: DataFrame, as_of: str, *, anchor: str = "trailing", w
     """Ticket count per week before ``as_of``, newest first, empty weeks as zero."""
     moment = F.lit(as_of).cast("timestamp")
     bucket = week_bucket(F.col(created), moment, anchor)
-    counted = (tickets.select(bucket.alias("week_offset"))
-               .where(F.col("week_offset").between(0, weeks - 1))
+    shift = 1 if anchor == "trailing" else 0
+    first, last = (moment - F.make_dt_interval(days=F.lit(7 * (n + shift))) for n in (weeks - 1, -1))
+    # The plain time range reaches the scan, so files of other weeks are not read.
+    counted = (tickets.where((F.col(created) >= first) & (F.col(created) < last))
+               .select(bucket.alias("week_offset"))
                .groupBy("week_offset").agg(F.count(F.lit(1)).alias("n")))
     spine = tickets.sparkSession.range(weeks).select(F.col("id").cast("int").alias("week_offset"))
-    shift = 1 if anchor == "trailing" else 0
     start = moment - F.make_dt_interval(days=7 * (F.col("week_offset") + shift))
     return spine.join(counted, "week_offset", "left").select(
         "week_offset", F.date_format(start, "yyyy-MM-dd").alias("week_start"),
