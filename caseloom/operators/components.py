@@ -11,10 +11,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     """(node, component): the component is named by its smallest node.
 
     ``nodes`` has a column ``node``; ``edges`` has ``src`` and ``dst``, in any
-    direction.  Each round takes the smallest label among the neighbours and then
-    the label of that label, which makes paths shrink geometrically.  Minima are
-    combined before the shuffle, so a hub costs one row per task; a hub on the
-    probe side of a join is split by the adaptive skew join.
+    direction.  In each round a node is offered the smallest label among its
+    neighbours.  The offer goes to the node and to the node it is labelled with,
+    so whole groups move at once, and then every label is replaced by the label
+    of that label.  The number of rounds grows with the logarithm of the longest
+    path.  Minima are combined before the shuffle, so a hub costs one row per
+    task; a hub on the probe side of a join is split by the adaptive skew join.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut_lineage(both.where(F.col("src") != F.col("dst")).distinct())
@@ -22,12 +24,17 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     for _ in range(max_rounds):
         offered = (both.join(labels, both["src"] == labels["node"]).groupBy("dst")
                    .agg(F.min("component").alias("offer")))
-        hooked = labels.join(offered, labels["node"] == offered["dst"], "left").select(
-            "node", F.col("component").alias("old"),
-            F.least("component", F.coalesce("offer", "component")).alias("component"))
-        targets = hooked.select(F.col("node").alias("target"), F.col("component").alias("jump"))
-        moved = cut_lineage(hooked.join(targets, hooked["component"] == targets["target"]).select(
-            "node", "old", F.least("component", "jump").alias("component")))
+        known = labels.join(offered, labels["node"] == offered["dst"], "left")
+        own = known.select(F.col("node").alias("target"), F.col("component").alias("old"),
+                           F.least("component", F.coalesce("offer", "component")).alias("value"))
+        passed_on = known.where(F.col("offer") < F.col("component")).select(
+            F.col("component").alias("target"), F.lit(None).cast(labels.schema["component"].dataType).alias("old"),
+            F.col("offer").alias("value"))
+        hooked = cut_lineage(own.unionByName(passed_on).groupBy("target").agg(
+            F.min("value").alias("value"), F.max("old").alias("old")))
+        jumps = hooked.select(F.col("target").alias("step"), F.col("value").alias("jump"))
+        moved = cut_lineage(hooked.join(jumps, F.col("value") == F.col("step")).select(
+            F.col("target").alias("node"), "old", F.least("value", "jump").alias("component")))
         labels = moved.select("node", "component")
         if moved.where(F.col("old") != F.col("component")).isEmpty():
             return labels

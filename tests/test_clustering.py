@@ -32,6 +32,15 @@ def test_long_chain_needs_few_rounds(spark):
     assert got.select("component").distinct().count() == 1
 
 
+def test_shuffled_chain_needs_few_rounds(spark):
+    """Labels in random order along a path: groups must move as a whole."""
+    order = list(range(3000))
+    random.Random(5).shuffle(order)
+    chain = spark.createDataFrame(list(zip(order, order[1:])), "src bigint, dst bigint")
+    got = K.components(spark.range(3000).withColumnRenamed("id", "node"), chain, max_rounds=12)
+    assert {r.component for r in got.select("component").distinct().collect()} == {0}
+
+
 def test_numbers_are_dense_and_ordered(spark):
     frame = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 7).alias("size"))
     got = [r.k for r in K.numbered(frame, [F.desc("size"), F.asc("k")]).orderBy("number").collect()]
