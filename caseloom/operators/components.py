@@ -30,8 +30,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         passed_on = known.where(F.col("offer") < F.col("component")).select(
             F.col("component").alias("target"), F.lit(None).cast(labels.schema["component"].dataType).alias("old"),
             F.col("offer").alias("value"))
-        hooked = cut_lineage(own.unionByName(passed_on).groupBy("target").agg(
-            F.min("value").alias("value"), F.max("old").alias("old")))
+        # Both sides of the next join start from this shuffle, which Spark runs once.
+        hooked = own.unionByName(passed_on).groupBy("target").agg(
+            F.min("value").alias("value"), F.max("old").alias("old"))
         jumps = hooked.select(F.col("target").alias("step"), F.col("value").alias("jump"))
         moved = cut_lineage(hooked.join(jumps, F.col("value") == F.col("step")).select(
             F.col("target").alias("node"), "old", F.least("value", "jump").alias("component")))
