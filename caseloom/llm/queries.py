@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import byte_bpe, exact_dedup, mixing, packed_output
+from caseloom.llm import byte_bpe, exact_dedup, mixing, packed_output, substring_dedup
 from caseloom.llm.tasks import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op10_packed_output(spark, folder):
     shards = packed_output.new_folder(spark, "packed")
     packed_output.write_tokens(_documents(spark, folder), shards, public_tokenizers.path("word_bpe_49k.json"))
     return packed_output.read_tokens(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_named("op7_substring_dedup")
+def op7_substring_dedup(spark, folder):
+    return substring_dedup.remove_repeated(_documents(spark, folder))
