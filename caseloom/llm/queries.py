@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import byte_bpe, exact_dedup, mixing, packed_output, substring_dedup
+from caseloom.llm import byte_bpe, exact_dedup, jaccard_join, mixing, packed_output, substring_dedup
 from caseloom.llm.tasks import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op10_packed_output(spark, folder):
 @_named("op7_substring_dedup")
 def op7_substring_dedup(spark, folder):
     return substring_dedup.remove_repeated(_documents(spark, folder))
+
+
+@_named("op6_jaccard_join")
+def op6_jaccard_join(spark, folder):
+    return jaccard_join.shingle_components(_documents(spark, folder))
