@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import byte_bpe, exact_dedup, jaccard_join, mixing, packed_output, substring_dedup
+from caseloom.llm import byte_bpe, exact_dedup, jaccard_join, mixing, packed_output, quality_rules, substring_dedup
 from caseloom.llm.tasks import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,47 @@ def op7_substring_dedup(spark, folder):
 @_named("op6_jaccard_join")
 def op6_jaccard_join(spark, folder):
     return jaccard_join.shingle_components(_documents(spark, folder))
+
+
+def _rules_sql(rounds: int = quality_rules.ROUNDS) -> str:
+    """The measures, votes and rounds of the label model, one common table expression each."""
+    k = range(len(quality_rules.RULES))
+    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{i}"
+                      for i, (good, bad) in enumerate(quality_rules.RULES.values()))
+    names = ", ".join(f"v{i}" for i in k)
+    parts = [r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS x FROM documents),
+s AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g3 AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w
+       FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM s)),
+rep AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS c FROM g3) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT i + d) AS n FROM rep, (VALUES (0), (1), (2)) o(d) GROUP BY rid),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(x) - length(translate(x, '#*$%&|<>', '')) AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+             len(list_filter(ws, lambda w: regexp_matches(w, '^\p{L}'))) AS n_letter_words,
+             len(list_filter(ws, lambda w: regexp_matches(w, '^\p{Lu}{2}'))) AS n_capital_words
+      FROM s LEFT JOIN cov USING (rid)),
+""", f"v AS (SELECT *, {votes} FROM m),\np AS (SELECT {names}, count(*) AS n FROM v GROUP BY ALL),\n",
+             "q0 AS (SELECT *, CASE WHEN " + " OR ".join(f"v{i} = -1" for i in k) + " THEN 0.1::DOUBLE ELSE 0.9 END AS q FROM p),\n"]
+    for r in range(1, rounds + 1):
+        sums = ", ".join(
+            f"sum(CASE WHEN v{i} = {vote} THEN n * {weight} ELSE 0 END) AS {name}{y}_{i}"
+            for i in k for name, vote in (("b", -1), ("f", 1)) for y, weight in ((1, "q"), (0, "(1 - q)")))
+        terms = " + ".join(
+            f"CASE v{i} WHEN -1 THEN ln((b1_{i} + 1) / (g1 + 3)) - ln((b0_{i} + 1) / (g0 + 3)) WHEN 1 THEN ln((f1_{i} + 1) / (g1 + 3)) - ln((f0_{i} + 1) / (g0 + 3)) "
+            f"ELSE ln((g1 - b1_{i} - f1_{i} + 1) / (g1 + 3)) - ln((g0 - b0_{i} - f0_{i} + 1) / (g0 + 3)) END" for i in k)
+        parts.append(f"e{r} AS MATERIALIZED (SELECT *, least(greatest(g1 / (g1 + g0), 0.05), 0.95) AS s FROM "
+                     f"(SELECT sum(n * q) AS g1, sum(n * (1 - q)) AS g0, {sums} FROM q{r - 1})),\n"
+                     f"q{r} AS MATERIALIZED (SELECT {names}, n, 1 / (1 + exp(-(ln(s / (1 - s)) + {terms}))) AS q FROM q{r - 1}, e{r}),\n")
+    parts.append(f"""f AS (SELECT v.*, q, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v JOIN q{rounds} USING ({names}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept
+FROM f
+""")
+    return "".join(parts)
+
+
+@_named("op3_quality_rules", sql=_rules_sql())
+def op3_quality_rules(spark, folder):
+    return quality_rules.judge(_documents(spark, folder)).drop("posterior")
