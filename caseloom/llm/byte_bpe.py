@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.llm.tasks import bytes_of, pieces, texts_of, worker_cache
+from caseloom.llm.tasks import Memory, bytes_of, pieces, texts_of, worker_cache
 
 #: Pieces that one recursive query works on, in bytes, and the rounds it takes before unfinished pieces start anew.
 #: A query keeps the rows of all its rounds, so the two bound its memory.
@@ -69,30 +69,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class _Memory:
-    """What was met lately: the present generation, filled from the one before when something is met again."""
-
-    def __init__(self):
-        self.now: dict[str, Stretch] = {}
-        self.before: dict[str, Stretch] = {}
-
-    def missing(self, wanted: set[str]) -> list[str]:
-        """Those of ``wanted`` that are unknown; the others are in the present generation afterwards."""
-        now, before, missing = self.now, self.before, []
-        for one in wanted:
-            if one not in now:
-                old = before.get(one)
-                if old is None:
-                    missing.append(one)
-                else:
-                    now[one] = old
-        return missing
-
-    def age(self) -> None:
-        if len(self.now) > REMEMBERED:
-            self.before, self.now = self.now, {}
-
-
 class BpeTables:
     """The vocabulary and the merge table in a DuckDB connection of one worker.
 
@@ -113,7 +89,7 @@ class BpeTables:
             "tok": pa.array(self.ranks.values(), pa.int32()),
             "text": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}))
         self.sql.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.known, self.stretches = _Memory(), _Memory()
+        self.known, self.stretches = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def _put(self, name: str, **columns: np.ndarray) -> None:
         self.sql.register("given", pa.table(columns))

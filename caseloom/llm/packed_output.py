@@ -19,15 +19,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from caseloom.llm.tasks import texts_of, worker_cache
+from caseloom.llm.tasks import Memory, bytes_of, pieces, texts_of, worker_cache
 from caseloom.session import shared_dir
 
-#: Stretches between spaces whose ids a worker remembers; beyond this it forgets them all.
-REMEMBERED = 150_000
+#: Stretches between spaces, in one of the two generations whose ids a worker remembers.
+REMEMBERED = 500_000
 #: Bytes of records that one reading task takes, about.
 READ_BYTES = 32 << 20
 _INDEX = "part int, file string, number long, offset long, length long, n_tokens long, before long"
@@ -59,23 +60,25 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(REMEMBERED)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as 4-byte little-endian integers."""
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = [one for one in set().union(*cut) if one not in known]
-        once = {}
-        for first in range(0, len(new), 2000):
-            some = new[first:first + 2000]
-            for one, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (known if len(one) < 100 else once)[one] = np.array(found.ids, "<u4").tobytes()
-        if not once:
-            return [b"".join(map(known.__getitem__, own)) for own in cut]
-        return [b"".join([known[one] if one in known else once[one] for one in own]) for own in cut]
+        if not len(texts):
+            return pa.array([], pa.binary())
+        # A comma or full stop between a letter and a space is a token group of its own, so a cut before it is safe.
+        loose = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r"([a-z])([,.])( |$)", r"\1 \2\3")
+        parts = pc.split_pattern(loose, " ")
+        words = parts.flatten().dictionary_encode()
+        distinct, known = words.dictionary.to_pylist(), self.known
+        new = known.missing(set(distinct))
+        for first in range(0, len(new), 4000):
+            some = new[first:first + 4000]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.now.update(zip(some, [struct.pack(f"<{len(ids)}I", *ids) for ids in (one.ids for one in encoded)]))
+        ids = pa.array(list(map(known.now.__getitem__, distinct)), pa.binary()).take(words.indices)
+        known.age()
+        return pc.binary_join(pa.ListArray.from_arrays(parts.offsets.cast(pa.int32()), ids), b"")
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -117,9 +120,9 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
                 sink = system.open_output_stream(f"{base}/{file}")
             rows = []
             texts, ids = texts_of(batch.column("text")), batch.column("id").to_pylist()
-            for first in range(0, len(ids), 256):
-                encoded = encoder.encode(texts[first:first + 256].to_pylist())
-                for identifier, tokens in zip(ids[first:first + 256], encoded):
+            for first, last in pieces(bytes_of(texts)[1], 1 << 20):
+                encoded = encoder.encode(texts.slice(first, last - first)).to_pylist()
+                for identifier, tokens in zip(ids[first:last], encoded):
                     tokens = np.frombuffer(tokens + end, "<u4")
                     record = frame(struct.pack("<qBB", identifier or 0, identifier is None, width)
                                    + tokens.astype(f"<u{width}").tobytes())

@@ -27,6 +27,31 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_caseloom_worker_cache", types.ModuleType("_caseloom_worker_cache")).__dict__
 
 
+class Memory:
+    """What was met lately: the present generation of ``limit`` entries, filled from the one before when one is met again."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def missing(self, wanted: set) -> list:
+        """Those of ``wanted`` that are unknown; the others are in the present generation afterwards."""
+        now, before, missing = self.now, self.before, []
+        for one in wanted:
+            if one not in now:
+                old = before.get(one)
+                if old is None:
+                    missing.append(one)
+                else:
+                    now[one] = old
+        return missing
+
+    def age(self) -> None:
+        if len(self.now) > self.limit:
+            self.before, self.now = self.now, {}
+
+
 def texts_of(column) -> pa.Array:
     """A text column of a batch, nulls as empty texts."""
     return pc.fill_null(pc.cast(column, pa.large_string()), "")
