@@ -20,7 +20,7 @@ QUERY_BYTES, QUERY_ROUNDS = 100_000, 24
 #: A piece of more bytes is worked off a few rounds at a time.
 LONG = 64
 #: Pieces, and stretches between spaces, in one of the two generations that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 350_000
 #: Text whose tokens are decoded by one query.
 DECODE_BYTES = 1 << 20
 _DUCKDB = {"threads": 1, "memory_limit": "160MB", "preserve_insertion_order": False}
