@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import byte_bpe, exact_dedup, jaccard_join, mixing, packed_output, quality_rules, substring_dedup
+from caseloom.llm import (
+    byte_bpe, exact_dedup, jaccard_join, language_id, mixing, packed_output, quality_classifier, quality_rules, substring_dedup)
 from caseloom.llm.tasks import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +141,16 @@ FROM f
 @_named("op3_quality_rules", sql=_rules_sql())
 def op3_quality_rules(spark, folder):
     return quality_rules.judge(_documents(spark, folder)).drop("posterior")
+
+
+@_named("op1_language_id")
+def op1_language_id(spark, folder):
+    documents = _documents(spark, folder)
+    found = language_id.identify(documents, language_id.fit(documents))
+    return found.select("doc_id", (language_id.fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@_named("op2_quality_classifier")
+def op2_quality_classifier(spark, folder):
+    scored = quality_classifier.score(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return scored.select("doc_id", (language_id.fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
