@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.llm import (
-    byte_bpe, exact_dedup, jaccard_join, language_id, mixing, packed_output, quality_classifier, quality_rules, substring_dedup)
+    byte_bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, packed_output, quality_classifier,
+    quality_rules, substring_dedup)
 from caseloom.llm.tasks import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,9 @@ def op1_language_id(spark, folder):
 def op2_quality_classifier(spark, folder):
     scored = quality_classifier.score(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
     return scored.select("doc_id", (language_id.fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+
+
+@_named("op4_html_extract")
+def op4_html_extract(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return html_extract.extract(pages, html_extract.fit(pages))
