@@ -275,3 +275,27 @@ def exact_duplicates(documents: DataFrame, id_column: str = "doc_id", text_colum
     return joined.select(
         F.col("id").alias(id_column), "keep_id", "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (turn == 1)).alias("kept"), F.col("sha256").alias("text_sha256"))
+
+
+def keep_one(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lower: bool = True,
+             keep: str = "largest") -> DataFrame:
+    """The documents that stay, with all their columns; cases as in ``exact_duplicates``.
+
+    Rows that repeat both identifier and text are folded onto one of them.
+    """
+    judged = exact_duplicates(documents, id_column, text_column, lower, keep)
+    stays = judged.where("kept").select(row_key(F.col(id_column), F.col("text_sha256")).alias("__key"))
+    hashed = F.sha2(_lowered(F.coalesce(F.col(text_column).cast("string"), F.lit("")), lower), 256)
+    found = documents.withColumn("__key", row_key(F.col(id_column), hashed)).join(stays, "__key", "left_semi")
+    # The join leaves rows of a key together and sorted, so the ranking moves nothing.
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return found.withColumn("__turn", turn).where("__turn = 1").select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
+def row_key(identifier, *others):
+    """A key without nulls for joins on an identifier and more."""
+    return F.concat_ws("/", F.coalesce(identifier.cast("string"), F.lit("null")), *[o.cast("string") for o in others])
+
+
+def _lowered(text, lower: bool):
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if lower else text

@@ -95,13 +95,13 @@ def _slots(marks: np.ndarray) -> np.ndarray:
     return (marks >> np.uint64(64 - TABLE_BITS)) ^ (marks & np.uint64(2**TABLE_BITS - 1))
 
 
-def _frequent(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
+def _bits(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
     slots = _slots(marks)
     return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _counted(threshold: Threshold, length: int, least: int, table):
-    """Local counts of tokens: of twice a prefix, or of whole sets where frequent tokens fill that."""
+    """Local counts of tokens: of a prefix and a half, or of whole sets where frequent tokens fill that."""
 
     def run(batches):
         known = None if table is None else np.frombuffer(table.value, np.uint8)
@@ -114,7 +114,7 @@ def _counted(threshold: Threshold, length: int, least: int, table):
                 first = own[:_looked_at(prefix)]
                 if known is None:
                     held.append(first)
-                elif (~_frequent(known, first)).sum() < prefix:
+                elif (~_bits(known, first)).sum() < prefix:
                     held.append(own)
             if held:
                 marks, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -124,7 +124,12 @@ def _counted(threshold: Threshold, length: int, least: int, table):
 
 
 def _looked_at(prefix: int) -> int:
-    return 2 * prefix + 4
+    return prefix + prefix // 2 + 4
+
+
+def _marks_of(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(textscan.mix(batch.column("id").to_numpy().view(np.uint64)).view(np.int64))], names=["mark"])
 
 
 def _slots_of(batches):
@@ -133,17 +138,32 @@ def _slots_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(slots >> 12), pa.array(slots & 4095)], names=["part", "slot"])
 
 
-def _table(counts: DataFrame, before: bytes | None) -> bytes:
-    """The table of frequent tokens, of a fixed size whatever their number."""
+def _table(marks: DataFrame, before: bytes | None = None) -> bytes:
+    """A bit for every mark, added to those of ``before``; of a fixed size however many marks there are."""
     table = np.zeros(2**TABLE_BITS // 8, np.uint8) if before is None else np.frombuffer(before, np.uint8).copy()
-    frequent = counts.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT).select("mark")
-    slots = frequent.mapInArrow(_slots_of, "part long, slot long").groupBy("part").agg(F.collect_set("slot").alias("slots"))
+    slots = marks.select("mark").mapInArrow(_slots_of, "part long, slot long").groupBy("part").agg(F.collect_set("slot").alias("slots"))
     for row in slots.toLocalIterator():
         own = np.array(row["slots"], np.int64) + (row["part"] << 12)
         np.bitwise_or.at(table, own >> 3, (1 << (own & 7)).astype(np.uint8))
     return table.tobytes()
 
 
+def _frequent_tokens(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
+
+
+def _wanted(table):
+    """Only rows whose identifier may be wanted."""
+
+    def run(batches):
+        known = np.frombuffer(table.value, np.uint8)
+        for batch in batches:
+            ids = textscan.mix(batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(_bits(known, ids)))
+
+    return run
+
+
 def _prefixes(threshold: Threshold, length: int, least: int, table):
     def run(batches):
         known = np.frombuffer(table.value, np.uint8)
@@ -154,7 +174,7 @@ def _prefixes(threshold: Threshold, length: int, least: int, table):
                 if len(own) < least:
                     continue
                 prefix = threshold.prefix(len(own))
-                frequent = _frequent(known, own)
+                frequent = _bits(known, own)
                 own = np.concatenate([own[~frequent], own[frequent]])[:prefix] if frequent.any() else own[:prefix]
                 marks.append(own)
                 owner.append(np.full(prefix, ids[i], np.int64))
@@ -213,13 +233,23 @@ def _prefix(threshold: Threshold, own: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _links(pairs: DataFrame, texts: DataFrame, threshold: Threshold, length: int) -> DataFrame:
-    """The pairs (src, dst) that are similar enough; dst is the end that many pairs share."""
+    """The pairs (src, dst) that are similar enough; dst is the end that many pairs share.
+
+    A table of the wanted identifiers, 2 MB whatever their number, spares most texts the shuffle.
+    """
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().mapInArrow(_marks_of, "mark long")
+    sent = texts.sparkSession.sparkContext.broadcast(_table(ids))
+    texts = texts.mapInArrow(_wanted(sent), "id long, text string")
     ends = [texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text")) for name in ("src", "dst")]
     joined = pairs.select("src", "dst").join(ends[0], "src").join(ends[1], "dst")
     return cut_lineage(joined.select("src", "dst", "src_text", "dst_text").mapInArrow(
         _verified(threshold, length), "src long, dst long").distinct())
 
 
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
 def _possible(threshold: Threshold):
     """Whether sizes and the places of a common prefix token leave room for enough overlap (columns a_, b_)."""
     room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
@@ -249,9 +279,9 @@ def shingle_components(documents: DataFrame, percent: int = 90, length: int = 3,
     named = rows.where("id IS NOT NULL")
 
     counts = "mark long, n long"
-    table = _table(named.mapInArrow(_counted(threshold, length, least, None), counts), None)
+    table = _table(_frequent_tokens(named.mapInArrow(_counted(threshold, length, least, None), counts)))
     sent = spark.sparkContext.broadcast(table)
-    table = _table(named.mapInArrow(_counted(threshold, length, least, sent), counts), table)
+    table = _table(_frequent_tokens(named.mapInArrow(_counted(threshold, length, least, sent), counts)), table)
     sent = spark.sparkContext.broadcast(table)
 
     reps = cut_lineage(sets.select("rep").distinct())
@@ -266,9 +296,8 @@ def shingle_components(documents: DataFrame, percent: int = 90, length: int = 3,
     first = cut_lineage(near.groupBy("src").agg(F.max(F.struct("many", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst")))
     links = _links(first, named, threshold, length)
 
-    nodes = shared.select(F.col("id").alias("node")).distinct()
-    labels = components(nodes, links)
-    placed = shared.join(labels, shared["id"] == labels["node"]).drop("node")
+    labels = components(_ends(links), links)
+    placed = shared.join(labels, shared["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     mixed = placed.groupBy("token").agg(F.min("component").alias("__low"), F.max("component").alias("__high")).where("__low <> __high").select("token")
     placed = cut_lineage(placed.join(mixed, "token", "left_semi"))
     classes = placed.select("token", "n", "pos", "component").distinct()
@@ -279,8 +308,20 @@ def shingle_components(documents: DataFrame, percent: int = 90, length: int = 3,
     second = meeting.join(members[0], ["token", "a_n", "a_pos", "a_component"]).join(members[1], ["token", "b_n", "b_pos", "b_component"])
     more = _links(cut_lineage(second.select("src", "dst").distinct()), named, threshold, length)
     if not more.isEmpty():
-        labels = components(nodes, links.unionByName(more))
+        links = links.unionByName(more)
+        labels = components(_ends(links), links)
     joined = folded.join(sets, ["n", "one", "two"], "left").join(labels, F.col("rep") == F.col("node"), "left")
     return joined.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, percent: int = 80, length: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest identifier.
+
+    Rows without a word or an identifier are components of their own and stay; rows that repeat the identifier that
+    stays do so too.  Other cases as in ``shingle_components``.
+    """
+    found = shingle_components(documents, percent, length, id_column, text_column)
+    goes = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__goes")).distinct()
+    return documents.join(goes, documents[id_column] == goes["__goes"], "left_anti")

@@ -150,6 +150,31 @@ def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return train([r["part"] for r in sample], [r["label"] for r in sample]) if sample else None
 
 
+def _predictor(network: ByteNetwork | None):
+    """A function from texts to their languages and probabilities; a text without bytes is unknown."""
+    tables = network.tables() if network is not None else None
+
+    def predict(texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        data, bounds = bytes_of(texts)
+        best, score = np.full(len(bounds) - 1, -1), np.zeros(len(bounds) - 1)
+        for first, last in pieces(bounds, 1 << 19) if network is not None else ():
+            windows, text, sizes = _windows(data[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first])
+            if not len(windows):
+                continue
+            sums = np.zeros((last - first, len(network.languages)))
+            np.add.at(sums, text, network.log_probabilities(windows, tables) * sizes[:, None])
+            lengths = np.diff(bounds[first:last + 1])
+            full = lengths > 0
+            mean = sums[full] / lengths[full, None]
+            odds = np.exp(mean - mean.max(axis=1, keepdims=True))
+            odds /= odds.sum(axis=1, keepdims=True)
+            where = np.flatnonzero(full) + first
+            best[where], score[where] = odds.argmax(axis=1), odds.max(axis=1)
+        return [network.languages[b] if b >= 0 else UNKNOWN for b in best.tolist()], score
+
+    return predict
+
+
 def identify(documents: DataFrame, network: ByteNetwork | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score): the language of each whole text and its probability.
 
@@ -163,24 +188,30 @@ def identify(documents: DataFrame, network: ByteNetwork | None, id_column: str =
     rows = documents.select(F.col(id_column).alias("id"), F.when(letters, text).alias("text"))
 
     def run(batches):
-        tables = network.tables() if network is not None else None
+        predict = _predictor(network)
         for batch in batches:
-            data, bounds = bytes_of(texts_of(batch.column("text")))
-            best, score = np.full(len(bounds) - 1, -1), np.zeros(len(bounds) - 1)
-            for first, last in pieces(bounds, 1 << 19) if network is not None else ():
-                windows, text, sizes = _windows(data[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first])
-                if not len(windows):
-                    continue
-                sums = np.zeros((last - first, len(network.languages)))
-                np.add.at(sums, text, network.log_probabilities(windows, tables) * sizes[:, None])
-                full = np.diff(bounds[first:last + 1]) > 0
-                mean = sums[full] / np.diff(bounds[first:last + 1])[full, None]
-                odds = np.exp(mean - mean.max(axis=1, keepdims=True))
-                odds /= odds.sum(axis=1, keepdims=True)
-                where = np.flatnonzero(full) + first
-                best[where], score[where] = odds.argmax(axis=1), odds.max(axis=1)
-            names = [network.languages[b] if b >= 0 else UNKNOWN for b in best.tolist()]
+            names, score = predict(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64())],
                                              names=["id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
+
+
+def filter_known(documents: DataFrame, network: ByteNetwork | None, least: float, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known with a probability of at least ``least``.
+
+    Cases as in ``identify``: without a letter, or without a network, a row is unknown and goes.
+    """
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    plain = documents.toDF(*names)
+    text_name = names[documents.columns.index(text_column)]
+
+    def run(batches):
+        predict = _predictor(network)
+        for batch in batches:
+            languages, score = predict(texts_of(batch.column(text_name)))
+            known = np.array([one != UNKNOWN for one in languages], bool)
+            yield batch.filter(pa.array(known & (score >= least)))
+
+    letters = F.coalesce(F.regexp_like(F.col(text_name).cast("string"), F.lit(r"\p{L}")), F.lit(False))
+    return plain.where(letters).mapInArrow(run, plain.schema).toDF(*documents.columns)

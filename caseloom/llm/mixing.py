@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caseloom.llm.exact_dedup import row_key
 from caseloom.operators.joins import salted_join
 from caseloom.session import cut_lineage
 
@@ -25,9 +26,10 @@ def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), share: float =
     """Add position, weight and target to (source, source_size).
 
     Sources in code-point order, null last, take ``weights`` in turn and share ``share`` times all sizes.  No target
-    exceeds ``most`` times its source's size; what is above goes to the others by weight.  With sources sorted by
-    ``most * size / weight``, those before the water level stop at their limit and the others get weight times level;
-    one pass over running sums finds the level.  The windows hold one row per source.
+    exceeds ``most`` times its source's size; what is above goes to the others by weight.  So a target is the smaller of
+    the limit and weight times one common level.  Sorted by limit per weight, the level that would hold if just the
+    sources before a row stopped at their limits rises as long as the row's source stops too and falls from then on: the
+    level is the largest of them.  The windows hold one row per source.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weighed = sizes.withColumn("position", F.row_number().over(order) - 1).withColumn(
@@ -42,11 +44,9 @@ def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), share: float =
         (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("__open"),
         (F.sum("source_size").over(whole) * F.lit(float(share))).alias("__all"))
     level = (F.col("__all") - F.col("__full")) / F.col("__open")
-    found = levels.withColumn("__level", F.min(F.when(level <= F.col("ratio"), level)).over(whole))
-    return found.select(
-        "source", "source_size", "position",
-        F.when(F.col("__level").isNull(), F.col("limit"))
-        .otherwise(F.least(F.col("limit"), F.col("weight") * F.col("__level"))).alias("target"))
+    found = levels.withColumn("__level", F.max(level).over(whole))
+    return found.select("source", "source_size", "position",
+                        F.least(F.col("limit"), F.col("weight") * F.col("__level")).alias("target"))
 
 
 def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
@@ -99,6 +99,20 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                          (copies * F.col("size")).alias("taken"))
 
 
+def repeat_by_mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+                  **options) -> DataFrame:
+    """The documents of the mix with all their columns, each row as often as it is taken; cases as in ``mix``.
+
+    Rows that repeat an identifier with different sources or sizes are each taken as often as their own draw says.
+    """
+    taken = mix(documents, id_column, text_column, source_column, **options).where("copies > 0")
+    taken = taken.groupBy(row_key(F.col(id_column), F.col("size"), _name(F.col("source"))).alias("__key")).agg(F.max("copies").alias("__copies"))
+    size = F.regexp_count(F.coalesce(F.col(text_column).cast("string"), F.lit("")), F.lit(WORDS)).cast("long")
+    joined = documents.withColumn("__key", row_key(F.col(id_column), size, _name(F.col(source_column)))).join(taken, "__key")
+    return joined.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(
+        *[F.col(f"`{c}`") for c in documents.columns])
+
+
 def _name(source: Column) -> Column:
     """A source as a key without nulls."""
     return F.concat(F.when(source.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(source.cast("string"), F.lit("")))

@@ -60,13 +60,12 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position FROM s),
 w AS (SELECT *, [5.0, 2.0, 1.0][(position % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS lim FROM p),
 r AS (SELECT *, lim / weight AS ratio FROM w),
-l AS (
-  SELECT *, coalesce(sum(lim) OVER (ORDER BY ratio, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS full_,
-         sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS open_,
-         sum(source_size) OVER () * 1.5::DOUBLE AS all_
-  FROM r),
-v AS (SELECT *, min(CASE WHEN (all_ - full_) / open_ <= ratio THEN (all_ - full_) / open_ END) OVER () AS level FROM l),
-t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN lim ELSE least(lim, weight * level) END AS target FROM v),
+a AS (SELECT sum(source_size) * 1.5::DOUBLE AS everything FROM r),
+b AS (SELECT x.ratio, sum(least(y.lim, y.weight * x.ratio)) AS filled FROM r x, r y GROUP BY x.ratio),
+f AS (SELECT coalesce(max(ratio), -1) AS full_to FROM b, a WHERE filled <= everything),
+v AS (SELECT (any_value(everything) - coalesce(sum(lim) FILTER (ratio <= full_to), 0)) / sum(weight) FILTER (ratio > full_to) AS level,
+             any_value(full_to) AS full_to FROM r, a, f),
+t AS (SELECT source, source_size, CASE WHEN ratio <= full_to THEN lim ELSE weight * level END AS target FROM r, v),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
 c AS (
   SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
