@@ -37,6 +37,11 @@ class TextTrie:
         self.root, self.size, self.better, self.budget = _Node(b""), 0, better, budget
 
     def insert(self, text: bytes, identifier, count: int, tag=None) -> None:
+        self._place(text, identifier, count, tag)
+        if self.size > self.budget:
+            self._spill()
+
+    def _place(self, text: bytes, identifier, count: int, tag) -> None:
         node, at = self.root, 0
         while at < len(text):
             if node.spill is not None:
@@ -46,7 +51,7 @@ class TextTrie:
             if child is None:
                 child = _Node(text[at:], [identifier, count, tag])
                 node.children[text[at]] = child
-                self._grow(len(child.label))
+                self.size += len(child.label) + _NODE_BYTES
                 return
             label = child.label
             if text.startswith(label, at):
@@ -58,7 +63,7 @@ class TextTrie:
             child.label = label[same:]
             fork.children[child.label[0]] = child
             node.children[text[at]] = fork
-            self._grow(0)
+            self.size += _NODE_BYTES
             node, at = fork, at + same
         if node.end is None:
             node.end = [identifier, count, tag]
@@ -66,11 +71,6 @@ class TextTrie:
             node.end[0] = self.better(node.end[0], identifier)
             node.end[1] += count
 
-    def _grow(self, length: int) -> None:
-        self.size += length + _NODE_BYTES
-        if self.size > self.budget:
-            self._spill()
-
     def _spill(self) -> None:
         """Write the largest subtree below the first fork to a file."""
         node = self.root

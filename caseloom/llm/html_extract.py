@@ -163,10 +163,10 @@ class ChainField:
 
 
 def path_features(path: tuple) -> set[str]:
-    return {"bias", *path, f"leaf {path[-1] if path else ''}"}
+    return {"bias", *path, f"leaf {next((t for t in reversed(path) if t[0] != '.'), '')}"}
 
 
-def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> ChainField:
+def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 6, rate: float = 0.5, decay: float = 1e-5, seed: int = 3) -> ChainField:
     """Fit by stochastic gradient steps (AdaGrad) on the log-likelihood, with forward and backward sums per page."""
     model, draw = ChainField(), np.random.default_rng(seed)
     seen: dict[str, float] = {}

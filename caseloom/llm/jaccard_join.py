@@ -294,7 +294,11 @@ def shingle_components(documents: DataFrame, percent: int = 90, length: int = 3,
     near = shared.select("token", F.col("pos").alias("a_pos"), F.col("n").alias("a_n"), F.col("id").alias("src")).join(hubs, "token")
     near = near.where((F.col("src") != F.col("dst")) & _possible(threshold)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("many"))
     first = cut_lineage(near.groupBy("src").agg(F.max(F.struct("many", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst")))
-    links = _links(first, named, threshold, length)
+    # An identifier that names several sets joins their groups.
+    several = folded.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low <> high")
+    joints = folded.join(several.select("id"), "id", "left_semi").join(sets, ["n", "one", "two"]).where("id <> rep").select(
+        F.col("id").alias("src"), F.col("rep").alias("dst"))
+    links = cut_lineage(_links(first, named, threshold, length).unionByName(joints))
 
     labels = components(_ends(links), links)
     placed = shared.join(labels, shared["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")

@@ -73,7 +73,7 @@ def _other(w: _Writer, kind: str) -> list[tuple[str, tuple, float]]:
         return [(w.draw.choice(["© ", ""]) + w.draw.choice([w.words(1, 6), w.prose(1, 3)]), w.draw.choice([(), ("p",)]), w.draw.choice([0.0, 0.0, 0.5]))
                 for _ in range(w.draw.randint(1, 2))]
     if kind == "form":
-        return [(w.words(1, 8), (w.draw.choice(["label", "p", "div"]),), 0.0) for _ in range(w.draw.randint(1, 3))]
+        return [(w.draw.choice([w.words(1, 8), w.prose(1, 2)]), (w.draw.choice(["label", "p", "div"]),), 0.0) for _ in range(w.draw.randint(1, 3))]
     if kind == "sidebar":
         return [(w.words(1, 3), ("h3",), 0.0), *[(w.words(2, 9), w.draw.choice([("ul", "li"), ("p",), ("div",)]), w.draw.choice([0.0, 1.0]))
                                                for _ in range(w.draw.randint(1, 4))]]
@@ -89,7 +89,7 @@ def _box(draw: random.Random, boxes: list) -> tuple:
     return (tag, *(f".{part}" for part in name.split("-") if part))
 
 
-def labelled_pages(count: int = 400, seed: int = 17):
+def labelled_pages(count: int = 1000, seed: int = 17):
     """(blocks, labels) of ``count`` pages; label 1 is main text.  Adverts, notices and asides also stand within articles."""
     from caseloom.llm.html_extract import Block
     draw = random.Random(seed)
@@ -112,7 +112,7 @@ def labelled_pages(count: int = 400, seed: int = 17):
         cut = draw.randint(0, len(rows))
         add(rows[:cut], box, 1)
         for kind in ("advert", "sidebar", "notice", "form", "comments", "header", "footer", "menu"):
-            if draw.random() < 0.15:
+            if draw.random() < 0.4:
                 add(_other(w, kind), (*box, *_box(draw, _OTHER[kind])), 0)
         add(rows[cut:], box, 1)
         if draw.random() < 0.15:
