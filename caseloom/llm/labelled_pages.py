@@ -89,8 +89,12 @@ def _box(draw: random.Random, boxes: list) -> tuple:
     return (tag, *(f".{part}" for part in name.split("-") if part))
 
 
-def labelled_pages(count: int = 1000, seed: int = 17):
-    """(blocks, labels) of ``count`` pages; label 1 is main text.  Adverts, notices and asides also stand within articles."""
+def labelled_pages(count: int = 500, seed: int = 17):
+    """(blocks, labels) of pages; label 1 is main text.
+
+    ``count`` pages have parts drawn at random, adverts, notices and asides within articles too.  Then every name of a part
+    stands within an article eight times.
+    """
     from caseloom.llm.html_extract import Block
     draw = random.Random(seed)
     w = _Writer(draw)
@@ -121,3 +125,10 @@ def labelled_pages(count: int = 1000, seed: int = 17):
         for kind in after:
             add(_other(w, kind), (*outer, *_box(draw, _OTHER[kind])), 0)
         yield page, labels
+    for kind, names in _OTHER.items():
+        for tag, name in names * 8:
+            box = ("html", "body", *_box(draw, _MAIN_BOXES))
+            part = (*box, tag, *(f".{one}" for one in name.split("-") if one))
+            inner = [(w.prose(1, 1), ("p",), 0.0)] if draw.random() < 0.6 else _other(w, kind)
+            rows = [(r, box, 1) for r in _main(w)] + [(r, part, 0) for r in inner] + [(r, box, 1) for r in _main(w)]
+            yield [Block(text, (*path, *below), linked) for (text, below, linked), path, _ in rows], [label for *_, label in rows]
