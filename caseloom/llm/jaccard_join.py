@@ -15,16 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.llm import textscan
-from caseloom.llm.passing import neighbours, settle
+from caseloom.llm.passing import marked, neighbours, only, settle, table_of
 from caseloom.llm.tasks import bytes_of, pieces, texts_of
 from caseloom.operators.components import components
 from caseloom.session import cut_lineage
 
 #: A token counted more often than this is frequent: it goes to the end of the first order.
 FREQUENT = 64
-#: Bits of the table of frequent tokens (2 MB, sent to every task).  Others that share a bit count as frequent too,
-#: which changes the order, not the result.
-TABLE_BITS = 24
 #: Further orders, by seed.
 ORDERS = (11, 12)
 _POSTINGS = "mark long, settled boolean, id long, n int, pos int, token long"
@@ -91,15 +88,6 @@ def _folds(length: int):
     return run
 
 
-def _slots(marks: np.ndarray) -> np.ndarray:
-    return (marks >> np.uint64(64 - TABLE_BITS)) ^ (marks & np.uint64(2**TABLE_BITS - 1))
-
-
-def _bits(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    slots = _slots(marks)
-    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _counted(threshold: Threshold, length: int, least: int, table):
     """Local counts of tokens: of a prefix and a half, or of whole sets where frequent tokens fill that."""
 
@@ -114,7 +102,7 @@ def _counted(threshold: Threshold, length: int, least: int, table):
                 first = own[:_looked_at(prefix)]
                 if known is None:
                     held.append(first)
-                elif (~_bits(known, first)).sum() < prefix:
+                elif (~marked(known, first)).sum() < prefix:
                     held.append(own)
             if held:
                 marks, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -127,43 +115,10 @@ def _looked_at(prefix: int) -> int:
     return prefix + prefix // 2 + 4
 
 
-def _marks_of(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(textscan.mix(batch.column("id").to_numpy().view(np.uint64)).view(np.int64))], names=["mark"])
-
-
-def _slots_of(batches):
-    for batch in batches:
-        slots = np.unique(_slots(batch.column("mark").to_numpy().view(np.uint64))).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(slots >> 12), pa.array(slots & 4095)], names=["part", "slot"])
-
-
-def _table(marks: DataFrame, before: bytes | None = None) -> bytes:
-    """A bit for every mark, added to those of ``before``; of a fixed size however many marks there are."""
-    table = np.zeros(2**TABLE_BITS // 8, np.uint8) if before is None else np.frombuffer(before, np.uint8).copy()
-    slots = marks.select("mark").mapInArrow(_slots_of, "part long, slot long").groupBy("part").agg(F.collect_set("slot").alias("slots"))
-    for row in slots.toLocalIterator():
-        own = np.array(row["slots"], np.int64) + (row["part"] << 12)
-        np.bitwise_or.at(table, own >> 3, (1 << (own & 7)).astype(np.uint8))
-    return table.tobytes()
-
-
 def _frequent_tokens(counts: DataFrame) -> DataFrame:
     return counts.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
 
 
-def _wanted(table):
-    """Only rows whose identifier may be wanted."""
-
-    def run(batches):
-        known = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
-            ids = textscan.mix(batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.filter(pa.array(_bits(known, ids)))
-
-    return run
-
-
 def _prefixes(threshold: Threshold, length: int, least: int, table):
     def run(batches):
         known = np.frombuffer(table.value, np.uint8)
@@ -174,7 +129,7 @@ def _prefixes(threshold: Threshold, length: int, least: int, table):
                 if len(own) < least:
                     continue
                 prefix = threshold.prefix(len(own))
-                frequent = _bits(known, own)
+                frequent = marked(known, own)
                 own = np.concatenate([own[~frequent], own[frequent]])[:prefix] if frequent.any() else own[:prefix]
                 marks.append(own)
                 owner.append(np.full(prefix, ids[i], np.int64))
@@ -237,9 +192,8 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: Threshold, length: int
 
     A table of the wanted identifiers, 2 MB whatever their number, spares most texts the shuffle.
     """
-    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().mapInArrow(_marks_of, "mark long")
-    sent = texts.sparkSession.sparkContext.broadcast(_table(ids))
-    texts = texts.mapInArrow(_wanted(sent), "id long, text string")
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    texts = only(texts, "id", ids, "id")
     ends = [texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text")) for name in ("src", "dst")]
     joined = pairs.select("src", "dst").join(ends[0], "src").join(ends[1], "dst")
     return cut_lineage(joined.select("src", "dst", "src_text", "dst_text").mapInArrow(
@@ -279,9 +233,9 @@ def shingle_components(documents: DataFrame, percent: int = 90, length: int = 3,
     named = rows.where("id IS NOT NULL")
 
     counts = "mark long, n long"
-    table = _table(_frequent_tokens(named.mapInArrow(_counted(threshold, length, least, None), counts)))
+    table = table_of(_frequent_tokens(named.mapInArrow(_counted(threshold, length, least, None), counts)))
     sent = spark.sparkContext.broadcast(table)
-    table = _table(_frequent_tokens(named.mapInArrow(_counted(threshold, length, least, sent), counts)), table)
+    table = table_of(_frequent_tokens(named.mapInArrow(_counted(threshold, length, least, sent), counts)), table)
     sent = spark.sparkContext.broadcast(table)
 
     reps = cut_lineage(sets.select("rep").distinct())

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from caseloom.llm import textscan
 
+#: Bits of a table of marks (2 MB, sent to every task, however many marks there are).
+TABLE_BITS = 24
+
 
 def _types(schema: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
@@ -79,3 +83,51 @@ def neighbours(batches, names: list[str], place: str):
     if held is not None:
         rows = pa.Table.from_batches([held])
         yield rows, np.zeros(1, bool)
+
+
+def _slots(marks: np.ndarray) -> np.ndarray:
+    return (marks >> np.uint64(64 - TABLE_BITS)) ^ (marks & np.uint64(2**TABLE_BITS - 1))
+
+
+def marked(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    slots = _slots(marks)
+    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _marks_of(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(textscan.mix(batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64))], names=["mark"])
+
+
+def _slots_of(batches):
+    for batch in batches:
+        slots = np.unique(_slots(batch.column("mark").to_numpy().view(np.uint64))).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(slots >> 12), pa.array(slots & 4095)], names=["part", "slot"])
+
+
+def table_of(marks: DataFrame, before: bytes | None = None) -> bytes:
+    """A bit for every mark, added to those of ``before``; of a fixed size however many marks there are."""
+    table = np.zeros(2**TABLE_BITS // 8, np.uint8) if before is None else np.frombuffer(before, np.uint8).copy()
+    slots = marks.select("mark").mapInArrow(_slots_of, "part long, slot long").groupBy("part").agg(F.collect_set("slot").alias("slots"))
+    for row in slots.toLocalIterator():
+        own = np.array(row["slots"], np.int64) + (row["part"] << 12)
+        np.bitwise_or.at(table, own >> 3, (1 << (own & 7)).astype(np.uint8))
+    return table.tobytes()
+
+
+def only(rows: DataFrame, column: str, wanted: DataFrame, name: str, *, outside: bool = False) -> DataFrame:
+    """Rows whose ``column`` (long) may be among ``wanted``.``name``, or with ``outside`` those where it surely is not.
+
+    It goes by a table of fixed size, so others that share a bit are taken for wanted: meant in front of a join.
+    """
+    marks = wanted.select(F.col(name).alias("mark")).mapInArrow(_marks_of, "mark long")
+    table = rows.sparkSession.sparkContext.broadcast(table_of(marks))
+
+    def run(batches):
+        known = np.frombuffer(table.value, np.uint8)
+        for batch in batches:
+            ids = textscan.mix(batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64))
+            found = marked(known, ids)
+            yield batch.filter(pa.array(~found if outside else found))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -66,12 +66,12 @@ def measured(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     words, lines = F.col("__words"), F.col("__lines")
     return split.select(
         "id", F.size(words).cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         _repeat_words(words).cast("long").alias("n_repeat_words"), F.size(lines).cast("long").alias("n_lines"),
-        F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])\p{L}[^\x20\x09-\x0D]*")).cast("long").alias("n_letter_words"),
-        F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}{2}[^\x20\x09-\x0D]*")).cast("long").alias("n_capital_words"))
+        F.regexp_count("text", F.lit(r"(?:^|[\x20\x09-\x0D])\p{L}")).cast("long").alias("n_letter_words"),
+        F.regexp_count("text", F.lit(r"(?:^|[\x20\x09-\x0D])\p{Lu}{2}")).cast("long").alias("n_capital_words"))
 
 
 def _vote(good: str, bad: str) -> Column:
