@@ -63,8 +63,10 @@ def reach_edges(spark, folder):
     return D.reach_edges(V.vectors(spark, folder)).withColumn("reach", F.round("reach", 6))
 
 
-@named("density_clusters", _REACH + """,
-e AS (SELECT src, dst FROM reach WHERE reach <= 1.09 UNION SELECT dst, src FROM reach WHERE reach <= 1.09),
+@named("density_clusters", "WITH RECURSIVE " + _SCORES + """,
+near AS (SELECT query_id AS src, neighbour_id AS dst FROM scores WHERE sqrt(greatest(0, 2 - 2 * score)) <= 1.09),
+dense AS (SELECT src FROM near GROUP BY 1 HAVING count(*) >= 3),
+e AS (SELECT src, dst FROM near SEMI JOIN dense USING (src) WHERE dst IN (SELECT src FROM dense)),
 c(node, label) AS (SELECT id, id FROM v UNION SELECT e.dst, c.label FROM c JOIN e ON e.src = c.node AND c.label < e.dst),
 l AS (SELECT node, min(label) AS component FROM c GROUP BY 1),
 s AS (SELECT component, count(*) AS size FROM l GROUP BY 1 HAVING count(*) >= 5),

@@ -113,20 +113,23 @@ def shared_entities(spark, folder):
     return G.shared_entities(cut_lineage(_found(spark, folder)))
 
 
-@named("communities", "WITH RECURSIVE " + ENTITIES_SQL + """,
-few AS (SELECT node_type, name FROM found GROUP BY 1, 2 HAVING count(*) <= 0.05 * (SELECT count(DISTINCT ticket_id) FROM found)),
-e AS (SELECT DISTINCT ticket_id AS t, node_id AS n FROM node SEMI JOIN few USING (node_type, name)),
-ent AS (SELECT DISTINCT a.n AS x, b.n AS y FROM e a JOIN e b USING (t)),
-r(x, label) AS (SELECT n, n FROM (SELECT DISTINCT n FROM e) UNION SELECT ent.y, r.label FROM r JOIN ent USING (x)),
-l AS (SELECT x, min(label) AS root FROM r GROUP BY 1),
-rooted AS (SELECT t, min(root) AS root FROM e JOIN l ON x = n GROUP BY 1),
-named AS (SELECT root, min('Ticket:' || t) AS first FROM rooted GROUP BY 1),
-low AS (SELECT root, least(first, root) AS community FROM named)
-SELECT DISTINCT ticket_id, coalesce(community, 'Ticket:' || ticket_id) AS community
-FROM found LEFT JOIN rooted ON t = ticket_id LEFT JOIN low USING (root)""")
+def _communities_sql(rounds: int = 5) -> str:
+    parts = ["WITH " + ENTITIES_SQL + """,
+pairs AS (SELECT DISTINCT ticket_id AS t, node_type || ':' || name AS e FROM found),
+sized AS (SELECT t, e, 1.0::DOUBLE / count(*) OVER (PARTITION BY e) AS share FROM pairs),
+l0 AS (SELECT DISTINCT t, t AS label FROM pairs)"""]
+    for r in range(1, rounds + 1):
+        parts.append(f"""
+m{r} AS MATERIALIZED (SELECT e, label FROM sized JOIN l{r - 1} USING (t) GROUP BY e, label
+  QUALIFY row_number() OVER (PARTITION BY e ORDER BY count(*) DESC, label) = 1),
+l{r} AS MATERIALIZED (SELECT t, label FROM sized JOIN m{r} USING (e) GROUP BY t, label
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY round(sum(share), 9) DESC, label) = 1)""")
+    return ",".join(parts) + f" SELECT t AS ticket_id, label AS community FROM l{rounds}"
+
+
+@named("communities", _communities_sql())
 def communities(spark, folder):
-    """Tickets connected through entities that at most one ticket in twenty names."""
-    return G.communities(_found(spark, folder), max_share=0.05)
+    return G.communities(_found(spark, folder))
 
 
 @named("stabilized_clusters", "WITH " + ENTITIES_SQL + """,

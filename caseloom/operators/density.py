@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseloom.operators.clusters import NOISE
 from caseloom.operators.components import components, numbered
+from caseloom.operators.joins import salted_join
 from caseloom.operators.neighbours import nearest
 from caseloom.session import cut_lineage
 
@@ -41,22 +42,65 @@ def density_clusters(vectors: DataFrame, *, eps: float | str = "auto", min_clust
                      steps: int = 6, **options) -> DataFrame:
     """(id, cluster_id): numbered by falling size, -1 for noise; empty below the minimum size.
 
-    Clusters are the components of the reachability graph cut at ``eps``.
-    ``eps='auto'`` cuts at several distance quantiles at once and takes the cut
-    whose clusters hold most rows over the largest distance range.
+    A row is dense when its ``min_samples``-th neighbour lies within ``eps``; dense
+    rows within ``eps`` of each other are in one cluster.  No number of links is
+    fixed.  ``eps='auto'`` picks the distance: the nearest-neighbour graph is cut
+    at several distance quantiles at once, and the cut whose clusters hold most rows
+    over the largest distance range names it.
     """
     few = vectors.limit(min_cluster_size).count() < min_cluster_size
     if few:
         return vectors.limit(0).select("id", F.lit(NOISE).cast("bigint").alias("cluster_id"))
-    edges = cut_lineage(reach_edges(vectors, **options))
+    min_samples = options.pop("min_samples", MIN_SAMPLES)
+    if eps != "auto":
+        return name_clusters(_dense_components(vectors, float(eps), min_samples, options), min_cluster_size)
+    edges = cut_lineage(reach_edges(vectors, min_samples=min_samples, **options))
     shares = [(i + 1) / (steps + 1) for i in range(steps)]
-    if eps == "auto":
-        levels = sorted(set(edges.agg(F.percentile_approx("reach", shares + [1.0]).alias("q")).first()["q"] or [0.0]))
-    else:
-        levels = [float(eps)]
+    levels = sorted(set(edges.agg(F.percentile_approx("reach", shares + [1.0]).alias("q")).first()["q"] or [0.0]))
     cuts = cut_lineage(_cuts(vectors, edges, levels))
     chosen = _best_level(cuts, levels, min_cluster_size) if len(levels) > 1 else 0
-    return name_clusters(cuts.where(F.col("level") == chosen).drop("level"), min_cluster_size)
+    options.pop("neighbours", None)
+    return name_clusters(_dense_components(vectors, levels[chosen], min_samples, options), min_cluster_size)
+
+
+def _dense_components(vectors: DataFrame, eps: float, min_samples: int, layout: dict) -> DataFrame:
+    """(node, component) of the links between dense rows within ``eps``.
+
+    A first search gives every row its nearest few.  A link that it leaves out has
+    two ends whose lists are full, so as long as rows with full lists lie in
+    different components, those outside the largest one search again, among such
+    rows, for four times as many.
+    """
+    floor = 1 - eps * eps / 2 - 1e-9
+    length = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score")))
+
+    def near(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+        found = nearest(queries, corpus, k, exclude_self=True, min_score=floor, **layout)
+        return cut_lineage(found.withColumn("length", length).where(F.col("length") <= eps)
+                           .select(F.col("query_id").alias("src"), F.col("neighbour_id").alias("dst")))
+
+    k = max(GRAPH_NEIGHBOURS, min_samples)
+    found = near(vectors, vectors, k)
+    counts = cut_lineage(found.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples))
+    dense, full = counts.select("src"), counts.where(F.col("n") >= k).select("src")
+    nodes = vectors.select(F.col("id").alias("node"))
+    links = found.join(dense, "src", "left_semi").join(dense.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    while True:
+        labels = components(nodes, links)
+        open_ = cut_lineage(labels.join(full.withColumnRenamed("src", "node"), "node", "left_semi"))
+        sizes = open_.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(2).collect()
+        if len(sizes) < 2:
+            return labels
+        corpus = cut_lineage(vectors.join(open_.select(F.col("node").alias("id")), "id", "left_semi"))
+        asking = open_.where(F.col("component") != F.lit(sizes[0]["component"]))
+        queries = cut_lineage(vectors.join(asking.select(F.col("node").alias("id")), "id", "left_semi"))
+        k *= 4
+        more = near(queries, corpus, k)
+        links = links.unionByName(more)
+        again = more.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("src")
+        # The largest component's rows stay partners of those whose lists are full again.
+        partners = open_.where(F.col("component") == F.lit(sizes[0]["component"])).select(F.col("node").alias("src"))
+        full = again if again.isEmpty() else cut_lineage(again.unionByName(partners))
 
 
 def _cuts(vectors: DataFrame, edges: DataFrame, levels: list) -> DataFrame:
@@ -94,7 +138,7 @@ def name_clusters(labelled: DataFrame, min_cluster_size: int) -> DataFrame:
     """Components to cluster numbers; components below the minimum size become noise."""
     sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     kept = numbered(sizes.where(F.col("size") >= min_cluster_size), [F.desc("size"), F.asc("component")])
-    named = labelled.join(kept.select("component", "number"), "component", "left")
+    named = salted_join(labelled, kept.select("component", "number"), "component", "node", "left")
     return named.select(F.col("node").alias("id"), F.coalesce("number", F.lit(NOISE)).cast("bigint").alias("cluster_id"))
 
 

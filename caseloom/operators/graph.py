@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.operators.components import components
 from caseloom.operators.joins import salted_join
 from caseloom.schemas import EDGE_TYPES
 from caseloom.session import cut_lineage
@@ -123,24 +122,28 @@ def shared_entities(found: DataFrame) -> DataFrame:
         F.min("n_tickets").alias("rarest"))
 
 
-def communities(found: DataFrame, max_share: float | None = None) -> DataFrame:
-    """(ticket_id, community): tickets connected through entities.
+def communities(found: DataFrame, rounds: int = 5) -> DataFrame:
+    """(ticket_id, community): labels spread between tickets and their entities for a fixed number of rounds.
 
-    ``max_share`` keeps entities named by at most that share of the rows from
-    counting as a connection; by default every entity counts.
+    A ticket starts with its own id as label.  In each round an entity takes the most
+    frequent label among its tickets, then a ticket takes the label with the largest
+    sum of 1/n over its entities, n being the number of tickets that name the entity;
+    ties go to the smaller label.  Every entity counts, a frequent one little; work
+    per round grows with the mentions, and no pair of tickets is formed.
     """
-    found = cut_lineage(found)  # read four times below
-    links = found
-    if max_share is not None:
-        total = found.select("ticket_id").distinct().count()
-        rare = edge_weights(found).where(F.col("n_tickets") <= F.lit(max_share * total))
-        links = found.join(rare.select("node_type", "name"), ["node_type", "name"], "left_semi")
-    edges = links.select(ticket_node(F.col("ticket_id")).alias("src"),
-                         node_id(F.col("node_type"), F.col("name")).alias("dst"))
-    tickets = found.select(ticket_node(F.col("ticket_id")).alias("node")).distinct()
-    labelled = components(tickets.unionByName(edges.select(F.col("dst").alias("node")).distinct()), edges)
-    return labelled.where(F.col("node").startswith("Ticket:")).select(
-        F.substring("node", len("Ticket:") + 1, 1 << 30).alias("ticket_id"), F.col("component").alias("community"))
+    pairs = found.select("ticket_id", F.concat_ws(":", "node_type", "name").alias("entity")).distinct()
+    sizes = pairs.groupBy("entity").agg((1.0 / F.count(F.lit(1))).alias("share"))
+    pairs = cut_lineage(salted_join(pairs, sizes, "entity", "ticket_id"))
+    labels = pairs.select("ticket_id", F.col("ticket_id").alias("community")).distinct()
+    for _ in range(rounds):
+        counts = pairs.join(labels, "ticket_id").groupBy("entity", "community").agg(F.count(F.lit(1)).alias("n"))
+        leading = counts.groupBy("entity").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("first")).select(
+            "entity", F.col("first.community").alias("community"))
+        votes = salted_join(pairs, leading, "entity", "ticket_id").groupBy("ticket_id", "community").agg(
+            F.round(F.sum("share"), 9).alias("weight"))
+        labels = cut_lineage(votes.groupBy("ticket_id").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "community")).alias("first"))
+                             .select("ticket_id", F.col("first.community").alias("community")))
+    return labels
 
 
 def stabilize(assignments: DataFrame, community: DataFrame) -> DataFrame:

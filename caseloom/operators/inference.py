@@ -33,7 +33,7 @@ def run_model(frame: DataFrame, model: Model, keep: list) -> DataFrame:
     """
     added = [("output", T.StringType()), ("error", T.StringType()), ("output_tokens", T.LongType()),
              ("output_chars", T.LongType()), ("latency_seconds", T.DoubleType()),
-             ("tokens_per_second", T.DoubleType())]
+             ("tokens_per_second", T.DoubleType()), ("started_at", T.DoubleType()), ("ended_at", T.DoubleType())]
     schema = T.StructType([frame.schema[c] for c in keep] + [T.StructField(n, t) for n, t in added])
 
     def call(batches):
@@ -44,14 +44,15 @@ def run_model(frame: DataFrame, model: Model, keep: list) -> DataFrame:
         for batch in batches:
             rows = []
             for row in batch.to_dict("records"):
-                start, output, error = time.monotonic(), None, None
+                began, start, output, error = time.time(), time.monotonic(), None, None
                 try:
                     output = answer(row)
                 except Exception as problem:
                     error = str(problem)[:200]
                 spent = time.monotonic() - start
                 tokens = len(output.split()) if output else 0
-                rows.append((output, error, tokens, len(output or ""), spent, tokens / spent if spent > 0 else 0.0))
+                rows.append((output, error, tokens, len(output or ""), spent, tokens / spent if spent > 0 else 0.0,
+                             began, began + spent))
             answers = pd.DataFrame(rows, columns=[n for n, _ in added], index=batch.index)
             yield pd.concat([batch[keep], answers], axis=1)
 
@@ -128,7 +129,7 @@ def summarize(tickets: DataFrame, existing: DataFrame | None = None, *, model: M
     fresh = answered.select(
         "ticket_id", F.when(filled, F.col("output")).otherwise(placeholder).alias("summary"),
         F.when(filled, F.lit("ok")).otherwise(F.lit("failed")).alias("status"), F.lit(False).alias("skipped"),
-        "error", "input_chars", "output_tokens", "output_chars", "latency_seconds", "tokens_per_second")
+        "error", "input_chars", "output_tokens", "output_chars", "latency_seconds", "tokens_per_second", "started_at", "ended_at")
     every = fresh if reused is None else fresh.unionByName(reused, allowMissingColumns=True)
     return every.withColumn("version", F.lit(version))
 

@@ -11,12 +11,17 @@ from caseloom.schemas import TICKETS
 
 def normalize(raw: DataFrame, normalized_at: Column, *, redaction: bool = False,
               payload: str = "raw_payload") -> DataFrame:
-    """One canonical row per payload, plus ``errors`` naming the required fields that failed.
+    """One canonical row per payload, plus ``errors`` naming the fields that failed.
+
+    ``created_at`` must be there; ``subject`` and ``description`` must be text where they are given.
 
     ``payload`` is a variant column, best from ``sources.raw``, whose readers parse each text once.
     """
     # One typed read per payload.  The one-element explode keeps the optimizer from repeating it per field.
     typed = raw.select(F.explode(F.array(F.try_variant_get(payload, "$", N.PAYLOAD))).alias("p")).select("p.*")
+    wrong = F.filter(F.array(*[F.when(F.col(c).isNotNull() & ~F.schema_of_variant(F.col(c)).isin("STRING", "VOID"), F.lit(c))
+                               for c in ("subject", "description")]), lambda e: e.isNotNull())
+    typed = typed.withColumn("wrong", wrong)
     typed = typed.withColumns({c: N.as_text(F.col(c)) for c in (
         "created_at", "updated_at", "solved_at", "status", "priority", "subject", "description")})
     parsed = typed.select(
@@ -30,7 +35,7 @@ def normalize(raw: DataFrame, normalized_at: Column, *, redaction: bool = False,
         N.normalize_comments(N.items(F.col("comments")), normalized_at).alias("comments"),
         N.items(F.col("custom_fields")).alias("fields"),
         N.normalize_attachments(N.items(F.col("attachments"))).alias("attachments"),
-        "assignee_id", "requester_id", "group_id",
+        "assignee_id", "requester_id", "group_id", "wrong",
     ).withColumn("custom_fields", N.flatten_custom_fields(F.col("fields")))
     bodies = F.transform("comments", lambda c: c["body_text"])
     all_text = F.concat_ws(" ", "subject", "description", F.array_join("tags", " "))
@@ -48,8 +53,8 @@ def normalize(raw: DataFrame, normalized_at: Column, *, redaction: bool = False,
         "description_redacted": clean(F.col("description")),
         "pii_redacted_text": clean(F.col("ticket_fulltext")),
         "normalized_at": normalized_at,
-        "errors": F.filter(F.array(F.when(F.col("created_at").isNull(), F.lit("created_at"))),
-                           lambda e: e.isNotNull()),
+        "errors": F.concat(F.filter(F.array(F.when(F.col("created_at").isNull(), F.lit("created_at"))),
+                                    lambda e: e.isNotNull()), F.col("wrong")),
     })
     return full.select(*TICKETS.fieldNames(), "errors")
 
