@@ -22,6 +22,8 @@ from caseloom.session import cut_lineage
 
 #: A token counted more often than this is frequent: it goes to the end of the first order.
 FREQUENT = 64
+#: Slots of a sketch.
+SLOTS = 256
 #: Further orders, by seed.
 ORDERS = (11, 12)
 _POSTINGS = "mark long, settled boolean, id long, n int, pos int, token long"
@@ -187,17 +189,53 @@ def _prefix(threshold: Threshold, own: np.ndarray, seed: int) -> np.ndarray:
     return own if size >= len(own) else own[np.argpartition(rank, size - 1)[:size]]
 
 
+def _sketches(length: int):
+    """How many tokens of each set fall into each of ``SLOTS`` slots, as 2-byte counts."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.bincount((textscan.mix(own) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).clip(0, 65535).astype("<u2").tobytes()
+                    for own in shingle_sets(texts_of(batch.column("text")), length)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "sketch"])
+
+    return run
+
+
+def _may_link(threshold: Threshold):
+    """Pairs whose slots leave room for enough overlap: two sets share at most the smaller count of each slot."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u2").reshape(-1, SLOTS).astype(np.int64)
+                    for n in ("src_sketch", "dst_sketch"))
+            common, sizes = np.minimum(a, b).sum(axis=1), a.sum(axis=1) + b.sum(axis=1)
+            full = (a == 65535).any(axis=1) | (b == 65535).any(axis=1)
+            room = full | (100 * common >= threshold.percent * (sizes - common))
+            yield batch.select(["src", "dst"]).filter(pa.array(room))
+
+    return run
+
+
+def _with_ends(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    ends = [rows.select(F.col("id").alias(name), F.col(column).alias(f"{name}_{column}")) for name in ("src", "dst")]
+    joined = pairs.select("src", "dst").join(ends[0], "src").join(ends[1], "dst")
+    return joined.select("src", "dst", f"src_{column}", f"dst_{column}")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: Threshold, length: int) -> DataFrame:
     """The pairs (src, dst) that are similar enough; dst is the end that many pairs share.
 
-    A table of the wanted identifiers, 2 MB whatever their number, spares most texts the shuffle.
+    Sketches of half a kilobyte come first and leave few pairs for whole texts.  A table of the wanted identifiers,
+    2 MB whatever their number, spares most texts the shuffle.
     """
-    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    texts = only(texts, "id", ids, "id")
-    ends = [texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text")) for name in ("src", "dst")]
-    joined = pairs.select("src", "dst").join(ends[0], "src").join(ends[1], "dst")
-    return cut_lineage(joined.select("src", "dst", "src_text", "dst_text").mapInArrow(
-        _verified(threshold, length), "src long, dst long").distinct())
+
+    def ids(frame: DataFrame) -> DataFrame:
+        return frame.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+    sketches = only(texts, "id", ids(pairs), "id").mapInArrow(_sketches(length), "id long, sketch binary")
+    left = cut_lineage(_with_ends(pairs, sketches, "sketch").mapInArrow(_may_link(threshold), "src long, dst long").distinct())
+    wanted = only(texts, "id", ids(left), "id")
+    return cut_lineage(_with_ends(left, wanted, "text").mapInArrow(_verified(threshold, length), "src long, dst long").distinct())
 
 
 def _ends(links: DataFrame) -> DataFrame:
