@@ -97,7 +97,7 @@ _EDITS = """edits AS (
   SELECT event_id AS edited_at, CASE user_id % 4 WHEN 0 THEN 'move' WHEN 1 THEN 'split' ELSE 'duplicate' END AS action,
          user_id AS ticket_id, event_id % 10 AS cluster_id, event_id % 97 AS target_id FROM events WHERE event_type <> 'error'),
 merges AS (SELECT DISTINCT user_id % 10 AS a, (user_id * 3) % 10 AS b FROM events
-           WHERE event_type = 'error' AND user_id % 30 = 7)"""
+           WHERE event_type = 'error')"""
 
 
 @named("feedback", "WITH RECURSIVE " + _EDITS + """,
@@ -118,7 +118,7 @@ def feedback(spark, folder):
     e = V.table(spark, folder, "events")
     user, merge = F.col("user_id"), F.col("event_type") == "error"
     kind = F.when(user % 4 == 0, F.lit("move")).when(user % 4 == 1, F.lit("split")).otherwise(F.lit("duplicate"))
-    edits = e.where(~merge | (user % 30 == 7)).select(
+    edits = e.select(
         F.col("event_id").alias("edited_at"), F.when(merge, F.lit("merge")).otherwise(kind).alias("action"),
         F.when(~merge, user).alias("ticket_id"),
         F.when(merge, user % 10).otherwise(F.col("event_id") % 10).alias("cluster_id"),

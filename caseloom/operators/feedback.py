@@ -23,10 +23,10 @@ def apply_feedback(assignments: DataFrame, edits: DataFrame) -> DataFrame:
     twin = assignments.select(F.col("ticket_id").cast("string").alias("twin_id"),
                               F.col("cluster_id").alias("twin_cluster"))
     wanted = newest.select("ticket_id", "edit.*").withColumnRenamed("cluster_id", "new_cluster")
-    wanted = wanted.join(twin, F.when(F.col("action") == "duplicate", F.col("target_id").cast("string")) == twin["twin_id"],
-                         "left")
-    moved = wanted.select("ticket_id", F.when(F.col("action") == "duplicate", F.col("twin_cluster"))
-                          .otherwise(F.col("new_cluster")).alias("new_cluster"))
+    # Only duplicates need the join, and a ticket named by many of them is spread.
+    twins = wanted.where(F.col("action") == "duplicate").select("ticket_id", F.col("target_id").cast("string").alias("twin_id"))
+    twins = salted_join(twins, twin, "twin_id", "ticket_id", "left").select("ticket_id", F.col("twin_cluster").alias("new_cluster"))
+    moved = wanted.where(F.col("action") != "duplicate").select("ticket_id", "new_cluster").unionByName(twins)
     placed = assignments.join(moved, "ticket_id", "left").select(
         "ticket_id", F.coalesce("new_cluster", "cluster_id").alias("cluster_id"),
         F.when(F.col("new_cluster").isNotNull(), F.lit("human")).otherwise(F.lit("auto")).alias("assigned_by"))

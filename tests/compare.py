@@ -59,7 +59,7 @@ def main() -> int:
     from caseloom import build_session
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = build_session("compare", "local[8]", **{
+    spark = build_session("compare", f"local[{os.environ.get('COMPARE_CPUS', '8')}]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, checks = entry_points.queries(), entry_points.oracle_sql()

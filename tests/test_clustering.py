@@ -103,3 +103,11 @@ def test_feedback_newest_edit_wins_and_merges_chain(spark):
     got = {r.ticket_id: (r.cluster_id, r.assigned_by) for r in H.apply_feedback(base, edits).collect()}
     assert got == {"a": (6, "human"), "b": (3, "human"), "c": (100, "human"), "d": (3, "human"), "e": (9, "auto")}
     assert [(r.id, r.duplicate_of) for r in H.duplicate_marks(edits).collect()] == [("b", "d")]
+
+
+def test_no_link_is_lost_between_dense_groups(spark):
+    # Two bands of 30 rows; each row's nearest 29 are its own band, and the bands are near enough to link.
+    rows = [(i, [1.0, 0.0005 * (i % 30), 0.05 * (i // 30)]) for i in range(60)]
+    data = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    found = D.density_clusters(data, eps=0.1).collect()
+    assert {r.cluster_id for r in found} == {0} and len(found) == 60
