@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from caseloom.llm.tasks import worker_cache
+
 #: Bytes handled at once: the working arrays take about 60 times as much.
 SLICE_BYTES = 1 << 20
 
@@ -57,13 +59,11 @@ class Family:
         return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
-_families: dict[int, Family] = {}
-
-
 def family(seed: int) -> Family:
-    if seed not in _families:
-        _families[seed] = Family(seed)
-    return _families[seed]
+    known = worker_cache().setdefault("families", {})
+    if seed not in known:
+        known[seed] = Family(seed)
+    return known[seed]
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
