@@ -319,5 +319,10 @@ def keep_one(documents: DataFrame, percent: int = 80, length: int = 5, id_column
     stays do so too.  Other cases as in ``shingle_components``.
     """
     found = shingle_components(documents, percent, length, id_column, text_column)
-    goes = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__goes")).distinct()
-    return documents.join(goes, documents[id_column] == goes["__goes"], "left_anti")
+    goes = cut_lineage(found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__goes")).distinct())
+    keyed = documents.withColumn("__id", F.col(id_column).cast("long"))
+    known = keyed.where("__id IS NOT NULL")
+    # Texts of documents that surely stay need no shuffle.
+    stay = [keyed.where("__id IS NULL"), only(known, "__id", goes, "__goes", outside=True),
+            only(known, "__id", goes, "__goes").join(goes, F.col("__id") == F.col("__goes"), "left_anti")]
+    return stay[0].unionByName(stay[1]).unionByName(stay[2]).select(*[F.col(f"`{c}`") for c in documents.columns])
