@@ -229,7 +229,11 @@ def fit(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE_PAGES,
     """
     from caseloom.llm.labelled_pages import labelled_pages
     text = F.col(html_column).cast("string")
-    rows = pages.select(text.alias("html")).where(F.length("html") <= chars).orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    short = pages.select(text.alias("html")).where(F.length("html") <= chars).withColumn("mark", F.xxhash64("html"))
+    # The marks alone find the last page wanted, so no task sends more pages than are used.
+    last = short.select("mark").distinct().orderBy("mark").limit(sample).agg(F.max("mark").alias("mark")).first()["mark"]
+    wanted = short.where(F.col("mark") <= F.lit(last)).dropDuplicates(["mark"]) if last is not None else short.limit(0)
+    rows = wanted.orderBy("mark").collect()
     training = list(labelled_pages())
     for row in rows:
         page = blocks(row["html"])
