@@ -21,6 +21,9 @@ QUERY_BYTES, QUERY_ROUNDS = 100_000, 24
 LONG = 64
 #: Pieces, and stretches between spaces, in one of the two generations that a worker remembers.
 REMEMBERED = 350_000
+#: What the pattern's white space is.  A text is cut at a space that none of it touches; an odd text has other spaces too.
+_SPACE = " \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD, _CUT = f"[{_SPACE}] | [{_SPACE}]", regex.compile(r"(?<=\S) (?=\S)")
 #: Text whose tokens are decoded by one query.
 DECODE_BYTES = 1 << 20
 _DUCKDB = {"threads": 1, "memory_limit": "160MB", "preserve_insertion_order": False}
@@ -99,12 +102,12 @@ class BpeTables:
         """What each piece becomes."""
         found: list = [None] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        open_, size = [], 0
+        open_, size, wholes = [], 0, []
         for i in order:
             piece = pieces[i]
             whole = self.ranks.get(piece)
             if whole is not None:
-                found[i] = (1, str(whole), piece)
+                wholes.append((i, whole))
                 continue
             if open_ and (size + len(piece) > QUERY_BYTES or len(piece) > LONG >= len(pieces[open_[0]])):
                 self._merge(open_, pieces, found)
@@ -113,6 +116,8 @@ class BpeTables:
             size += len(piece)
         if open_:
             self._merge(open_, pieces, found)
+        for (i, whole), back in zip(wholes, self.decode([np.array([whole]) for _, whole in wholes])):
+            found[i] = (1, str(whole), back)
         return found
 
     def _merge(self, open_: list[int], pieces: list[bytes], found: list) -> None:
@@ -156,20 +161,25 @@ class BpeTables:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """For each text the number of its tokens, their ids in decimal joined by a space, and the decoded bytes.
 
-        A text is cut at single spaces into stretches, each with the space before it: a space that a printing
-        character follows starts a match in any case, so stretches can be cut by themselves.  A text with double
-        spaces stays one stretch.  Each distinct stretch is resolved once.
+        A text is cut into stretches at the spaces between two characters that are not white space, each stretch with
+        the space before it: such a space starts a match in any case, so stretches can be cut by themselves.  A space
+        that touches other white space may stand inside a match and stays within its stretch.  Each distinct stretch is
+        resolved once.
         """
         if not len(texts):
             return np.zeros(0, np.int64), pa.array([], pa.string()), pa.array([], pa.binary())
-        whole = pc.match_substring(texts, "  ")
-        parts = pc.split_pattern(pc.if_else(whole, pa.scalar("", pa.large_string()), texts), " ")
+        odd = pc.match_substring_regex(texts, _ODD)
+        parts = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), texts), " ")
+        if pc.any(odd).as_py():
+            own = pa.array([_CUT.split(text) for text in texts.filter(odd).to_pylist()], parts.type)
+            order = np.arange(len(texts))
+            order[odd.to_numpy(zero_copy_only=False)] = len(texts) + np.arange(len(own))
+            parts = pa.concat_arrays([parts, own]).take(pa.array(order))
         bounds = parts.offsets.to_numpy().astype(np.int64)
         words = parts.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         at = words.indices.to_numpy().astype(np.int64)
-        firsts = [text.as_py() if alone else distinct[i]
-                  for text, alone, i in zip(texts, whole.to_pylist(), at[bounds[:-1]].tolist())]
+        firsts = [distinct[i] for i in at[bounds[:-1]].tolist()]
         at[bounds[:-1]] = len(distinct) + np.arange(len(firsts))
         counts, decimals, backs = zip(*self.resolve([" " + word for word in distinct] + firsts))
         lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind).take(pa.array(at)))
