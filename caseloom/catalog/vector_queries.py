@@ -97,6 +97,16 @@ def near_duplicates(spark, folder):
     return found.withColumn("score", F.round("score", 6))
 
 
+@named("near_duplicate_groups", "WITH RECURSIVE " + _SCORES + """,
+links AS MATERIALIZED (SELECT query_id AS src, neighbour_id AS dst FROM scores WHERE score >= 0.45),
+reach AS (SELECT src AS id, src AS other FROM links UNION SELECT id, dst FROM reach JOIN links ON src = other),
+n AS (SELECT src AS id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT id, min(other) AS group_id, any_value(n_links) AS n_links FROM reach JOIN n USING (id) GROUP BY 1""")
+def near_duplicate_groups(spark, folder):
+    """All pairs count here, where near_duplicates names one earlier ticket."""
+    return B.duplicate_groups(V.vectors(spark, folder), 0.45)
+
+
 @named("duplicate_hit_rate", "WITH " + _SCORES + ", " + _top(20) + """,
 q AS (SELECT query_id, bool_or(query_label = label) AS hit FROM hits GROUP BY 1)
 SELECT count(*) AS n_queries, count(*) FILTER (hit) AS n_hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS hit_rate

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from caseloom.operators.components import components
 from caseloom.operators.joins import salted_join
 from caseloom.session import cut_lineage
 
@@ -32,6 +33,8 @@ MAX_CELLS = 1024
 COLUMN_BYTES = 32 << 20
 MIN_COLUMN_ROWS = 2048
 SCORE_DIGITS = 9
+#: Partners that the first search for groups of duplicates takes; full lists are searched again for more.
+GROUP_NEIGHBOURS = 15
 
 
 def is_zero(vector: Column) -> Column:
@@ -162,20 +165,21 @@ def _columns(counts: list, column_rows: int) -> list:
 
 
 def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows: list, k: int, *,
-            exclude_self: bool, earlier_only: bool, min_score: float | None, column_rows: int) -> DataFrame:
-    """Best k corpus rows per query and corpus column."""
+            exclude_self: bool, earlier_only: bool, min_score: float | None, column_rows: int,
+            weighed: bool = False) -> DataFrame:
+    """Best k corpus rows per query and corpus column; ``weighed`` sums the ``n`` of all that reach the score instead."""
     def lookup(values: list) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cell") + 1)
 
     q_cols, c_cols = lookup(_columns(query_rows, column_rows)), lookup(_columns(corpus_rows, column_rows))
 
     def spread(frame: DataFrame, own: str, own_cols: Column, other: str, other_cols: Column) -> DataFrame:
-        return frame.select("cell", "id", "vec",
+        return frame.select(*frame.columns,
                             F.pmod(F.xxhash64("id"), own_cols).cast("int").alias(own),
                             F.explode(F.sequence(F.lit(0), other_cols - 1)).alias(other))
 
     left = spread(visits, "q_col", q_cols, "c_col", c_cols)
-    right = spread(placed.select("cell", "id", "vec"), "c_col", c_cols, "q_col", q_cols)
+    right = spread(placed.select("cell", "id", "vec", *(["n"] if weighed else [])), "c_col", c_cols, "q_col", q_cols)
     key = ["cell", "q_col", "c_col"]
     id_type = visits.schema["id"].dataType
     other_type = placed.schema["id"].dataType
@@ -218,7 +222,23 @@ def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows:
         return pd.DataFrame({"query_id": np.concatenate(found_q), "neighbour_id": np.concatenate(found_c),
                              "score": np.concatenate(found_s)})
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, schema)
+    def weigh(a, b):
+        import numpy as np
+        import pandas as pd
+        total = np.zeros(len(a), np.int64)
+        if len(a) and len(b):
+            q_ids, c_ids, n = a["id"].to_numpy(), b["id"].to_numpy(), b["n"].to_numpy()
+            q, c = read(a["vec"]), read(b["vec"])
+            for start in range(0, len(q_ids), block):
+                score = np.round(q[start:start + block] @ c.T, digits) + 0.0
+                reached = (score >= min_score) & (q_ids[start:start + block, None] != c_ids[None, :])
+                total[start:start + block] = reached @ n
+        return pd.DataFrame({"query_id": a["id"], "links": total})
+
+    pairs = left.groupBy(*key).cogroup(right.groupBy(*key))
+    if weighed:
+        return pairs.applyInPandas(weigh, T.StructType([schema["query_id"], T.StructField("links", T.LongType())]))
+    return pairs.applyInPandas(compare, schema)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -289,6 +309,16 @@ def _blank_answers(zero_queries: DataFrame, corpus: DataFrame, k: int, exclude_s
         "query_id", "neighbour_id", F.lit(0.0).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
+def _folded(vectors: DataFrame, min_score: float) -> tuple[DataFrame, DataFrame]:
+    """Vectors with a digest, and one row per different vector: its first id and its number of rows."""
+    if min_score <= 0:
+        raise ValueError("duplicates need a positive score")
+    marked = vectors.where(~is_zero(F.col("vec"))).select(
+        "id", "vec", F.md5(F.to_json(F.struct("vec"))).alias("digest"))
+    return marked, marked.groupBy("digest").agg(
+        F.min("id").alias("first_id"), F.min_by("vec", "id").alias("vec"), F.count(F.lit(1)).alias("n"))
+
+
 def duplicate_edges(vectors: DataFrame, min_score: float, **layout) -> DataFrame:
     """(ticket, duplicate_of, score): the most similar earlier ticket at or above the score.
 
@@ -296,12 +326,7 @@ def duplicate_edges(vectors: DataFrame, min_score: float, **layout) -> DataFrame
     their first row before the search, so a large group of copies costs one
     comparison and not one per pair.
     """
-    if min_score <= 0:
-        raise ValueError("duplicates need a positive score")
-    marked = vectors.where(~is_zero(F.col("vec"))).select(
-        "id", "vec", F.md5(F.to_json(F.struct("vec"))).alias("digest"))
-    groups = marked.groupBy("digest").agg(
-        F.min("id").alias("first_id"), F.min_by("vec", "id").alias("vec"), F.count(F.lit(1)).alias("n"))
+    marked, groups = _folded(vectors, min_score)
     repeated = groups.where(F.col("n") > 1).select("digest", "first_id")
     copies = salted_join(marked.select("id", "digest"), repeated, "digest", "id").where(
         F.col("id") != F.col("first_id")).select("id", F.col("first_id").alias("duplicate_of"), F.lit(1.0).alias("score"))
@@ -309,3 +334,66 @@ def duplicate_edges(vectors: DataFrame, min_score: float, **layout) -> DataFrame
     searched = nearest(firsts, firsts, 1, earlier_only=True, min_score=min_score, **layout)
     edges = searched.select(F.col("query_id").alias("id"), F.col("neighbour_id").alias("duplicate_of"), "score")
     return edges.unionByName(copies)
+
+
+def duplicate_groups(vectors: DataFrame, min_score: float, **layout) -> DataFrame:
+    """(id, group_id, n_links): tickets linked by any pairs at or above the score, named by the smallest ticket.
+
+    ``n_links`` counts all other tickets at or above the score.  Every pair counts, yet none is stored: links are summed
+    where they are compared, and groups come from lists of nearest partners that grow until no link left out can join
+    two groups.  Tickets without a link are left out.
+    """
+    marked, groups = _folded(vectors, min_score)
+    firsts = cut_lineage(groups.select(F.col("first_id").alias("id"), "vec", "n", "digest"))
+    found = _linked(firsts.select("id", "vec"), min_score, layout)
+    counts = _link_counts(firsts, min_score, **layout).groupBy("query_id").agg(F.sum("links").alias("links"))
+    named = firsts.join(found, firsts["id"] == found["node"]).join(counts, firsts["id"] == counts["query_id"], "left").select(
+        "digest", F.col("component").alias("group_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links")).where(F.col("n_links") > 0)
+    return salted_join(marked.select("id", "digest"), named, "digest", "id").select("id", "group_id", "n_links")
+
+
+def _linked(firsts: DataFrame, min_score: float, layout: dict) -> DataFrame:
+    """(node, component) of all links: one that a search leaves out has two ends with full lists.
+
+    As long as rows with full lists lie in different components, those outside the largest one search again, among such
+    rows, for four times as many.
+    """
+    def near(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+        found = nearest(queries, corpus, k, exclude_self=True, min_score=min_score, **layout)
+        return cut_lineage(found.select(F.col("query_id").alias("src"), F.col("neighbour_id").alias("dst")))
+
+    def filled(found: DataFrame, k: int) -> DataFrame:
+        return found.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("src").alias("node"))
+
+    k = GROUP_NEIGHBOURS
+    nodes = firsts.select(F.col("id").alias("node"))
+    links = near(firsts, firsts, k)
+    full = filled(links, k)
+    while True:
+        labels = components(nodes, links)
+        open_ = cut_lineage(labels.join(full, "node", "left_semi"))
+        sizes = open_.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(2).collect()
+        if len(sizes) < 2:
+            return labels
+        largest = F.col("component") == F.lit(sizes[0]["component"])
+        corpus = cut_lineage(firsts.join(open_.select(F.col("node").alias("id")), "id", "left_semi"))
+        queries = cut_lineage(corpus.join(open_.where(~largest).select(F.col("node").alias("id")), "id", "left_semi"))
+        k *= 4
+        more = near(queries, corpus, k)
+        links = links.unionByName(more)
+        again = cut_lineage(filled(more, k))
+        # The largest component's rows stay partners of those whose lists are full again.
+        full = again if again.isEmpty() else again.unionByName(open_.where(largest).select("node"))
+
+
+def _link_counts(firsts: DataFrame, min_score: float, cells: int | None = None, column_rows: int | None = None) -> DataFrame:
+    """(query_id, links): per pair of columns, the tickets behind the other vectors at or above the score."""
+    total = firsts.count()
+    placed, layout = _build_cells(firsts.select("id", "vec", "n"), cells, total)
+    options = dict(exclude_self=True, earlier_only=False, min_score=min_score, weighed=True,
+                   column_rows=column_rows or _column_rows(firsts, total))
+    queries = firsts.select("id", "vec")
+    if layout.single:
+        return _search(queries.withColumn("cell", F.lit(0)), placed, layout.rows, [total], 0, **options)
+    return _search_cells(queries, placed, layout, 0, options)

@@ -82,6 +82,30 @@ def test_duplicates_give_one_edge_each(spark, layout):
     assert all(got[i] == (0, 1.0) for i in range(150, 240))
 
 
+@pytest.mark.parametrize("layout", [{}, {"cells": 6, "column_rows": 40}])
+def test_groups_hold_every_pair(spark, layout):
+    """The third row resembles the first and, less, the second, which do not resemble each other; one edge each drops the second."""
+    bridge = [[1, 0, 0], [0.3, 1, 0], [1, 0.9, 0], [0, 0, 1]]
+    got = {r.id: (r.group_id, r.n_links) for r in B.duplicate_groups(frame(spark, np.array(bridge)), 0.7).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 2)}
+    points = planted(9, rows=300, centres=4, copies=60)
+    found = brute(points, points, len(points), self_excluded=True, floor=0.9)
+    parent = {i: i for i in found}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, partners in found.items():
+        for j, _ in partners:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    assert max(map(len, found.values())) > 4 * B.GROUP_NEIGHBOURS
+    got = {r.id: (r.group_id, r.n_links) for r in B.duplicate_groups(frame(spark, points), 0.9, **layout).collect()}
+    assert got == {i: (root(i), len(partners)) for i, partners in found.items()}
+
+
 def test_votes(spark):
     hits = spark.createDataFrame(
         [(1, 10, 0.5, 1), (1, 11, 0.3, 2), (1, 12, 0.2, 3), (2, 13, 0.9, 1), (3, 10, 0.4, 1), (3, 13, 0.3, 2)],
