@@ -21,13 +21,41 @@ _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements whose text stays within the running text; every other tag ends a block.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp "
-                    "small span strike strong sub sup time tt u var wbr".split())
+                    "small span strike strong sub sup time tt u var wbr object param math semantics annotation annotation-xml mi mn mo ms mtext "
+                    "mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+                    "mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction menclose".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("script style template noscript svg iframe object head math".split())
+#: Elements left out to their closing tag: without one, the first kind takes the rest of the page, the second is a normal element.
+_RAW, _SKIPPED = frozenset("script style template".split()), frozenset("noscript svg iframe".split())
+#: What else may stand in a head; anything more ends it, closed or not.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript title".split())
 #: An opening tag that ends an open element of the same kind.
 _ENDS_ITSELF = frozenset("p li dt dd tr td th option".split())
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    return stop.end() if stop else len(page)
+
+
+def _closings(page: str) -> dict[int, int]:
+    """Where each closed element of ``_SKIPPED`` ends, by the end of its opening tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in _SKIPPED}
+    at = 0
+    while match := _TOKEN.search(page, at):
+        at, tag = match.end(), (match[2] or "").lower()
+        if match[1]:
+            if opened.get(tag):
+                ends[opened[tag].pop()] = at
+        elif not (match[3] or "").endswith("/"):
+            if tag in _RAW:
+                at = _raw_end(page, tag, at)
+            elif tag in _SKIPPED:
+                opened[tag].append(at)
+    return ends
+
+
 @dataclass
 class Block:
     """A run of text without a block-level tag inside: its words joined, its ancestors, and how much of it is links."""
@@ -44,6 +72,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links = [0, 0]  # open links, characters in links
     at, path, block_path, end = 0, (), (), len(page)
+    in_head, in_title, title_open, closings = False, False, False, None
 
     def close() -> None:
         if parts:
@@ -56,6 +85,11 @@ def blocks(page: str) -> list[Block]:
     while at < end:
         match = _TOKEN.search(page, at)
         text = page[at:match.start() if match else end]
+        if in_head and text:
+            if in_title or not text.strip():
+                text = ""
+            else:
+                in_head = False
         if text:
             if not parts:
                 block_path = path
@@ -69,14 +103,33 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        in_title = False
+        if tag in _RAW and not match[1]:
+            if not match[3].endswith("/"):
+                at = _raw_end(page, tag, at)
+            continue
         if tag in _SKIPPED and not match[1]:
+            if match[3].endswith("/"):
+                continue
+            if closings is None:
+                closings = _closings(page)
+            if at in closings:
+                at = closings[at]
+                continue
+        if tag == "head":
             close()
-            if not match[3].endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if stop is None and tag == "head":
-                    stop = re.compile(r"(?=<body\b)", re.I).search(page, at)
-                at = stop.end() if stop else end
+            in_head = not match[1]
             continue
+        if in_head:
+            if match[1]:
+                continue
+            if tag in _HEAD:
+                if tag in ("title", "noframes"):
+                    stop = None if title_open else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    at, title_open = (stop.end(), False) if stop else (at, True)
+                    in_title = stop is None
+                continue
+            in_head = False
         if tag == "br":
             parts.append(" ") if parts else None
             continue

@@ -40,6 +40,38 @@ def test_odd_pages(spark, model):
     assert isinstance(fit(rows), ChainField)
 
 
+def texts(page):
+    return [b.text for b in blocks(page)]
+
+
+def test_head_ends_where_the_body_starts():
+    article = "<article><p>One.<p>Two.</article>"
+    meta = '<meta charset="utf-8"><link href="a"><title>T <b> t</title><style>p{}</style><script>var a = "<p>no</p>";</script>'
+    for page in (f"<html><head>{meta}{article}", f"<html><head>{meta}</head>{article}", f"<head>{meta}<body>{article}",
+                 f"<head>{meta}</head><body>{article}</body>", f"<head><noscript><img></noscript>{meta}\n{article}", f"<head><title>T{article}"):
+        assert texts(page) == ["One.", "Two."]
+    assert texts("<head><title>T</title>Plain text.<p>One.") == ["Plain text.", "One."]
+
+
+def test_unclosed_elements_keep_the_rest():
+    for tag in ("noscript", "svg", "object", "iframe", "math"):
+        assert texts(f"<p>One.</p><{tag}><p>Two.</p><p>Three.</p>") == ["One.", "Two.", "Three."]
+    for tag in ("noscript", "svg", "iframe"):
+        assert texts(f"<p>One.</p><{tag}>no</{tag}><p>Two.</p><{tag}/><p>Three.</p>") == ["One.", "Two.", "Three."]
+        assert texts(f"<{tag}><p>One.</p><{tag}>no</{tag}><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<svg><svg>no</svg>no</svg><p>One.</p><script>no <p>no</p>") == ["One."]
+
+
+def test_formulas_and_fallbacks_stay_in_their_paragraph():
+    assert texts("<p>As <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds.</p>") == ["As x=2 holds."]
+    assert texts('<p>See <object data="a"><param name="b">the picture</object> here.</p>') == ["See the picture here."]
+
+
+def test_skipped_elements_do_not_cut_a_paragraph():
+    for tag in ("script", "style", "template", "noscript", "svg", "iframe"):
+        assert texts(f"<p>One <{tag}>no</{tag}>line.</p>") == ["One line."]
+
+
 def test_labels_of_other_pages(model):
     wrong = total = 0
     for page, labels in labelled_pages(100, seed=99):
