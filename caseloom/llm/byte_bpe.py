@@ -19,8 +19,8 @@ from caseloom.llm.tasks import Memory, bytes_of, pieces, texts_of, worker_cache
 QUERY_BYTES, QUERY_ROUNDS = 100_000, 24
 #: A piece of more bytes is worked off a few rounds at a time.
 LONG = 64
-#: Pieces, and stretches between spaces, in one of the two generations that a worker remembers.
-REMEMBERED = 350_000
+#: Bytes of pieces, and of stretches between spaces, in one of the two generations that a worker remembers.
+REMEMBERED = 40 << 20
 #: What the pattern's white space is.  A text is cut at a space that none of it touches; an odd text has other spaces too.
 _SPACE = " \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD, _CUT = f"[{_SPACE}] | [{_SPACE}]", regex.compile(r"(?<=\S) (?=\S)")
@@ -92,7 +92,9 @@ class BpeTables:
             "tok": pa.array(self.ranks.values(), pa.int32()),
             "text": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}))
         self.sql.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.known, self.stretches = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.known = Memory(REMEMBERED, lambda piece, became: 350 + 2 * len(piece) + len(became[1]) + len(became[2]))
+        # A stretch of one piece shares what that piece became.
+        self.stretches = Memory(REMEMBERED, lambda one, became: 160 + (4 * len(one) if became[0] < 2 else 200 + 2 * len(one) + len(became[1]) + len(became[2])))
 
     def _put(self, name: str, **columns: np.ndarray) -> None:
         self.sql.register("given", pa.table(columns))
@@ -148,11 +150,13 @@ class BpeTables:
         new = memory.missing(set(stretches))
         matches = [self.pattern.findall(one) for one in new]
         pieces = known.missing({piece for own in matches for piece in own})
-        known.now.update(zip(pieces, self.encode_pieces([p.encode() for p in pieces])))
-        for one, own in zip(new, matches):
+        known.learn(zip(pieces, self.encode_pieces([p.encode() for p in pieces])))
+        became = []
+        for own in matches:
             parts = [known.now[piece] for piece in own]
-            memory.now[one] = parts[0] if len(parts) == 1 else (
-                sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), b"".join([p[2] for p in parts]))
+            became.append(parts[0] if len(parts) == 1 else (
+                sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), b"".join([p[2] for p in parts])))
+        memory.learn(zip(new, became))
         out = list(map(memory.now.__getitem__, stretches))
         memory.age()
         known.age()

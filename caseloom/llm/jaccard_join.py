@@ -55,7 +55,7 @@ def shingle_sets(texts: pa.Array, length: int):
     for first, last in pieces(bounds, textscan.SLICE_BYTES):
         part, own = data[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first]
         starts, ends, index = textscan.word_spans(part, own)
-        words = textscan.word_hashes(part, starts, ends, lower=True)
+        words = textscan.word_values(part, starts, ends, lower=True)[0]
         counts = np.diff(index)
         at = np.arange(len(words))
         stop = np.repeat(index[1:], counts)

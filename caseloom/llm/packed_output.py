@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from caseloom.llm.tasks import Memory, bytes_of, pieces, texts_of, worker_cache
 from caseloom.session import shared_dir
 
-#: Stretches between spaces, in one of the two generations whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of stretches between spaces, in one of the two generations whose ids a worker remembers.
+REMEMBERED = 96 << 20
 #: Bytes of records that one reading task takes, about.
 READ_BYTES = 32 << 20
 _INDEX = "part int, file string, number long, offset long, length long, n_tokens long, before long"
@@ -59,8 +59,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known = Memory(REMEMBERED)
+        self.known = Memory(REMEMBERED, lambda stretch, ids: 200 + 2 * len(stretch) + len(ids))
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as 4-byte little-endian integers."""
@@ -75,7 +74,7 @@ class WordEncoder:
         for first in range(0, len(new), 4000):
             some = new[first:first + 4000]
             encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.now.update(zip(some, [struct.pack(f"<{len(ids)}I", *ids) for ids in (one.ids for one in encoded)]))
+            known.learn(zip(some, [struct.pack(f"<{len(ids)}I", *ids) for ids in (one.ids for one in encoded)]))
         ids = pa.array(list(map(known.now.__getitem__, distinct)), pa.binary()).take(words.indices)
         known.age()
         return pc.binary_join(pa.ListArray.from_arrays(parts.offsets.cast(pa.int32()), ids), b"")

@@ -28,12 +28,16 @@ def worker_cache() -> dict:
 
 
 class Memory:
-    """What was met lately: the present generation of ``limit`` entries, filled from the one before when one is met again."""
+    """What was met lately: the present generation of about ``limit`` bytes, filled from the one before when one is met again.
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    ``weigh`` tells the bytes of an entry.
+    """
+
+    def __init__(self, limit: int, weigh):
+        self.limit, self.weigh = limit, weigh
         self.now: dict = {}
         self.before: dict = {}
+        self.size = 0
 
     def missing(self, wanted: set) -> list:
         """Those of ``wanted`` that are unknown; the others are in the present generation afterwards."""
@@ -45,11 +49,18 @@ class Memory:
                     missing.append(one)
                 else:
                     now[one] = old
+                    self.size += self.weigh(one, old)
         return missing
 
+    def learn(self, entries) -> None:
+        now, weigh = self.now, self.weigh
+        for one, value in entries:
+            now[one] = value
+            self.size += weigh(one, value)
+
     def age(self) -> None:
-        if len(self.now) > self.limit:
-            self.before, self.now = self.now, {}
+        if self.size > self.limit:
+            self.before, self.now, self.size = self.now, {}, 0
 
 
 def texts_of(column) -> pa.Array:

@@ -1,11 +1,14 @@
 """Words and word windows of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-A word is a run of bytes other than the six ASCII white-space characters.  Fingerprints are polynomials modulo 2**64
-over random byte values, mixed afterwards; two families give 128 bits where a window's identity rests on them alone.
+A word is a run of bytes other than the six ASCII white-space characters.  Where identity rests on a word, its value is a
+keyed 128-bit hash of all its bytes, as two independent halves.  Fingerprints of windows are polynomials modulo 2**64 over
+such values, mixed afterwards; two families over the two halves decide where a window's identity rests on them alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from caseloom.llm.tasks import worker_cache
@@ -87,6 +90,34 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+class _WordValues(dict):
+    """The hash of every word met lately; ``size`` are the bytes held."""
+
+    size = 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        value = hashlib.blake2b(word, digest_size=16, key=b"word values").digest()
+        if len(word) <= 64:
+            self[word] = value
+            self.size += 230 + len(word)
+        return value
+
+
+#: Bytes of words and their hashes that a worker remembers.
+REMEMBERED = 32 << 20
+
+
+def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """(2, words): the two halves of a keyed 128-bit hash of each word."""
+    known = worker_cache().setdefault("word_values", _WordValues())
+    if known.size > REMEMBERED:
+        known.clear()
+        known.size = 0
+    raw = (_LOWER[data] if lower else data).tobytes()
+    words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    return np.ascontiguousarray(np.frombuffer(b"".join(map(known.__getitem__, words)), "<u8").reshape(-1, 2).T)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 1) -> np.ndarray:
     own = family(seed)
     return own.spans(own.values[_LOWER[data] if lower else data], starts, ends)

@@ -34,6 +34,14 @@ def documents(seed: int = 4, count: int = 60) -> list[tuple]:
     return rows
 
 
+def thue_morse(steps: int) -> tuple[str, str]:
+    """A word of 2**steps letters and its complement; polynomials modulo a power of two cannot tell long ones apart."""
+    word = "a"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def frame(spark, rows: list[tuple] | None = None, parts: int = 5):
     rows = documents() if rows is None else rows
     full = [(*r, "x", 1, 0.5, True, 7, 3, "k") for r in rows]

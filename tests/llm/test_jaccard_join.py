@@ -4,7 +4,7 @@ import pytest
 
 from caseloom.llm import jaccard_join
 from caseloom.llm.jaccard_join import keep_one, shingle_components
-from tests.llm.common import components, documents, empty, frame, ordered
+from tests.llm.common import components, documents, empty, frame, ordered, thue_morse
 
 
 @pytest.mark.parametrize("percent, length", [(90, 3), (80, 5), (100, 2)])
@@ -39,3 +39,10 @@ def test_one_row_of_each_component_stays(spark):
 
 def test_empty_table(spark):
     assert shingle_components(empty(spark)).count() == 0
+
+
+def test_words_that_polynomials_confuse_and_a_long_text(spark):
+    one, two = thue_morse(11)
+    long = " ".join(f"w{k}" for k in range(800_000))
+    rows = [(1, f"{one} x y", "en", "s"), (2, f"{two} x y", "en", "s"), (3, long, "en", "s"), (4, long + " end", "en", "s")]
+    assert ordered(shingle_components(frame(spark, rows)).collect()) == [(1, 1, 1), (2, 1, 2), (3, 799_998, 3), (4, 799_999, 3)]

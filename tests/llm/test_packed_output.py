@@ -14,8 +14,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_reads_what_was_written(spark):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    rows = documents() + [(1, "It's a, b. c,d", "en", "s"), (2, "Ünïcode ́ ΑΣ.\nx", "en", "s")]
+    rows = documents() + [(1, "It's a, b. c,d", "en", "s"), (7, "ab <|endoftext|> cd<|startoftext|>, e <|ENDOFTEXT|>. <|endoftext |>", "en", "s"), (2, "Ünïcode ́ ΑΣ.\nx", "en", "s")]
     folder = new_folder(spark, "packed")
     index = write_tokens(frame(spark, rows), folder, PATH)
     got = sorted(read_tokens(spark, folder).collect(), key=lambda r: r["start"])
