@@ -211,7 +211,7 @@ class BpeTables:
 
 
 def tables(path: str, pattern: str) -> BpeTables:
-    cache = worker_cache()
+    cache = worker_cache("byte_bpe")
     key = ("byte_bpe", path, pattern)
     if key not in cache:
         cache[key] = BpeTables(path, pattern)

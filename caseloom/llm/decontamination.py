@@ -112,7 +112,7 @@ class WindowMatcher:
 def _matcher(shard) -> WindowMatcher:
     """The automaton of a broadcast shard; a worker keeps one."""
     name, sent = shard
-    cache = worker_cache()
+    cache = worker_cache("decontamination")
     if cache.get("matcher", (None,))[0] != name:
         cache["matcher"] = (name, WindowMatcher(sent.value))
     return cache["matcher"][1]

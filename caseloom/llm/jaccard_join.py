@@ -22,6 +22,8 @@ from caseloom.session import cut_lineage
 
 #: A token counted more often than this is frequent: it goes to the end of the first order.
 FREQUENT = 64
+#: Bytes of an Arrow batch: sets and pairs take several times as much as their texts.
+BATCH_BYTES = 4 << 20
 #: Slots of a sketch.
 SLOTS = 256
 #: Further orders, by seed.
@@ -206,9 +208,9 @@ def _may_link(threshold: Threshold):
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u2").reshape(-1, SLOTS).astype(np.int64)
-                    for n in ("src_sketch", "dst_sketch"))
-            common, sizes = np.minimum(a, b).sum(axis=1), a.sum(axis=1) + b.sum(axis=1)
+            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u2").reshape(-1, SLOTS) for n in ("src_sketch", "dst_sketch"))
+            common = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+            sizes = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
             full = (a == 65535).any(axis=1) | (b == 65535).any(axis=1)
             room = full | (100 * common >= threshold.percent * (sizes - common))
             yield batch.select(["src", "dst"]).filter(pa.array(room))

@@ -81,7 +81,7 @@ class WordEncoder:
 
 
 def _encoder(path: str) -> WordEncoder:
-    cache = worker_cache()
+    cache = worker_cache("packed_output")
     if ("word_encoder", path) not in cache:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caseloom.llm import (
     byte_bpe, conversation_repair, decontamination, exact_dedup, html_extract, jaccard_join, language_id, mixing,
     packed_output, quality_classifier, quality_rules, substring_dedup, target_resampling)
-from caseloom.llm.tasks import prepare
+from caseloom.llm.tasks import BATCH_BYTES, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def _named(name: str, sql: str | None = None):
+def _named(name: str, sql: str | None = None, batch_bytes: int = BATCH_BYTES):
     def keep(function):
-        QUERIES[name] = lambda spark, folder: function(prepare(spark), folder)
+        QUERIES[name] = lambda spark, folder: function(prepare(spark, batch_bytes), folder)
         if sql is not None:
             CHECKS[name] = sql
         return function
@@ -94,7 +94,7 @@ def op7_substring_dedup(spark, folder):
     return substring_dedup.remove_repeated(_documents(spark, folder))
 
 
-@_named("op6_jaccard_join")
+@_named("op6_jaccard_join", batch_bytes=jaccard_join.BATCH_BYTES)
 def op6_jaccard_join(spark, folder):
     return jaccard_join.shingle_components(_documents(spark, folder))
 

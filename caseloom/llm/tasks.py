@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
@@ -16,15 +18,28 @@ from caseloom.session import prepare_session
 BATCH_BYTES = 8 << 20
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> SparkSession:
     prepare_session(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return spark
 
 
-def worker_cache() -> dict:
-    """A dictionary that outlives a task in the Python worker that ran it."""
-    return sys.modules.setdefault("_caseloom_worker_cache", types.ModuleType("_caseloom_worker_cache")).__dict__
+def worker_cache(owner: str) -> dict:
+    """A dictionary that outlives a task in the Python worker that ran it.
+
+    A worker serves one operator after the other.  It keeps what belongs to one owner: another one finds the dictionary
+    empty, and the memory given back to the system.
+    """
+    held = sys.modules.setdefault("_caseloom_worker_cache", types.ModuleType("_caseloom_worker_cache")).__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["cache"] = owner, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # other C libraries have no such call
+            pass
+    return held["cache"]
 
 
 class Memory:

@@ -1,7 +1,7 @@
 """Words and word windows of many texts at once, as numpy arrays over their UTF-8 bytes.
 
 A word is a run of bytes other than the six ASCII white-space characters.  Where identity rests on a word, its value is a
-keyed 128-bit hash of all its bytes, as two independent halves.  Fingerprints of windows are polynomials modulo 2**64 over
+128-bit hash of all its bytes, as two halves.  Fingerprints of windows are polynomials modulo 2**64 over
 such values, mixed afterwards; two families over the two halves decide where a window's identity rests on them alone.
 """
 
@@ -21,6 +21,10 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SHIFTS = tuple(np.uint64(s) for s in (30, 27, 31))
+#: Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 32
+_KEYS = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 4, dtype=np.uint64)
+_MASKS = np.array([2**(8 * k) - 1 for k in range(9)], np.uint64)
 _MIXERS = tuple(np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -63,7 +67,7 @@ class Family:
 
 
 def family(seed: int) -> Family:
-    known = worker_cache().setdefault("families", {})
+    known = worker_cache("textscan").setdefault("families", {})
     if seed not in known:
         known[seed] = Family(seed)
     return known[seed]
@@ -90,32 +94,27 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-class _WordValues(dict):
-    """The hash of every word met lately; ``size`` are the bytes held."""
-
-    size = 0
-
-    def __missing__(self, word: bytes) -> bytes:
-        value = hashlib.blake2b(word, digest_size=16, key=b"word values").digest()
-        if len(word) <= 64:
-            self[word] = value
-            self.size += 230 + len(word)
-        return value
-
-
-#: Bytes of words and their hashes that a worker remembers.
-REMEMBERED = 32 << 20
-
-
 def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """(2, words): the two halves of a keyed 128-bit hash of each word."""
-    known = worker_cache().setdefault("word_values", _WordValues())
-    if known.size > REMEMBERED:
-        known.clear()
-        known.size = 0
-    raw = (_LOWER[data] if lower else data).tobytes()
-    words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-    return np.ascontiguousarray(np.frombuffer(b"".join(map(known.__getitem__, words)), "<u8").reshape(-1, 2).T)
+    """(2, words): the two halves of a 128-bit hash of each word.
+
+    Two chains with keys of their own take in a word eight bytes at a time, each step a full mix; the halves are made of
+    both.  Words of more than ``LONG_WORD`` bytes, a few, are hashed one by one.
+    """
+    raw = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    sizes = ends - starts
+    one, two = (mix(sizes.astype(np.uint64) ^ key) for key in _KEYS[:2])
+    own = slice(None)
+    for at in range(0, LONG_WORD, 8):
+        if at:
+            own = np.flatnonzero(sizes > at)
+        eight = eights[starts[own] + at] & _MASKS[np.minimum(sizes[own] - at, 8)]
+        one[own] = mix(one[own] ^ eight)
+        two[own] = mix((two[own] + eight) ^ _KEYS[2])
+    out = np.stack([mix(one + mix(two)), mix(two ^ mix(one + _KEYS[3]))])
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[:, i] = np.frombuffer(hashlib.blake2b(raw[starts[i]:ends[i]].tobytes(), digest_size=16, key=b"word values").digest(), "<u8")
+    return out
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 1) -> np.ndarray:
