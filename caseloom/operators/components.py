@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.session import cut_lineage
 
+#: Rows that one task of a round works on; short tables go through few tasks, so a round leaves few files.
+ROWS_PER_TASK = 250_000
+
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the component is named by its smallest node.
@@ -21,6 +26,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut_lineage(both.where(F.col("src") != F.col("dst")).distinct())
     labels = cut_lineage(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    tasks = max(1, math.ceil(max(both.count(), labels.count()) / ROWS_PER_TASK))
+    both, labels = both.coalesce(tasks), labels.coalesce(tasks)
     for _ in range(max_rounds):
         offered = (both.join(labels, both["src"] == labels["node"]).groupBy("dst")
                    .agg(F.min("component").alias("offer")))
@@ -35,7 +42,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             F.min("value").alias("value"), F.max("old").alias("old"))
         jumps = hooked.select(F.col("target").alias("step"), F.col("value").alias("jump"))
         moved = cut_lineage(hooked.join(jumps, F.col("value") == F.col("step")).select(
-            F.col("target").alias("node"), "old", F.least("value", "jump").alias("component")))
+            F.col("target").alias("node"), "old", F.least("value", "jump").alias("component")).coalesce(tasks))
         labels = moved.select("node", "component")
         if moved.where(F.col("old") != F.col("component")).isEmpty():
             return labels
