@@ -20,7 +20,7 @@ QUERY_BYTES, QUERY_ROUNDS = 100_000, 24
 #: A piece of more bytes is worked off a few rounds at a time.
 LONG = 64
 #: Bytes of pieces, and of stretches between spaces, in one of the two generations that a worker remembers.
-REMEMBERED = 40 << 20
+REMEMBERED = 96 << 20
 #: What the pattern's white space is.  A text is cut at a space that none of it touches; an odd text has other spaces too.
 _SPACE = " \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD, _CUT = f"[{_SPACE}] | [{_SPACE}]", regex.compile(r"(?<=\S) (?=\S)")
@@ -79,7 +79,7 @@ class BpeTables:
     and the rank of that token decides.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -92,9 +92,9 @@ class BpeTables:
             "tok": pa.array(self.ranks.values(), pa.int32()),
             "text": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())}))
         self.sql.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.known = Memory(REMEMBERED, lambda piece, became: 350 + 2 * len(piece) + len(became[1]) + len(became[2]))
+        self.known = Memory(remembered, lambda piece, became: 350 + 2 * len(piece) + len(became[1]) + len(became[2]))
         # A stretch of one piece shares what that piece became.
-        self.stretches = Memory(REMEMBERED, lambda one, became: 160 + (4 * len(one) if became[0] < 2 else 200 + 2 * len(one) + len(became[1]) + len(became[2])))
+        self.stretches = Memory(remembered, lambda one, became: 160 + (4 * len(one) if became[0] < 2 else 200 + 2 * len(one) + len(became[1]) + len(became[2])))
 
     def _put(self, name: str, **columns: np.ndarray) -> None:
         self.sql.register("given", pa.table(columns))
@@ -210,11 +210,11 @@ class BpeTables:
         return out
 
 
-def tables(path: str, pattern: str) -> BpeTables:
+def tables(path: str, pattern: str, remembered: int = REMEMBERED) -> BpeTables:
     cache = worker_cache("byte_bpe")
     key = ("byte_bpe", path, pattern)
     if key not in cache:
-        cache[key] = BpeTables(path, pattern)
+        cache[key] = BpeTables(path, pattern, remembered)
     return cache[key]
 
 
@@ -259,16 +259,18 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id
         run, f"id {kind}, bytes binary").withColumnRenamed("id", id_column)
 
 
-def round_trip(documents: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def round_trip(documents: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
+               remembered: int = REMEMBERED) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass and return digests.
 
     The first digest is of the decimal ids joined by one space, the second of the decoded bytes; the ids of each
     distinct piece are decoded once, and a text's bytes are those of its pieces in order.  Cases as in
-    ``encode``; the digests of an empty text are those of no bytes.
+    ``encode``; the digests of an empty text are those of no bytes.  ``remembered`` bounds what a worker keeps of
+    earlier pieces; it changes no result.
     """
 
     def run(batches):
-        own = tables(path, pattern)
+        own = tables(path, pattern, remembered)
         for batch in batches:
             counts, digests = [np.zeros(0, np.int64)], ([], [])
             for some in _few(texts_of(batch.column("text"))):
