@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.catalog import named
 from caseloom.catalog import views as V
 from caseloom.catalog.vector_queries import _SCORES, _top
-from caseloom.operators import clusters as C, density as D, feedback as H
+from caseloom.operators import clusters as C, density as D, feedback as H, hierarchy as T
 
 _MEANS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 x AS (SELECT vec_id, label, unnest(e) AS val, generate_subscripts(e, 1) AS dim FROM v),
@@ -93,6 +93,53 @@ def reduced_dimensions(spark, folder):
     return reduced.select("id", F.posexplode("vec").alias("dim", "value"))
 
 
+# Kruskal by steps over all pairs: every step joins the two groups of the least edge between different groups.
+_HIERARCHY = "WITH RECURSIVE " + _SCORES + """,
+pair AS MATERIALIZED (SELECT query_id AS lo, neighbour_id AS hi, sqrt(greatest(0, 2 - 2 * score)) AS length FROM scores),
+core AS (SELECT lo AS node, length AS core FROM pair QUALIFY row_number() OVER (PARTITION BY lo ORDER BY length, hi) = 3),
+edge AS MATERIALIZED (SELECT lo, hi, greatest(length, a.core, b.core) AS reach FROM pair JOIN core a ON a.node = lo JOIN core b ON b.node = hi WHERE lo < hi),
+steps(k, node, grp, a, b, reach) AS (
+  SELECT 0::BIGINT, id, id, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM v
+  UNION ALL
+  SELECT s.k + 1, s.node, CASE WHEN s.grp = m.b THEN m.a ELSE s.grp END, m.a, m.b, m.reach
+  FROM steps s, (SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, edge.reach FROM edge JOIN steps x ON x.node = lo JOIN steps y ON y.node = hi
+                 WHERE x.grp <> y.grp ORDER BY edge.reach, lo, hi LIMIT 1) m),
+merge AS MATERIALIZED (
+  SELECT s.k, any_value(s.a) AS a, any_value(s.b) AS b, any_value(s.reach) AS reach, count(*) FILTER (s.grp = s.a) AS size,
+         count(*) FILTER (p.grp = s.b) AS b_size FROM steps s JOIN steps p ON p.node = s.node AND p.k = s.k - 1 WHERE s.k > 0 GROUP BY 1),
+tree AS MATERIALIZED (
+  SELECT m.*, least(b_size, size - b_size) AS small, greatest(b_size, size - b_size) AS large, 1 / greatest(reach, 1e-5) AS density,
+         (SELECT min(n.k) FROM merge n WHERE n.k > m.k AND m.a IN (n.a, n.b)) AS parent FROM merge m),
+big AS MATERIALIZED (
+  SELECT t.k, t.parent, t.size, t.density, t.small >= 5 AS split, CASE WHEN t.small >= 5 OR t.large < 5 THEN t.size ELSE t.small END AS fallen,
+         u.density AS birth, t.parent IS NULL OR u.small >= 5 AS top FROM tree t LEFT JOIN tree u ON u.k = t.parent WHERE t.size >= 5),
+chain(k, c) AS (SELECT k, k FROM big WHERE top UNION ALL SELECT big.k, chain.c FROM big JOIN chain ON big.parent = chain.k WHERE NOT top),
+cluster AS MATERIALIZED (
+  SELECT x.c, any_value(y.c) AS up, sum(big.fallen * big.density) - any_value(h.size * coalesce(h.birth, 0)) AS stability
+  FROM chain x JOIN big ON big.k = x.k JOIN big h ON h.k = x.c LEFT JOIN chain y ON y.k = h.parent GROUP BY 1),
+deep(c, d) AS (SELECT c, 0 FROM cluster WHERE up IS NULL UNION ALL SELECT cluster.c, d + 1 FROM cluster JOIN deep ON deep.c = cluster.up),
+won(d, c, up, mass, wins) AS (
+  SELECT d, c, up, stability, true FROM cluster JOIN deep USING (c) WHERE d = (SELECT max(d) FROM deep)
+  UNION ALL
+  SELECT x.d, x.c, x.up, greatest(x.stability, coalesce(below, 0)), x.stability >= coalesce(below, 0)
+  FROM (SELECT * FROM cluster JOIN deep USING (c)) x
+  LEFT JOIN (SELECT up AS c, sum(mass) AS below FROM won GROUP BY 1) w ON w.c = x.c
+  WHERE x.d = (SELECT max(d) - 1 FROM won)),
+best(c, chosen) AS (
+  SELECT c, NULL::BIGINT FROM won WHERE up IS NULL
+  UNION ALL SELECT won.c, coalesce(best.chosen, CASE WHEN won.wins THEN won.c END) FROM won JOIN best ON best.c = won.up),
+entry AS (SELECT s.node, min(t.k) AS k FROM steps s JOIN tree t ON t.k = s.k AND t.size >= 5 AND s.grp = t.a GROUP BY 1),
+placed AS (SELECT node, chosen FROM entry JOIN chain USING (k) JOIN best USING (c)),
+names AS (SELECT chosen, row_number() OVER (ORDER BY count(*) DESC, min(node)) - 1 AS number FROM placed WHERE chosen IS NOT NULL GROUP BY 1)
+"""
+
+
+@named("hierarchical_clusters", _HIERARCHY + "SELECT node AS id, CAST(coalesce(number, -1) AS BIGINT) AS cluster_id FROM placed LEFT JOIN names USING (chosen)")
+def hierarchical_clusters(spark, folder):
+    """Clusters of any density: excess of mass over the condensed tree."""
+    return T.hierarchical_clusters(V.vectors(spark, folder))
+
+
 _EDITS = """edits AS (
   SELECT event_id AS edited_at, CASE user_id % 4 WHEN 0 THEN 'move' WHEN 1 THEN 'split' ELSE 'duplicate' END AS action,
          user_id AS ticket_id, event_id % 10 AS cluster_id, event_id % 97 AS target_id FROM events WHERE event_type <> 'error'),

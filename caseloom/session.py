@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,18 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """Write the frame as a table in the shared folder and go on from there.
+
+    For tables that go through many rounds of joins with themselves: a checkpoint hands on what the optimizer has
+    estimated and inferred, and that grows from round to round; a table that is read anew does not.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """Use all cores on an input of few splits; an input with enough splits stays as it is.
 
