@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.catalog import named
 from caseloom.catalog import views as V
-from caseloom.operators import embedding as E, neighbours as B, quality as Q, routing as R
+from caseloom.operators import embedding as E, hashing as L, neighbours as B, quality as Q, routing as R
 from caseloom.session import cut_lineage
 
 _SCORES = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -107,6 +107,13 @@ def near_duplicate_groups(spark, folder):
     return B.duplicate_groups(V.vectors(spark, folder), 0.45)
 
 
+@named("near_duplicates_hashed")
+def near_duplicates_hashed(spark, folder):
+    """Groups of near copies among all documents by hashed vectors; recall is measured in the tests."""
+    documents = V.texts(spark, folder, "documents").select("doc_id", "text")
+    return L.hashed_groups(cut_lineage(E.embed(documents, "doc_id").withColumnRenamed("doc_id", "id")), 0.8)
+
+
 @named("duplicate_hit_rate", "WITH " + _SCORES + ", " + _top(20) + """,
 q AS (SELECT query_id, bool_or(query_label = label) AS hit FROM hits GROUP BY 1)
 SELECT count(*) AS n_queries, count(*) FILTER (hit) AS n_hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS hit_rate

@@ -4,15 +4,44 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from caseloom.session import cut_lineage
 
 #: Rows that one task of a round works on; short tables go through few tasks, so a round leaves few files.
 ROWS_PER_TASK = 250_000
+#: So many links, in both directions, go through one task instead of rounds of joins.
+LOCAL_LINKS = 200_000
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _in_one_task(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """The components of a counted, short table of links."""
+    kind = nodes.schema["node"].dataType
+
+    def run(key, links):
+        import pandas as pd
+        root: dict = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(links["src"].tolist(), links["dst"].tolist()):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        return pd.DataFrame({"node": list(root), "component": [find(x) for x in root]})
+
+    schema = T.StructType([T.StructField("node", kind), T.StructField("component", kind)])
+    linked = both.groupBy(F.lit(0).alias("all")).applyInPandas(run, schema)
+    return nodes.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, component): the component is named by its smallest node.
 
     ``nodes`` has a column ``node``; ``edges`` has ``src`` and ``dst``, in any
@@ -22,11 +51,16 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     of that label.  The number of rounds grows with the logarithm of the longest
     path.  Minima are combined before the shuffle, so a hub costs one row per
     task; a hub on the probe side of a join is split by the adaptive skew join.
+
+    Up to ``local_links`` links between plain identifiers are counted and then joined up in one task.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut_lineage(both.where(F.col("src") != F.col("dst")).distinct())
+    n_links = both.count()
+    if n_links <= local_links and not isinstance(nodes.schema["node"].dataType, T.StructType):
+        return cut_lineage(_in_one_task(nodes, both))
     labels = cut_lineage(nodes.select("node").distinct().withColumn("component", F.col("node")))
-    tasks = max(1, math.ceil(max(both.count(), labels.count()) / ROWS_PER_TASK))
+    tasks = max(1, math.ceil(max(n_links, labels.count()) / ROWS_PER_TASK))
     both, labels = both.coalesce(tasks), labels.coalesce(tasks)
     for _ in range(max_rounds):
         offered = (both.join(labels, both["src"] == labels["node"]).groupBy("dst")

@@ -305,7 +305,7 @@ def _weighed(clusters: DataFrame) -> DataFrame:
 
 def _highest(weighed: DataFrame) -> DataFrame:
     """(cluster, chosen): the highest winner among a cluster and all above it, null without one; steps double."""
-    now = written(weighed.select("cluster", F.col("parent").alias("to"), F.when("wins", F.col("cluster")).alias("chosen")))
+    now = written(weighed.select("cluster", F.col("parent").alias("to"), F.when(F.col("wins"), F.col("cluster")).alias("chosen")))
     while not now.where(F.col("to").isNotNull()).isEmpty():
         step = now.select(F.col("cluster").alias("to"), F.col("to").alias("next"), F.col("chosen").alias("higher"))
         now = written(now.join(step, "to", "left").select("cluster", F.col("next").alias("to"), F.coalesce("higher", "chosen").alias("chosen")))

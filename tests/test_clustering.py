@@ -20,15 +20,16 @@ def test_components_against_union_find(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = K.components(spark.createDataFrame([(n,) for n in nodes], "node bigint"),
-                       spark.createDataFrame(edges, "src bigint, dst bigint"))
-    assert {r.node: r.component for r in got.collect()} == {n: find(n) for n in nodes}
+    for local in (0, 10_000):
+        got = K.components(spark.createDataFrame([(n,) for n in nodes], "node bigint"),
+                           spark.createDataFrame(edges, "src bigint, dst bigint"), local_links=local)
+        assert {r.node: r.component for r in got.collect()} == {n: find(n) for n in nodes}
 
 
 def test_long_chain_needs_few_rounds(spark):
     n = 2000
     chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    got = K.components(spark.range(n).withColumnRenamed("id", "node"), chain, max_rounds=20)
+    got = K.components(spark.range(n).withColumnRenamed("id", "node"), chain, max_rounds=20, local_links=0)
     assert got.select("component").distinct().count() == 1
 
 
@@ -37,7 +38,7 @@ def test_shuffled_chain_needs_few_rounds(spark):
     order = list(range(3000))
     random.Random(5).shuffle(order)
     chain = spark.createDataFrame(list(zip(order, order[1:])), "src bigint, dst bigint")
-    got = K.components(spark.range(3000).withColumnRenamed("id", "node"), chain, max_rounds=12)
+    got = K.components(spark.range(3000).withColumnRenamed("id", "node"), chain, max_rounds=12, local_links=0)
     assert {r.component for r in got.select("component").distinct().collect()} == {0}
 
 
