@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.catalog import named
 from caseloom.catalog import views as V
-from caseloom.operators import embedding as E, hashing as L, neighbours as B, quality as Q, routing as R
+from caseloom.operators import embedding as E, hashing as L, neighbours as B, quality as Q, retrieval as T, routing as R
 from caseloom.session import cut_lineage
 
 _SCORES = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -173,3 +173,39 @@ def search_messages(spark, folder):
     best = message_hits(spark, folder).groupBy("query_id").agg(F.max("score").alias("best"))
     return best.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_id"),
                        F.round("best", 3).alias("best"))
+
+
+@named("nearest_clusters", """
+WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS val, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+c AS (SELECT label, list(mean ORDER BY dim) AS e FROM (SELECT label, dim, avg(val) AS mean FROM x GROUP BY 1, 2) GROUP BY 1),
+scores AS (SELECT vec_id AS query_id, c.label AS label, round(list_cosine_similarity(embedding::DOUBLE[], e), 9) AS score FROM embeddings v, c)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS INTEGER) AS rank,
+       CAST(label AS BIGINT) AS cluster_id, 'Cluster ' || label AS label, round(score, 6) AS similarity
+FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) <= 3""")
+def nearest_clusters(spark, folder):
+    """The three nearest clusters of every ticket; clusters without a summary stand for the mean of their members."""
+    members = V.member_vectors(spark, folder)
+    clusters = members.select("cluster_id").distinct().withColumn("label", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string")))
+    means = T.cluster_vectors(clusters.withColumn("summary", F.lit(None).cast("string")), members, fields=("summary",))
+    found = T.nearest_clusters(V.vectors(spark, folder), cut_lineage(means), 3, clusters=clusters)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@named("cluster_search", f"""
+WITH texts AS (SELECT 'c' || item_id AS key, 'Item ' || item_id || chr(10) || text AS text FROM benchmark UNION ALL SELECT 'd' || doc_id, text FROM documents),
+w AS (SELECT key, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS word FROM texts),
+b AS (SELECT key, ('0x' || substr(md5(word), 1, 8))::BIGINT % 384 AS bucket,
+             CASE WHEN ('0x' || substr(md5(word), 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM w),
+s AS (SELECT key, bucket, CAST(sum(sign) AS DOUBLE) AS x FROM b GROUP BY 1, 2),
+n AS (SELECT key, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1),
+u AS (SELECT key, bucket, x / norm AS x FROM s JOIN n USING (key) WHERE norm > 0),
+scores AS (SELECT d.key AS id, c.key AS item, sum(d.x * c.x) AS score FROM u c JOIN u d USING (bucket) WHERE c.key[1] = 'c' AND d.key[1] = 'd' GROUP BY 1, 2)
+SELECT substr(id, 2)::BIGINT AS doc_id, round(max(score), 3) AS best, count(*) FILTER (score >= 0.5) AS n_near FROM scores GROUP BY 1 HAVING max(score) >= 0.5""")
+def cluster_search(spark, folder):
+    """Documents as tickets against items as clusters with a summary: all clusters at a score of 0.5 or more."""
+    items = V.table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("cluster_id"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("label"), F.col("text").alias("issue_description"))
+    vectors = cut_lineage(T.summary_vectors(items, fields=("label", "issue_description")))
+    documents = cut_lineage(E.embed(V.texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), "id"))
+    found = T.nearest_clusters(documents, vectors, max(1, vectors.count()), clusters=items, min_score=0.5)
+    return found.groupBy(F.col("query_id").alias("doc_id")).agg(F.round(F.max("similarity"), 3).alias("best"), F.count(F.lit(1)).alias("n_near"))
