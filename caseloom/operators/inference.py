@@ -167,6 +167,7 @@ def parse_answer(answer: Column) -> Column:
     trimmed = F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")
     fenced = F.regexp_replace(F.regexp_replace(trimmed, r"^```[^\n]*(?:\n|$)", ""), r"(?:^|\n)[ \t]*```[ \t]*$", "")
     body = F.when(trimmed.startswith("```"), fenced).otherwise(trimmed)
+    # Fixed value: an object with at most one level of objects inside, as the label contract reads answers.
     inner = F.regexp_extract(body, r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0)
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.nullif(inner, F.lit(""))))
 
