@@ -20,7 +20,7 @@ QUERY_BYTES, QUERY_ROUNDS = 100_000, 24
 #: A piece of more bytes is worked off a few rounds at a time.
 LONG = 64
 #: Bytes of pieces, and of stretches between spaces, in one of the two generations that a worker remembers.
-REMEMBERED = 96 << 20
+REMEMBERED = 144 << 20
 #: What the pattern's white space is.  A text is cut at a space that none of it touches; an odd text has other spaces too.
 _SPACE = " \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD, _CUT = f"[{_SPACE}] | [{_SPACE}]", regex.compile(r"(?<=\S) (?=\S)")
