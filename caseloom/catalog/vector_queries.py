@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from caseloom.catalog import named
 from caseloom.catalog import views as V
-from caseloom.operators import embedding as E, hashing as L, neighbours as B, quality as Q, retrieval as T, routing as R
-from caseloom.session import cut_lineage
+from caseloom.operators import embedding as E, hashing as L, neighbours as B, quality as Q, retrieval as T, routing as R, vector_index as X
+from caseloom.session import cut_lineage, shared_dir
 
 _SCORES = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
 scores AS (SELECT q.id AS query_id, c.id AS neighbour_id, round(list_cosine_similarity(q.e, c.e), 9) AS score,
@@ -47,6 +49,19 @@ def knn_threshold(spark, folder):
     return found.select("query_id", "rank", "neighbour_id", F.round("score", 6).alias("score"))
 
 
+@named("vector_index_search", "WITH " + _SCORES + ", " + _top(10) + """
+SELECT query_id, rank, neighbour_id, round(score, 6) AS score FROM hits""")
+def vector_index_search(spark, folder):
+    """A stored index of all vectors: made with stale vectors of label 3 and without label 7, put right, then searched."""
+    given = V.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    stale = given.where("label <> 7").withColumn("vec", F.when(F.col("label") == 3, F.reverse("vec")).otherwise(F.col("vec")))
+    first = given.select(F.size("vec").alias("d")).first()
+    index = X.create(stale, f"{shared_dir(spark)}/index-{uuid.uuid4()}", dimension=first["d"] if first else E.DIMENSION)
+    X.put(index, given.where("label IN (3, 7)"))
+    found = X.search(index, V.vectors(spark, folder), 10, exclude_self=True)
+    return found.select("query_id", "rank", "neighbour_id", F.round("score", 6).alias("score"))
+
+
 def _payload(spark, folder):
     e = V.table(spark, folder, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.concat(F.lit("Ticket "), F.col("vec_id").cast("string")).alias("subject"),

@@ -19,6 +19,7 @@ A corpus that fits one cell skips steps 1 and 2.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -169,7 +170,8 @@ def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows:
             weighed: bool = False) -> DataFrame:
     """Best k corpus rows per query and corpus column; ``weighed`` sums the ``n`` of all that reach the score instead."""
     def lookup(values: list) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cell") + 1)
+        # One constant however many cells there are.
+        return F.element_at(F.from_json(F.lit(json.dumps(values)), "array<int>"), F.col("cell") + 1)
 
     q_cols, c_cols = lookup(_columns(query_rows, column_rows)), lookup(_columns(corpus_rows, column_rows))
 
