@@ -59,6 +59,16 @@ def normalize(raw: DataFrame, normalized_at: Column, *, redaction: bool = False,
     return full.select(*TICKETS.fieldNames(), "errors")
 
 
+def payload_errors(payload: Column) -> Column:
+    """The ``errors`` of ``normalize`` for one payload, without the other fields."""
+    def field(name: str) -> Column:
+        return F.try_variant_get(payload, f"$.{name}", "variant")
+
+    created = N.parse_timestamp(N.as_text(field("created_at")))
+    wrong = [F.when(field(c).isNotNull() & ~F.schema_of_variant(field(c)).isin("STRING", "VOID"), F.lit(c)) for c in ("subject", "description")]
+    return F.filter(F.array(F.when(created.isNull(), F.lit("created_at")), *wrong), lambda e: e.isNotNull())
+
+
 def accepted(normalized: DataFrame) -> DataFrame:
     return normalized.where(F.size("errors") == 0).drop("errors")
 

@@ -80,7 +80,8 @@ class Index:
     @property
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField("id", self.kind), T.StructField("vec", T.ArrayType(T.DoubleType())),
-                             T.StructField("reach", T.DoubleType()), T.StructField("cell", T.IntegerType())])
+                             T.StructField("tag", T.LongType()), T.StructField("reach", T.DoubleType()),
+                             T.StructField("cell", T.IntegerType())])
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
@@ -114,25 +115,27 @@ def _store_facts(index: Index, facts: DataFrame) -> None:
     facts.coalesce(1).write.mode("overwrite").parquet(f"{index.path}/facts/{number}")
 
 
-def _store_rows(placed: DataFrame, counts: dict, path: str) -> None:
-    """Each cell in files of bounded size; cells that are given replace the stored ones, others stay."""
+def _store_rows(placed: DataFrame, counts: dict, path: str, others: str = "dynamic") -> None:
+    """Each cell in files of bounded size; cells that are given replace the stored ones, others stay unless ``static``."""
     files = F.from_json(F.lit(json.dumps([math.ceil(counts.get(c, 0) / FILE_ROWS) or 1 for c in range(max(counts, default=0) + 1)])), "array<int>")
     salt = F.pmod(F.xxhash64("id"), F.element_at(files, F.col("cell") + 1))
-    (placed.repartition("cell", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (placed.repartition("cell", salt).write.mode("overwrite").option("partitionOverwriteMode", others)
      .partitionBy("cell").parquet(f"{path}/rows"))
 
 
 def _checked(vectors: DataFrame, dimension: int) -> DataFrame:
-    """(id, vec) without null ids or vectors; one row per id is the caller's contract, a wrong dimension an error."""
+    """(id, vec, tag) without null ids or vectors; a wrong dimension is an error."""
     wrong = F.raise_error(F.concat(F.lit("vector of dimension "), F.size("vec").cast("string")))
     vec = F.transform("vec", lambda x: x.cast("double"))
-    return vectors.select("id", "vec").where(F.col("id").isNotNull() & F.col("vec").isNotNull()).select(
-        "id", F.when(F.size("vec") == dimension, vec).otherwise(wrong).alias("vec"))
+    tag = F.col("tag").cast("bigint") if "tag" in vectors.columns else F.lit(None).cast("bigint")
+    return vectors.select("id", "vec", tag.alias("tag")).where(F.col("id").isNotNull() & F.col("vec").isNotNull()).select(
+        "id", F.when(F.size("vec") == dimension, vec).otherwise(wrong).alias("vec"), "tag")
 
 
 def _newest(vectors: DataFrame, dimension: int) -> DataFrame:
     """One vector per id: of repeats the one that is largest as an array, so reruns agree."""
-    return _checked(vectors, dimension).groupBy("id").agg(F.max("vec").alias("vec"))
+    newest = F.max(F.struct("vec", "tag")).alias("row")
+    return _checked(vectors, dimension).groupBy("id").agg(newest).select("id", "row.vec", "row.tag")
 
 
 def _placed(vectors: DataFrame, index: Index) -> DataFrame:
@@ -159,7 +162,7 @@ def _placed(vectors: DataFrame, index: Index) -> DataFrame:
 
 
 def create(vectors: DataFrame, path: str, *, dimension: int, cells: int | None = None) -> Index:
-    """Fit the cells and store all vectors; ``vectors`` holds (id, vec).
+    """Fit the cells and store all vectors; ``vectors`` holds (id, vec), and a number ``tag`` if wanted.
 
     Rows with a null id or vector are left out, an id that repeats keeps one vector, a vector of another dimension is an
     error, other columns are ignored.  An empty table gives an index of one empty cell.  The cells are fitted on at most
@@ -200,14 +203,20 @@ def create(vectors: DataFrame, path: str, *, dimension: int, cells: int | None =
         group, centres = [g for g, _ in by_group], [c for _, c in by_group]
     index = Index(spark, path, coarse, group, centres, kind)
     tables = [("coarse", i, 0, c) for i, c in enumerate(coarse)] + [("cell", i, g, c) for i, (g, c) in enumerate(zip(group, centres))]
-    spark.createDataFrame(tables, "level string, number int, coarse int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+    spark.createDataFrame(tables, "level string, number int, coarse int, centre array<double>").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/centres")
     placed = cut_lineage(_placed(given, index))
     facts = cut_lineage(_measured(placed))
-    _store_rows(placed, {r["cell"]: r["n"] for r in facts.collect()}, path)
+    _store_rows(placed, {r["cell"]: r["n"] for r in facts.collect()}, path, "static")
     _store_facts(index, facts)
     return index
 
 
+def ready(spark: SparkSession, path: str) -> bool:
+    """True for an index whose creation was finished."""
+    return _generation(spark, path) >= 0
+
+
 def load(spark: SparkSession, path: str, kind: T.DataType | None = None) -> Index:
     """An index stored before; ``kind`` is the type of its identifiers, by default that of the stored rows."""
     rows = sorted(spark.read.parquet(f"{path}/centres").collect(), key=lambda r: r["number"])
@@ -220,15 +229,18 @@ def _only(cells) -> str:
     return f"cell IN ({','.join(str(c) for c in sorted(cells))})" if cells else "false"
 
 
-def put(index: Index, vectors: DataFrame) -> None:
+def put(index: Index, vectors: DataFrame, *, replaces: bool = True) -> None:
     """Add vectors, or replace those of the same id; cells that neither held nor get one of the ids are not rewritten.
 
-    The ids of all cells are read once, narrow, to find those to replace.  Cases as in ``create``.
+    The ids of all cells are read once, narrow, to find those to replace; with ``replaces=False``, for ids that are not
+    stored or lie in the same cell, just the cells that get a row are read.  Cases as in ``create``.
     """
     fresh = cut_lineage(_placed(_newest(vectors, len(index.centres[0])), index))
     ids = fresh.select("id")
-    left = {r["cell"] for r in index.rows().select("id", "cell").join(ids, "id", "left_semi").select("cell").distinct().collect()}
-    touched = left | {r["cell"] for r in fresh.select("cell").distinct().collect()}
+    touched = {r["cell"] for r in fresh.select("cell").distinct().collect()}
+    if replaces:
+        held = index.rows().select("id", "cell").join(ids, "id", "left_semi")
+        touched |= {r["cell"] for r in held.select("cell").distinct().collect()}
     if not touched:
         return
     kept = index.rows().where(_only(touched)).join(ids, "id", "left_anti").select(*index.schema.names)
@@ -309,15 +321,15 @@ def _within(least: int):
 
 
 def search(index: Index, queries: DataFrame, k: int, *, exclude_self: bool = False, min_score: float | None = None,
-           probes: int | None = None, column_rows: int | None = None, report: dict | None = None) -> DataFrame:
+           probes: int | None = None, column_rows: int | None = None, tagged: bool = False, report: dict | None = None) -> DataFrame:
     """(query_id, neighbour_id, score, rank): the rows of ``neighbours.nearest`` over the stored vectors.
 
     A query first searches the cells nearest to it that hold k rows; its k-th best distance then tells which other cells
     may hold a better row.  Only their folders are read.  With ``probes`` just that many nearest cells are searched, which
     is faster and may miss rows.  ``report`` gets the numbers of cells, of cells read by any query, of stored rows,
-    and of pairs of query and row compared.  Queries with a null id or vector have no rows; a zero vector scores 0 against all.
+    and of pairs of query and row compared; ``tagged`` adds the tags of the neighbours.  Queries with a null id or vector have no rows; a zero vector scores 0 against all.
     """
-    queries = cut_lineage(_checked(queries, len(index.centres[0])))
+    queries = cut_lineage(_checked(queries, len(index.centres[0])).drop("tag"))
     facts = index.facts()
     counts, n_queries = facts[0], queries.count()
     stored, total = index.rows(), sum(counts)
@@ -356,4 +368,9 @@ def search(index: Index, queries: DataFrame, k: int, *, exclude_self: bool = Fal
     if report is not None:
         report.update(cells=len(counts), cells_read=len(read), rows=total, queries=n_queries, pairs_compared=compared)
     best = _best(found, k)
-    return best if blank is None else best.unionByName(blank)
+    folders = stored.where(_only(read))
+    if blank is not None and not blank.isEmpty():
+        best, folders = best.unionByName(blank), stored
+    if tagged:
+        best = best.join(folders.select(F.col("id").alias("neighbour_id"), "tag"), "neighbour_id", "left").select(*best.columns, "tag")
+    return best
