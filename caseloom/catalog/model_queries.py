@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from caseloom.catalog import named
 from caseloom.catalog import views as V
-from caseloom.catalog.text_queries import _TOKENS, _longest, _source_texts
+from caseloom.catalog.text_queries import _THREADS, _TOKENS, _WORDS, _longest, _quoted, _source_texts, _turns
 from caseloom.catalog.vector_queries import message_hits
-from caseloom.functions import prompts as P
-from caseloom.operators import clusters as C, inference as I, joins as J
+from caseloom.functions import prompts as P, text as X
+from caseloom.operators import clusters as C, full_summaries as S, inference as I, joins as J
 
 
 def _asked(spark, folder):
@@ -154,3 +154,31 @@ def image_descriptions(spark, folder):
     found = I.describe_images(p.select(F.col("page_id").alias("ticket_id"), images.alias("images")))
     return found.select("ticket_id", F.size("image_descriptions").cast("bigint").alias("n_images"),
                         F.array_join(F.transform("image_descriptions", lambda i: i["description"]), " ").alias("described"))
+
+
+@named("summarize_full", "WITH " + _THREADS + f""", w AS (
+  SELECT conv_id, CAST(sum({_WORDS}) AS BIGINT) AS words, count(DISTINCT role) AS roles FROM conversations GROUP BY 1)
+SELECT ticket_id, sha256('Ticket: ' || ticket_id || E'\\nSubject: Conversation ' || ticket_id
+  || E'\\nStatus: open\\nPriority: Not set\\nCreated: unknown'
+  || E'\\nRequester: Unknown\\nAgent: Unassigned\\nOrganization: Unknown\\nRegion: Unknown\\nTags: chat'
+  || E'\\nCustom fields:\\n  - roles: ' || roles || E'\\nConversation (' || n_turns || ' comments, ' || words || E' words):\\n'
+  || thread || {_quoted(X.IMAGE_HEADING)} || '  - ' || ticket_id || '.png: [Image: ' || ticket_id || '.png - no vision model]') AS tail_sha256,
+  'ok' AS status, 'full-v2' AS version, n_turns >= 4 AS skipped
+FROM threads JOIN w ON conv_id = ticket_id""")
+def summarize_full(spark, folder):
+    """Conversations with all their context; those of four turns and more have a summary of this version already."""
+    turns = _turns(spark, folder)
+    sizes = V.table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("ticket_id")).agg(
+        F.count(F.lit(1)).alias("n_turns"), F.count_distinct("role").cast("string").alias("roles"))
+    name = F.col("ticket_id").cast("string")
+    tickets = sizes.select("ticket_id", F.concat(F.lit("Conversation "), name).alias("subject"), F.lit("open").alias("status"),
+                           F.array(F.lit("chat")).alias("tags"), F.array(F.struct(F.lit("roles").alias("name"), F.col("roles").alias("value"))).alias("custom_fields"))
+    images = I.describe_images(sizes.select("ticket_id", F.array(F.struct(
+        F.concat(name, F.lit(".png")).alias("filename"), F.lit("shared").alias("path"))).alias("images")))
+    context = S.full_context(tickets, turns, images, limit=S.WHOLE)
+    stored = context.join(sizes, "ticket_id").select(
+        "ticket_id", F.concat(F.lit("stored "), name).alias("summary"), F.lit("ok").alias("status"),
+        F.when(F.col("n_turns") >= 4, F.lit("full-v2")).otherwise(F.lit("full-v1")).alias("version"), "prompt_sha256")
+    made = S.summarize_full(context, stored, version="full-v2")
+    tails = context.select("ticket_id", F.sha2(F.regexp_replace("prompt", r"^[^\n]*\n", ""), 256).alias("tail_sha256"))
+    return made.join(tails, "ticket_id").select("ticket_id", "tail_sha256", "status", "version", "skipped")
