@@ -28,50 +28,80 @@ RULES = {
 
 def measures(text: Column) -> dict[str, Column]:
     """Columns of one text; every count reads it to its end."""
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    pieces = F.split(F.translate(text, "\t\n\v\f\r", "     "), " ", -1)
+    words = F.array_remove(pieces, "")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.regexp_like(line, F.lit(WORD)))
     return {"__words": words, "__lines": lines}
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that lie in a three-word window which occurs twice or more.
+def _mark(*words: Column) -> Column:
+    """A window's hash; windows that share one are compared by their words."""
+    return F.xxhash64(*words)
 
-    Most texts repeat no window: there the distinct hashes are as many as the windows.  Only for the others are
-    windows sorted next to their twins, by their words themselves.
+
+def _window(words: Column, at: Column) -> list[Column]:
+    return [F.element_at(words, at + k) for k in range(3)]
+
+
+def _covered(starts: Column) -> Column:
+    """Words in the windows that begin at these ascending positions."""
+    return F.aggregate(
+        starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
+        lambda s, i: F.struct((s["n"] + i + 2 - F.greatest(s["upto"], i - 1)).alias("n"), (i + 2).alias("upto")))["n"]
+
+
+def _ends(hits: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.concat(F.transform(hits, lambda p: p["i"]), F.transform(hits, lambda p: p["j"]))))
+
+
+def _repeats_by_words(words: Column) -> Column:
+    """Words in repeated windows, for a text with different windows of one hash: windows sorted by their words."""
+    windows = F.size(words) - 2
+    placed = F.array_sort(F.transform(F.sequence(F.lit(1), windows), lambda i: F.struct(F.array(*_window(words, i)).alias("words"), i.alias("i"))))
+    pairs = F.zip_with(placed, F.slice(placed, 2, windows), lambda x, y: F.when(x["words"] == y["words"], F.struct(x["i"].alias("i"), y["i"].alias("j"))))
+    return _covered(_ends(F.filter(pairs, lambda p: p.isNotNull())))
+
+
+def _with_repeats(frame: DataFrame) -> DataFrame:
+    """Add n_repeat_words: the words of ``__words`` in a three-word window that occurs twice or more.
+
+    Most texts repeat no window: there the distinct hashes are as many as the windows.  In the others, hashes are sorted
+    with their positions and neighbours of one hash compared by their words.  Each step is a projection of its own,
+    so nothing is computed twice.
     """
+    others, words = frame.columns, F.col("__words")
     windows = F.size(words) - 2
-    at = F.sequence(F.lit(1), windows)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
-    placed = F.array_sort(F.transform(at, lambda i: F.struct(
-        F.element_at(words, i).alias("a"), F.element_at(words, i + 1).alias("b"), F.element_at(words, i + 2).alias("c"), i.alias("i"))))
-
-    def same(x, y):
-        return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
-
-    # The sorted array beside itself, shifted by one.
-    pairs = F.zip_with(placed, F.slice(placed, 2, windows), lambda x, y: F.struct(x["i"].alias("i"), y["i"].alias("j"), F.coalesce(same(x, y), F.lit(False)).alias("same")))
-    hits = F.filter(pairs, lambda p: p["same"])
-    starts = F.array_sort(F.array_distinct(F.concat(F.transform(hits, lambda p: p["i"]), F.transform(hits, lambda p: p["j"]))))
-    covered = F.aggregate(
-        starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
-        lambda s, i: F.struct((s["n"] + i + 2 - F.greatest(s["upto"], i - 1)).alias("n"), (i + 2).alias("upto")))
-    return F.when(windows < 2, 0).when(F.size(F.array_distinct(hashes)) == windows, 0).otherwise(covered["n"])
+    hashed = frame.select("*", F.when(windows >= 2, F.transform(
+        F.sequence(F.lit(1), windows), lambda i: _mark(*_window(words, i)))).alias("__h"))
+    placed = hashed.select(*others, F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.array_sort(
+        F.transform("__h", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))))).alias("__p"))
+
+    def twin(x: Column, y: Column) -> Column:
+        same = F.lit(True)
+        for a, b in zip(_window(words, x["i"]), _window(words, y["i"])):
+            same = same & (a == b)
+        return F.when(x["h"] == y["h"], F.struct(x["i"].alias("i"), y["i"].alias("j"), same.alias("same")))
+
+    pairs = F.filter(F.zip_with("__p", F.slice("__p", 2, F.size("__p")), twin), lambda p: p.isNotNull())
+    met = placed.select(*others, pairs.alias("__pairs"))
+    return met.select(*others, F.when(F.col("__pairs").isNull(), F.lit(0)).when(
+        F.exists("__pairs", lambda p: ~p["same"]), _repeats_by_words(words)).otherwise(_covered(_ends(F.col("__pairs")))).alias("n_repeat_words"))
 
 
 def measured(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, measures): the counts that the rules look at."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     base = documents.select(F.col(id_column).alias("id"), text.alias("text"))
-    split = base.select("id", "text", *[c.alias(n) for n, c in measures(F.col("text")).items()])
+    split = _with_repeats(base.select("id", "text", *[c.alias(n) for n, c in measures(F.col("text")).items()]))
     words, lines = F.col("__words"), F.col("__lines")
     return split.select(
         "id", F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words).cast("long").alias("n_repeat_words"), F.size(lines).cast("long").alias("n_lines"),
+        F.col("n_repeat_words").cast("long").alias("n_repeat_words"), F.size(lines).cast("long").alias("n_lines"),
         F.regexp_count("text", F.lit(r"(?:^|[\x20\x09-\x0D])\p{L}")).cast("long").alias("n_letter_words"),
-        F.regexp_count("text", F.lit(r"(?:^|[\x20\x09-\x0D])\p{Lu}{2}")).cast("long").alias("n_capital_words"))
+        F.regexp_count("text", F.lit(r"\p{Lu}(?<![^\x20\x09-\x0D]\p{Lu})\p{Lu}")).cast("long").alias("n_capital_words"))
 
 
 def _vote(good: str, bad: str) -> Column:

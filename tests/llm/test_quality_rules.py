@@ -1,6 +1,9 @@
 import collections
 import re
 
+from pyspark.sql import functions as F
+
+from caseloom.llm import quality_rules
 from caseloom.llm.quality_rules import judge
 from tests.llm.common import documents, empty, frame, ordered
 
@@ -28,6 +31,19 @@ def test_measures(spark):
     assert all(not (r["kept"] and r["base_failed"]) and 0 <= r["posterior"] <= 1 for r in got)
 
 
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "_mark", lambda a, b, c: F.length(a).cast("bigint"))
+    got = judge(frame(spark, rows())).collect()
+    assert ordered((r["doc_id"], r["n_repeat_words"]) for r in got) == ordered((i, plain(text)[4]) for i, text, *_ in rows())
+
+
+def test_capital_words(spark):
+    texts = ["AB Ab xAB ABC\tÄÖ\u00a0AB 1AB \U00010400\U00010400 A B", "", "NASA\nESA", "É\u0301X aBC"]
+    got = quality_rules.measured(frame(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])).select(
+        "id", "n_capital_words", "n_words").collect()
+    assert {r["id"]: r["n_capital_words"] for r in got} == {0: 4, 1: 0, 2: 2, 3: 0}
+
+
 def test_plan_is_native(spark):
     plan = judge(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
