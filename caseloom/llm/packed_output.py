@@ -13,6 +13,7 @@ like one.  An id takes 2 bytes where the vocabulary allows it, else 4.  The inde
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +32,11 @@ from caseloom.session import shared_dir
 REMEMBERED = 96 << 20
 #: Bytes of records that one reading task takes, about.
 READ_BYTES = 32 << 20
+#: Bytes of texts whose distinct stretches are looked up at once.
+LOOKED_UP = 4 << 20
+#: Stretches that are one token group whatever stands around them: letters that keep their number in lower case.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_WORD_END = "</w>"
 _INDEX = "part int, file string, number long, offset long, length long, n_tokens long, before long"
 
 
@@ -60,6 +66,30 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known = Memory(REMEMBERED, lambda stretch, ids: 200 + 2 * len(stretch) + len(ids))
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[n for token, n in vocabulary.items() if token.endswith(_WORD_END)]] = True
+
+    def _encoded(self, stretches: list) -> list:
+        """The ids of each stretch, encoded by itself."""
+        encoded = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (one.ids for one in encoded)]
+
+    def _encoded_words(self, words: list, together: int = 200) -> list:
+        """The ids of words of letters, many in one text: a word ends with the one token that carries the mark of an end."""
+        groups = [words[k:k + together] for k in range(0, len(words), together)]
+        found: list = []
+        for group, one in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(one.ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):  # a vocabulary without such marks
+                found += self._encoded(group)
+                continue
+            raw, start = ids.tobytes(), 0
+            for end in ends.tolist():
+                found.append(raw[start:end])
+                start = end
+        return found
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as 4-byte little-endian integers."""
@@ -70,11 +100,13 @@ class WordEncoder:
         parts = pc.split_pattern(loose, " ")
         words = parts.flatten().dictionary_encode()
         distinct, known = words.dictionary.to_pylist(), self.known
-        new = known.missing(set(distinct))
-        for first in range(0, len(new), 4000):
-            some = new[first:first + 4000]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.learn(zip(some, [struct.pack(f"<{len(ids)}I", *ids) for ids in (one.ids for one in encoded)]))
+        plain, other = [], []
+        for one in known.missing(set(distinct)):
+            (plain if _LETTERS.fullmatch(one) else other).append(one)
+        for new, encode in ((plain, self._encoded_words), (other, self._encoded)):
+            for first in range(0, len(new), 4000):
+                some = new[first:first + 4000]
+                known.learn(zip(some, encode(some)))
         ids = pa.array(list(map(known.now.__getitem__, distinct)), pa.binary()).take(words.indices)
         known.age()
         return pc.binary_join(pa.ListArray.from_arrays(parts.offsets.cast(pa.int32()), ids), b"")
@@ -113,24 +145,26 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
         end = np.array([end_id], "<u4").tobytes()
         encoder = _encoder(tokenizer_path)
         system, base = _file_system(folder)
-        for batch in batches:
-            if sink is None:
-                file = f"part-{part:06d}-{context.taskAttemptId()}.records"
-                sink = system.open_output_stream(f"{base}/{file}")
-            rows = []
-            texts, ids = texts_of(batch.column("text")), batch.column("id").to_pylist()
-            for first, last in pieces(bytes_of(texts)[1], 1 << 20):
-                encoded = encoder.encode(texts.slice(first, last - first)).to_pylist()
-                for identifier, tokens in zip(ids[first:last], encoded):
-                    tokens = np.frombuffer(tokens + end, "<u4")
-                    record = frame(struct.pack("<qBB", identifier or 0, identifier is None, width)
-                                   + tokens.astype(f"<u{width}").tobytes())
-                    sink.write(record)
-                    rows.append((part, file, number, offset, len(record), len(tokens), before))
-                    offset, before, number = offset + len(record), before + len(tokens), number + 1
-            yield _rows(rows, _INDEX_TYPES)
-        if sink is not None:
-            sink.close()
+        try:
+            for batch in batches:
+                if sink is None:
+                    file = f"part-{part:06d}-{context.taskAttemptId()}.records"
+                    sink = system.open_output_stream(f"{base}/{file}")
+                rows = []
+                texts, ids = texts_of(batch.column("text")), batch.column("id").to_pylist()
+                for first, last in pieces(bytes_of(texts)[1], LOOKED_UP):
+                    encoded = encoder.encode(texts.slice(first, last - first)).to_pylist()
+                    for identifier, tokens in zip(ids[first:last], encoded):
+                        tokens = np.frombuffer(tokens + end, "<u4")
+                        record = frame(struct.pack("<qBB", identifier or 0, identifier is None, width)
+                                       + tokens.astype(f"<u{width}").tobytes())
+                        sink.write(record)
+                        rows.append((part, file, number, offset, len(record), len(tokens), before))
+                        offset, before, number = offset + len(record), before + len(tokens), number + 1
+                yield _rows(rows, _INDEX_TYPES)
+        finally:
+            if sink is not None:
+                sink.close()
 
     system, base = _file_system(folder)
     system.create_dir(base, recursive=True)

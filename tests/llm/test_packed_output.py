@@ -1,12 +1,14 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseloom.llm.packed_output import frame as framed, new_folder, payload_of, read_tokens, write_tokens
+from caseloom.llm.packed_output import WordEncoder, frame as framed, new_folder, payload_of, read_tokens, write_tokens
 from tests.llm.common import documents, empty, frame
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -42,3 +44,14 @@ def test_empty_table(spark):
     folder = new_folder(spark, "packed")
     write_tokens(empty(spark), folder, PATH)
     assert read_tokens(spark, folder).count() == 0
+
+
+def test_stretches_are_encoded_as_in_their_text():
+    plain, draw = Tokenizer.from_file(PATH), random.Random(3)
+    signs = "aZéÀßÿÖ×÷ªºµÑñİǅ'’.,;:-_19  \n\t\xa0\u0301\u093c\u0958<|>s"
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(60))) for _ in range(3000)]
+    texts += [" ".join("".join(draw.choice("abzÀÖØößøÿñÇ") for _ in range(draw.randrange(1, 12))) for _ in range(500)) for _ in range(30)]
+    encoder = WordEncoder(PATH)
+    got = [one for k in range(0, len(texts), 500) for one in encoder.encode(pa.array(texts[k:k + 500], pa.large_string())).to_pylist()]
+    want = [np.array(one.ids, "<u4").tobytes() for one in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == want
