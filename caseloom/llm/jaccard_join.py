@@ -2,7 +2,8 @@
 
 Two sets with a Jaccard similarity of at least t share one of their first ``n - ceil(t * n) + 1`` tokens under any
 order of all tokens.  The first order puts frequent tokens last and goes by fingerprint otherwise; candidates come from
-its prefixes.  Before a candidate is verified it must also share prefix tokens under further, unrelated orders.
+its prefixes.  They must also share prefix tokens under further, unrelated orders: those prefixes travel as narrow rows,
+and only candidates that pass the filter of every order are verified on whole texts.
 
 Only the components of the links are asked for, so pairs already connected need no look: each set is first compared
 with one hub of its prefix lists, and afterwards only sets that are still in different components meet.
@@ -169,7 +170,7 @@ def _verified(threshold: Threshold, length: int):
                 for src, dst, mine, text in zip(ids[0][some], ids[1][some], own, others):
                     if text is not last and text != last:
                         last, held = text, next(iter(shingle_sets(pa.array([text], pa.large_string()), length)))
-                    if _similar(threshold, mine, held):
+                    if threshold.holds(len(np.intersect1d(mine, held, assume_unique=True)), len(mine), len(held)):
                         found.append((src, dst))
             columns = list(zip(*found)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["src", "dst"])
@@ -177,43 +178,65 @@ def _verified(threshold: Threshold, length: int):
     return run
 
 
-def _similar(threshold: Threshold, a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the sets share prefix tokens under every further order, and then whether they are similar enough."""
-    for seed in ORDERS:
-        if not len(np.intersect1d(_prefix(threshold, a, seed), _prefix(threshold, b, seed), assume_unique=True)):
-            return False
-    return threshold.holds(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
-
-
 def _prefix(threshold: Threshold, own: np.ndarray, seed: int) -> np.ndarray:
+    """The first tokens of a set under the order of ``seed``, as sorted 4-byte values; equal values of unlike tokens only let more pass."""
     rank = textscan.mix(own ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
     size = threshold.prefix(len(own))
-    return own if size >= len(own) else own[np.argpartition(rank, size - 1)[:size]]
+    first = rank if size >= len(rank) else np.partition(rank, size - 1)[:size]
+    return np.sort(first.astype(np.uint32))
 
 
-def _sketches(length: int):
-    """How many tokens of each set fall into each of ``SLOTS`` slots, as 2-byte counts."""
+def _digests(threshold: Threshold, length: int):
+    """What further filters know of each set: its prefix under every further order, end to end, and a sketch of the whole.
+
+    The sketch counts how many tokens fall into each of ``SLOTS`` slots, as 2-byte numbers.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = [np.bincount((textscan.mix(own) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).clip(0, 65535).astype("<u2").tobytes()
-                    for own in shingle_sets(texts_of(batch.column("text")), length)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "sketch"])
+            sizes, prefixes, sketches = [], [], []
+            for own in shingle_sets(texts_of(batch.column("text")), length):
+                sizes.append(len(own))
+                parts = [_prefix(threshold, own, seed) for seed in ORDERS] if len(own) else []
+                prefixes.append(b"".join(part.astype("<u4").tobytes() for part in parts))
+                sketches.append(np.bincount((textscan.mix(own) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).clip(0, 65535).astype("<u2").tobytes())
+            digests = pa.StructArray.from_arrays([pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], names=["prefixes", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), digests], names=["id", "digest"])
 
     return run
 
 
+def _meet(a: bytes, b: bytes) -> bool:
+    """Whether two sets share a prefix token under each of the further orders."""
+    if not a or not b:
+        return False
+    ones, twos = np.frombuffer(a, "<u4").reshape(len(ORDERS), -1), np.frombuffer(b, "<u4").reshape(len(ORDERS), -1)
+    for one, two in zip(ones, twos):
+        at = np.searchsorted(two, one)
+        if not (two[np.minimum(at, len(two) - 1)] == one).any():
+            return False
+    return True
+
+
 def _may_link(threshold: Threshold):
-    """Pairs whose slots leave room for enough overlap: two sets share at most the smaller count of each slot."""
+    """Candidates that meet under every order and whose sketches leave room for enough overlap.
+
+    The orders are intersected first.  Two sets share at most the smaller count of each slot of a sketch.
+    """
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u2").reshape(-1, SLOTS) for n in ("src_sketch", "dst_sketch"))
+            ends = [batch.column(n) for n in ("src_digest", "dst_digest")]
+            pairs = zip(*[end.field("prefixes").to_pylist() for end in ends])
+            kept = np.flatnonzero(np.fromiter((_meet(*pair) for pair in pairs), bool, len(batch)))
+            if not len(kept):
+                continue
+            a, b = (np.frombuffer(b"".join(end.field("sketch").take(pa.array(kept)).to_pylist()), "<u2").reshape(-1, SLOTS) for end in ends)
             common = np.minimum(a, b).sum(axis=1, dtype=np.int64)
             sizes = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
             full = (a == 65535).any(axis=1) | (b == 65535).any(axis=1)
             room = full | (100 * common >= threshold.percent * (sizes - common))
-            yield batch.select(["src", "dst"]).filter(pa.array(room))
+            yield batch.select(["src", "dst"]).take(pa.array(kept[room]))
 
     return run
 
@@ -227,15 +250,17 @@ def _with_ends(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 def _links(pairs: DataFrame, texts: DataFrame, threshold: Threshold, length: int) -> DataFrame:
     """The pairs (src, dst) that are similar enough; dst is the end that many pairs share.
 
-    Sketches of half a kilobyte come first and leave few pairs for whole texts.  A table of the wanted identifiers,
-    2 MB whatever their number, spares most texts the shuffle.
+    Candidates share prefix tokens under the first order.  Narrow rows come next: prefixes under the further orders, which
+    are intersected, and a sketch of half a kilobyte.  They leave few pairs for whole texts.  A table of the wanted
+    identifiers, 2 MB whatever their number, spares most texts the shuffle.
     """
 
     def ids(frame: DataFrame) -> DataFrame:
         return frame.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
-    sketches = only(texts, "id", ids(pairs), "id").mapInArrow(_sketches(length), "id long, sketch binary")
-    left = cut_lineage(_with_ends(pairs, sketches, "sketch").mapInArrow(_may_link(threshold), "src long, dst long").distinct())
+    digests = only(texts, "id", ids(pairs), "id").mapInArrow(
+        _digests(threshold, length), "id long, digest struct<prefixes: binary, sketch: binary>")
+    left = cut_lineage(_with_ends(pairs, digests, "digest").mapInArrow(_may_link(threshold), "src long, dst long").distinct())
     wanted = only(texts, "id", ids(left), "id")
     return cut_lineage(_with_ends(left, wanted, "text").mapInArrow(_verified(threshold, length), "src long, dst long").distinct())
 
