@@ -8,7 +8,7 @@ from caseloom.catalog import named
 from caseloom.catalog import views as V
 from caseloom.catalog.intake_queries import RAW_SQL, normalized
 from caseloom.catalog.vector_queries import _SCORES
-from caseloom.operators import graph as G, normalize as N
+from caseloom.operators import graph as G, modularity as M, normalize as N
 from caseloom.operators.neighbours import duplicate_edges
 from caseloom.session import cut_lineage
 
@@ -132,6 +132,61 @@ def communities(spark, folder):
     return G.communities(_found(spark, folder))
 
 
+def _dense_sql(levels: int = M.LEVELS, rounds: int = M.ROUNDS) -> str:
+    parts = ["WITH " + ENTITIES_SQL + f""",
+pairs AS MATERIALIZED (SELECT t, e, greatest({M.UNIT} // count(*) OVER (PARTITION BY e), 1)::BIGINT AS w FROM (
+  SELECT DISTINCT ticket_id::VARCHAR AS t, node_type || ':' || name AS e FROM found)),
+n0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY side, name) - 1 AS node, side, name, degree, 0::BIGINT AS loop FROM (
+  SELECT 'E' AS side, e AS name, sum(w)::BIGINT AS degree FROM pairs GROUP BY e
+  UNION ALL SELECT 'T', t, sum(w)::BIGINT FROM pairs GROUP BY t)),
+one AS (SELECT a.node AS src, b.node AS dst, w FROM pairs JOIN n0 a ON a.side = 'E' AND a.name = e JOIN n0 b ON b.side = 'T' AND b.name = t),
+e0 AS MATERIALIZED (SELECT src, dst, w FROM one UNION ALL SELECT dst, src, w FROM one),
+total AS MATERIALIZED (SELECT sum(degree)::BIGINT AS t FROM n0),
+m0 AS (SELECT name AS ticket_id, node AS label FROM n0 WHERE side = 'T')"""]
+    for v in range(levels):
+        parts.append(f"l{v}_0 AS MATERIALIZED (SELECT node, side, degree, loop, node AS community FROM n{v})")
+        for r in range(rounds + 1):
+            if r:
+                before = f"l{v}_{r - 1}"
+                if v == 0:
+                    move, take = f"l.side = '{'E' if r % 2 else 'T'}'", "true"
+                else:
+                    move, take = "true", f"o.target {'<' if r % 2 else '>='} l.community"
+                parts.append(f"""
+l{v}_{r} AS MATERIALIZED (
+  WITH vol AS (SELECT community AS target, sum(degree)::BIGINT AS volume FROM {before} GROUP BY 1),
+  o AS (SELECT node, target, sum(w)::BIGINT AS w FROM (
+    SELECT src AS node, community AS target, w FROM e{v} JOIN {before} ON node = dst
+    UNION ALL SELECT node, community, 0 FROM {before}) GROUP BY 1, 2),
+  best AS (SELECT o.node, o.target FROM o JOIN {before} l ON l.node = o.node JOIN vol ON vol.target = o.target, total
+    WHERE {move} AND (o.target = l.community OR {take})
+    QUALIFY row_number() OVER (PARTITION BY o.node ORDER BY w::DOUBLE - l.degree::DOUBLE
+      * (volume - CASE WHEN o.target = l.community THEN l.degree ELSE 0 END)::DOUBLE / t::DOUBLE DESC,
+      o.target = l.community DESC, o.target) = 1)
+  SELECT l.node, l.side, l.degree, l.loop, coalesce(best.target, l.community) AS community FROM {before} l LEFT JOIN best ON best.node = l.node)""")
+            parts.append(f"""
+q{v}_{r} AS MATERIALIZED (SELECT {r} AS r, (coalesce((SELECT sum(w)::HUGEINT FROM e{v} JOIN l{v}_{r} a ON a.node = src JOIN l{v}_{r} b ON b.node = dst
+    WHERE a.community = b.community), 0) + (SELECT sum(loop)::HUGEINT FROM l{v}_{r})) * (SELECT t::HUGEINT FROM total)
+  - (SELECT sum(volume * volume) FROM (SELECT sum(degree)::HUGEINT AS volume FROM l{v}_{r} GROUP BY community)) AS quality)""")
+        every = " UNION ALL ".join(f"SELECT * FROM q{v}_{r}" for r in range(rounds + 1))
+        chosen = " UNION ALL ".join(f"SELECT * FROM l{v}_{r} WHERE (SELECT r FROM pick{v}) = {r}" for r in range(rounds + 1))
+        parts.append(f"""
+pick{v} AS MATERIALIZED (SELECT r FROM ({every}) ORDER BY quality DESC, r LIMIT 1),
+l{v} AS MATERIALIZED ({chosen}),
+m{v + 1} AS MATERIALIZED (SELECT ticket_id, community AS label FROM m{v} JOIN l{v} ON node = label),
+c{v} AS MATERIALIZED (SELECT a.community AS src, b.community AS dst, sum(w)::BIGINT AS w
+  FROM e{v} JOIN l{v} a ON a.node = src JOIN l{v} b ON b.node = dst GROUP BY 1, 2),
+n{v + 1} AS MATERIALIZED (SELECT community AS node, 'C' AS side, sum(degree)::BIGINT AS degree, (sum(loop) + coalesce(any_value(w), 0))::BIGINT AS loop
+  FROM l{v} LEFT JOIN c{v} ON src = community AND dst = community GROUP BY community),
+e{v + 1} AS MATERIALIZED (SELECT * FROM c{v} WHERE src <> dst)""")
+    return ",".join(parts) + f" SELECT ticket_id, min(ticket_id) OVER (PARTITION BY label) AS community FROM m{levels}"
+
+
+@named("dense_communities", _dense_sql())
+def dense_communities(spark, folder):
+    return M.dense_communities(_found(spark, folder))
+
+
 @named("stabilized_clusters", "WITH " + ENTITIES_SQL + """,
 noisy AS (SELECT p.ticket_id, CASE WHEN o_orderstatus = 'O' THEN -1 ELSE cluster_id END AS cluster_id,
                  o_custkey % 5 AS community FROM placed p JOIN raw USING (ticket_id)),
