@@ -48,3 +48,12 @@ def salted_join(left: DataFrame, right: DataFrame, keys: str | list, spread_by:
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return left.withColumn("__salt", salt).join(
         right.withColumn("__salt", copies), [*keys, "__salt"], how).drop("__salt")
+
+
+def long_join(left: DataFrame, right: DataFrame, keys: str | list, how: str = "inner") -> DataFrame:
+    """Join two tables that both grow with the input, sorted on both sides.
+
+    Spark guesses the size of narrow columns taken from wide rows far too low and would send such a table whole through
+    the driver.  A hot key of the left side is cut by the adaptive skew join.
+    """
+    return left.join(right.hint("merge"), keys, how)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.operators.components import numbered
-from caseloom.operators.joins import salted_join
+from caseloom.operators.joins import long_join
 from caseloom.session import cut_lineage, written
 
 #: Weight of the mentions of one entity together.
@@ -38,14 +38,14 @@ def mention_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("ticket_id").cast("string").alias("ticket"), F.concat_ws(":", "node_type", "name").alias("entity")).distinct()
     sizes = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).select(
         "entity", F.greatest(F.floor(F.lit(UNIT) / F.col("n")), F.lit(1)).cast("bigint").alias("w"))
-    pairs = cut_lineage(salted_join(pairs, sizes, "entity", "ticket"))
+    pairs = cut_lineage(long_join(pairs, sizes, "entity"))
     ends = {side: pairs.groupBy(F.col(column).alias("name")).agg(F.sum("w").alias("degree")).select(F.lit(side).alias("side"), "name", "degree")
             for side, column in (("E", "entity"), ("T", "ticket"))}
     nodes = cut_lineage(numbered(ends["E"].unionByName(ends["T"]), ["side", "name"]).withColumnRenamed("number", "node")
                         .withColumn("loop", F.lit(0).cast("bigint")))
     keys = {side: nodes.where(F.col("side") == side).select(F.col("name").alias(column), F.col("node").alias(side))
             for side, column in (("E", "entity"), ("T", "ticket"))}
-    joined = cut_lineage(salted_join(pairs, keys["E"], "entity", "ticket").join(keys["T"], "ticket").select("E", "T", "w"))
+    joined = cut_lineage(long_join(long_join(pairs, keys["E"], "entity"), keys["T"], "ticket").select("E", "T", "w"))
     edges = joined.select(F.col("E").alias("src"), F.col("T").alias("dst"), "w").unionByName(
         joined.select(F.col("T").alias("src"), F.col("E").alias("dst"), "w"))
     return nodes, edges
@@ -54,7 +54,7 @@ def mention_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(src, community, w): the weight between each node and each community it touches."""
     ends = labels.select(F.col("node").alias("dst"), "community")
-    return salted_join(edges, ends, "dst", "src").groupBy("src", "community").agg(F.sum("w").alias("w"))
+    return long_join(edges, ends, "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
 
 
 def _offers(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def _offers(edges: DataFrame, labels: DataFrame) -> DataFrame:
     touched = _between(edges, labels).select(F.col("src").alias("node"), F.col("community").alias("target"), "w")
     stay = labels.select("node", F.col("community").alias("target"), F.lit(0).cast("bigint").alias("w"))
     weights = touched.unionByName(stay).groupBy("node", "target").agg(F.sum("w").alias("w"))
-    return written(weights.join(labels.select("node", "side", "degree", "loop", "community"), "node"))
+    return written(long_join(weights, labels.select("node", "side", "degree", "loop", "community"), "node"))
 
 
 def _at_home(offers: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def quality(offers: DataFrame, total: int) -> int:
 def _moved(offers: DataFrame, total: int, may_move: Column, may_take: Column) -> DataFrame:
     """The labels after one round: the gain of a community is w - degree * volume / total, its volume without the node."""
     own = F.col("target") == F.col("community")
-    sized = salted_join(offers.where(own | (may_move & may_take)), _volumes(offers), "target", "node")
+    sized = long_join(offers.where(own | (may_move & may_take)), _volumes(offers), "target")
     others = F.col("volume") - F.when(own, F.col("degree")).otherwise(F.lit(0))
     gain = F.col("w").cast("double") - F.col("degree").cast("double") * others.cast("double") / F.lit(float(total))
     best = F.max(F.struct(gain.alias("gain"), own.alias("own"), (-F.col("target")).alias("low"), "side", "degree", "loop")).alias("best")
@@ -113,7 +113,7 @@ def _contracted(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = written(offers.groupBy(F.col("community").alias("src"), F.col("target").alias("dst")).agg(F.sum("w").alias("w")))
     sums = _at_home(offers).groupBy("community").agg(F.sum("degree").alias("degree"), F.sum("loop").alias("loop"))
     loops = joined.where("src = dst").select(F.col("src").alias("community"), F.col("w").alias("within"))
-    nodes = sums.join(loops, "community").select(
+    nodes = long_join(sums, loops, "community").select(
         F.col("community").alias("node"), F.lit("C").alias("side"), "degree", (F.col("loop") + F.col("within")).alias("loop"))
     return cut_lineage(nodes), joined.where("src <> dst")
 
@@ -132,11 +132,11 @@ def dense_communities(found: DataFrame, levels: int = LEVELS, rounds: int = ROUN
             if at == 0 and level:
                 break
             step = _at_home(offers).select(F.col("node").alias("label"), F.col("community").alias("next"))
-            members = cut_lineage(salted_join(members, step, "label", "ticket_id").select("ticket_id", F.col("next").alias("label")))
+            members = cut_lineage(long_join(members, step, "label").select("ticket_id", F.col("next").alias("label")))
             if level + 1 < levels:
                 nodes, edges = _contracted(offers)
     names = members.groupBy("label").agg(F.min("ticket_id").alias("community"))
-    return salted_join(members, names, "label", "ticket_id").select("ticket_id", "community")
+    return long_join(members, names, "label").select("ticket_id", "community")
 
 
 def modularity(found: DataFrame, communities: DataFrame) -> float:

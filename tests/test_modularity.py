@@ -2,6 +2,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom.operators import graph as G, modularity as M
 
@@ -64,3 +65,15 @@ def test_odd_rows(spark):
     rows = [("a", "E", "x"), ("a", "E", "x"), ("b", None, "y"), (None, "E", "x"), ("c", "E", None), ("d", "E", "")]
     got = M.dense_communities(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(tuple(r) for r in got) == [("a", "a"), ("b", "b"), ("d", "d")]
+
+
+def test_tables_of_all_nodes_are_never_broadcast(spark):
+    """Tables as long as the mentions must not go through the driver, however short Spark thinks they are."""
+    found = spark.createDataFrame([("a", "Component", "x"), ("b", "Component", "x"), ("b", "Component", "y")], "ticket_id string, node_type string, name string")
+    nodes, edges = M.mention_graph(found)
+    labels = nodes.select("node", "side", "degree", "loop", F.col("node").alias("community"))
+    offers = M._offers(edges, labels)
+    for frame in (M._between(edges, labels), M.dense_communities(found)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert offers.count() > 0
