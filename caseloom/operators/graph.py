@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.operators.joins import salted_join
+from caseloom.operators.joins import long_join, salted_join
 from caseloom.schemas import EDGE_TYPES
 from caseloom.session import cut_lineage
 
@@ -88,7 +88,7 @@ def cluster_edges(found: DataFrame, assignments: DataFrame, kind: str, node_type
     cluster size, so the second join sees one row per pair.
     """
     members = assignments.where(F.col("cluster_id") >= 0).select("ticket_id", "cluster_id")
-    named = found.where(F.col("node_type").isin(node_types)).join(members, "ticket_id")
+    named = long_join(found.where(F.col("node_type").isin(node_types)), members, "ticket_id")
     counts = named.groupBy("cluster_id", "node_type", "name").agg(F.count(F.lit(1)).alias("n"))
     sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     share = F.col("n") / F.col("size")
@@ -136,7 +136,7 @@ def communities(found: DataFrame, rounds: int = 5) -> DataFrame:
     pairs = cut_lineage(salted_join(pairs, sizes, "entity", "ticket_id"))
     labels = pairs.select("ticket_id", F.col("ticket_id").alias("community")).distinct()
     for _ in range(rounds):
-        counts = pairs.join(labels, "ticket_id").groupBy("entity", "community").agg(F.count(F.lit(1)).alias("n"))
+        counts = long_join(pairs, labels, "ticket_id").groupBy("entity", "community").agg(F.count(F.lit(1)).alias("n"))
         leading = counts.groupBy("entity").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("first")).select(
             "entity", F.col("first.community").alias("community"))
         votes = salted_join(pairs, leading, "entity", "ticket_id").groupBy("ticket_id", "community").agg(
@@ -148,7 +148,7 @@ def communities(found: DataFrame, rounds: int = 5) -> DataFrame:
 
 def stabilize(assignments: DataFrame, community: DataFrame) -> DataFrame:
     """Give noise rows the most frequent cluster of their community."""
-    joined = assignments.join(community, "ticket_id", "left")
+    joined = long_join(assignments, community, "ticket_id", "left")
     counts = joined.where((F.col("cluster_id") >= 0) & F.col("community").isNotNull()).groupBy(
         "community", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
     leading = counts.groupBy("community").agg(
@@ -161,4 +161,4 @@ def stabilize(assignments: DataFrame, community: DataFrame) -> DataFrame:
 def tickets_for_node(tickets: DataFrame, edges: DataFrame, node: Column) -> DataFrame:
     """Tickets with an edge to the selected node."""
     picked = edges.where(F.col("dst") == node).select("src")
-    return tickets.join(picked, ticket_node(tickets["ticket_id"]) == picked["src"], "left_semi")
+    return tickets.join(picked.hint("merge"), ticket_node(tickets["ticket_id"]) == picked["src"], "left_semi")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from caseloom.operators import graph as G
 
 
@@ -36,3 +38,14 @@ def test_noise_follows_its_community(spark):
     community = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "x"), ("4", "y"), ("5", "x")], "ticket_id string, community string")
     got = {r.ticket_id: r.cluster_id for r in G.stabilize(assignments, community).collect()}
     assert got == {"1": 7, "2": 7, "3": 7, "4": -1, "5": 8}
+
+
+def test_joins_by_ticket_are_never_broadcast(spark):
+    """Both sides grow with the tickets; Spark's guess of a narrow table must not send it through the driver."""
+    assigned = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.5), ("c", -1, 0.5)], "ticket_id string, cluster_id bigint, confidence double")
+    community = spark.createDataFrame([("a", 7), ("b", 7), ("c", 7)], "ticket_id string, community bigint")
+    found = spark.createDataFrame([("a", "Component", "x"), ("b", "Component", "x")], "ticket_id string, node_type string, name string")
+    for frame in (G.stabilize(assigned, community), G.caused_by(found, assigned), G.tickets_for_node(assigned, G.mentions(found), F.lit("n"))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin [ticket_id" not in plan and "BroadcastHashJoin [concat(Ticket" not in plan
+    assert {r.ticket_id: r.cluster_id for r in G.stabilize(assigned, community).collect()} == {"a": 1, "b": 1, "c": 1}
