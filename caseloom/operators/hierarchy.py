@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from caseloom.operators.clusters import NOISE
 from caseloom.operators.components import components, numbered
 from caseloom.operators.density import GRAPH_NEIGHBOURS, MIN_CLUSTER_SIZE, MIN_SAMPLES, name_clusters
-from caseloom.operators.neighbours import SCORE_DIGITS, _build_cells, _column_rows, _columns, _matrix_reader, nearest
+from caseloom.operators.neighbours import SCORE_DIGITS, _block, _build_cells, _column_rows, _columns, _matrix_reader, nearest
 from caseloom.session import cut_lineage, written
 
 #: Edges or clusters that one task works off in sequence; longer tables are divided first.
@@ -86,7 +86,7 @@ def _outside(queries: DataFrame, placed: DataFrame, layout, column_rows: int) ->
 
     left = spread(visits, "q_col", q_cols, "c_col", c_cols)
     right = spread(placed.select("id", "vec", "core", "component", "cell"), "c_col", c_cols, "q_col", q_cols)
-    kind, digits = queries.schema["id"].dataType, SCORE_DIGITS
+    kind, digits, size_of = queries.schema["id"].dataType, SCORE_DIGITS, _block
     schema = T.StructType([T.StructField("id", kind), T.StructField("component", queries.schema["component"].dataType),
                            T.StructField("other", kind), T.StructField("reach", T.DoubleType())])
 
@@ -98,9 +98,10 @@ def _outside(queries: DataFrame, placed: DataFrame, layout, column_rows: int) ->
             b = b.sort_values("id", kind="stable")
             ids, owners_, core = b["id"].to_numpy(), b["component"].to_numpy(), b["core"].to_numpy()
             q, c = read(a["vec"]), read(b["vec"])
-            for first in range(0, len(a), 512):
-                some = a.iloc[first:first + 512]
-                score = np.round(q[first:first + 512] @ c.T, digits) + 0.0
+            block = size_of(len(c))
+            for first in range(0, len(a), block):
+                some = a.iloc[first:first + block]
+                score = np.round(q[first:first + block] @ c.T, digits) + 0.0
                 reach = np.sqrt(np.maximum(0.0, 2 - 2 * score))
                 reach = np.maximum(np.maximum(reach, core[None, :]), some["core"].to_numpy()[:, None])
                 reach[some["component"].to_numpy()[:, None] == owners_[None, :]] = np.inf

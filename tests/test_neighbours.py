@@ -122,3 +122,13 @@ def test_assignment_without_neighbours(spark):
     none = spark.createDataFrame([], "id bigint, cluster_id bigint")
     got = R.assign_clusters(q, frame(spark, points).limit(0), none).collect()
     assert [(r.cluster_id, r.confidence, r.similar_tickets) for r in got] == [(None, 0.0, [])] * 2
+
+
+def test_short_columns_do_not_multiply_with_the_rows(spark, monkeypatch):
+    """Copies of a row follow cores and memory, not the length of its cell; blocks shrink as columns grow."""
+    assert B._columns([100, 1000, 100_000, 1_000_000], 128, 3, 65_536) == [1, 3, 3, 16]
+    assert B._block(100) == 512 and B._block(1 << 17) * (1 << 17) <= B.SCORES_HELD
+    monkeypatch.setattr(B, "SCORES_HELD", 600)
+    points = planted(8, rows=300)
+    v = frame(spark, points)
+    assert collected(B.nearest(v, v, 4, exclude_self=True, cells=3, column_rows=8)) == brute(points, points, 4, self_excluded=True)
