@@ -261,9 +261,23 @@ def put(index: Index, vectors: DataFrame, *, replaces: bool = True) -> None:
     _store_facts(index, before.where(f"NOT {_only(touched)}").unionByName(changed))
 
 
-def _planned(queries: DataFrame, index: Index, facts: tuple, pick) -> DataFrame:
-    """One row per query and cell that ``pick`` (distances, lower bounds, rows of the batch) chooses."""
-    schema = T.StructType([queries.schema["id"], queries.schema["vec"], T.StructField("cell", T.IntegerType())])
+def _packs(counts: list, rows: int) -> list:
+    """First cell of each pack: neighbouring cells of about ``rows`` rows together."""
+    firsts, held = [0], 0
+    for cell, n in enumerate(counts):
+        if held and held + n > rows:
+            firsts.append(cell)
+            held = 0
+        held += n
+    return firsts
+
+
+def _planned(queries: DataFrame, index: Index, facts: tuple, firsts: list, pick) -> DataFrame:
+    """One row per query and pack with a cell that ``pick`` (distances, lower bounds, rows of the batch) chooses.
+
+    ``parts`` holds a bit for each cell of the pack, set for those to visit; so a query travels once to a pack.
+    """
+    schema = T.StructType([queries.schema["id"], queries.schema["vec"], T.StructField("cell", T.IntegerType()), T.StructField("parts", T.BinaryType())])
     centres, read = index.centres, _matrix_reader()
 
     def plan(batches):
@@ -278,12 +292,35 @@ def _planned(queries: DataFrame, index: Index, facts: tuple, pick) -> DataFrame:
                 distance = _distances(read(part["vec"]), fine)
                 distance[:, counts == 0] = np.inf
                 bound = np.maximum(0.0, np.maximum(distance - far[None, :], near[None, :] - distance))
-                at, cell = np.nonzero(pick(distance, bound, counts, part) & (counts > 0)[None, :])
-                yield pd.DataFrame({"id": part["id"].to_numpy()[at], "vec": part["vec"].to_numpy()[at], "cell": cell.astype("int32")})
+                chosen = pick(distance, bound, counts, part) & (counts > 0)[None, :]
+                for pack, (begin, end) in enumerate(zip(firsts, [*firsts[1:], len(counts)])):
+                    at = np.flatnonzero(chosen[:, begin:end].any(axis=1))
+                    if len(at):
+                        bits = np.packbits(chosen[at, begin:end], axis=1)
+                        yield pd.DataFrame({"id": part["id"].to_numpy()[at], "vec": part["vec"].to_numpy()[at],
+                                            "cell": np.int32(pack), "parts": [one.tobytes() for one in bits]})
 
     return queries.mapInPandas(plan, schema)
 
 
+def _asked(visits: DataFrame, firsts: list, cells: int) -> dict:
+    """Queries that visit each cell, for the cells that any visits."""
+    def add(batches):
+        import numpy as np
+        import pandas as pd
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for pack, parts in batch.groupby("cell")["parts"]:
+                end = firsts[pack + 1] if pack + 1 < len(firsts) else cells
+                bits = np.unpackbits(np.stack([np.frombuffer(one, np.uint8) for one in parts]), axis=1)
+                total[firsts[pack]:end] += bits[:, :end - firsts[pack]].sum(axis=0, dtype=np.int64)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at.astype("int32"), "n": total[at]})
+
+    found = visits.select("cell", "parts").mapInPandas(add, "cell int, n bigint")
+    return {r["cell"]: r["n"] for r in found.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+
+
 def _first_cells(least: int):
     """The nearest cells that together hold ``least`` rows."""
     def pick(distance, bound, counts, part):
@@ -335,36 +372,42 @@ def search(index: Index, queries: DataFrame, k: int, *, exclude_self: bool = Fal
     stored, total = index.rows(), sum(counts)
     options = dict(exclude_self=exclude_self, earlier_only=False, min_score=min_score,
                    column_rows=column_rows or _column_rows(queries, max(n_queries, 1)))
+    firsts = _packs(counts, options["column_rows"])
+    pack_rows = [sum(counts[a:b]) for a, b in zip(firsts, [*firsts[1:], len(counts)])]
+    place = [pack for pack, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(counts)])) for _ in range(a, b)]
+    lookup = lambda values, at: F.element_at(F.from_json(F.lit(json.dumps(values)), "array<int>"), F.col(at) + 1)
     read: set = set()
     compared = 0
 
     def run(visits: DataFrame) -> DataFrame:
         nonlocal compared
         visits = cut_lineage(visits)
-        asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+        asked = _asked(visits, firsts, len(counts))
         read.update(asked)
         compared += sum(n * counts[c] for c, n in asked.items())
-        held = stored.where(_only(asked)).select("cell", "id", "vec")
-        return _search(visits, held, counts, [asked.get(c, 0) for c in range(len(counts))], k, **options)
+        sent = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+        held = stored.where(_only(asked)).select(lookup(place, "cell").alias("cell"), "id", "vec", (
+            F.col("cell") - lookup([firsts[p] for p in place], "cell")).alias("part"))
+        return _search(visits, held, pack_rows, [sent.get(p, 0) for p in range(len(firsts))], k, packed=True, **options)
 
     blank, positive = None, min_score is not None and min_score > 0
     if not positive:
         blank = _blank_answers(queries.where(is_zero(F.col("vec"))), stored, k, exclude_self)
     queries = queries.where(~is_zero(F.col("vec")))
     if probes is not None:
-        found = run(_planned(queries, index, facts, _probed(probes)))
+        found = run(_planned(queries, index, facts, firsts, _probed(probes)))
     elif positive:
         limit = math.sqrt(max(0.0, 2 - 2 * min_score))
-        found = run(_planned(queries.withColumn("radius", F.lit(limit)), index, facts, _within(0)))
+        found = run(_planned(queries.withColumn("radius", F.lit(limit)), index, facts, firsts, _within(0)))
     else:
         least = k + int(exclude_self)
-        first = cut_lineage(_best(cut_lineage(run(_planned(queries, index, facts, _first_cells(least)))), k))
+        first = cut_lineage(_best(cut_lineage(run(_planned(queries, index, facts, firsts, _first_cells(least)))), k))
         reached = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
         # Scores at or below zero may tie with zero vectors anywhere: everything is searched then.
         radius = F.when((F.col("n") >= k) & (F.col("worst") > 0), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("worst"))))
         widened = queries.join(reached, queries["id"] == reached["query_id"], "left").select(
             "id", "vec", F.coalesce(radius, F.lit(2.0)).alias("radius"))
-        found = first.drop("rank").unionByName(run(_planned(widened, index, facts, _within(least))))
+        found = first.drop("rank").unionByName(run(_planned(widened, index, facts, firsts, _within(least))))
     if report is not None:
         report.update(cells=len(counts), cells_read=len(read), rows=total, queries=n_queries, pairs_compared=compared)
     best = _best(found, k)

@@ -106,3 +106,15 @@ def test_text_ids(spark, table, tmp_path):
     named = table.selectExpr("concat('t', id) AS id", "vec")
     made = X.create(named, str(tmp_path / "x"), dimension=12)
     assert rows(X.search(made, named, 3)) == rows(B.nearest(named, named, 3))
+
+
+def test_a_query_travels_once_to_a_pack_of_cells(spark, table, tmp_path):
+    made = X.create(table, str(tmp_path / "x"), dimension=12, cells=40)
+    facts = made.facts()
+    firsts = X._packs(facts[0], 500)
+    assert 3 <= len(firsts) <= 6 and X._packs([0, 0], 5) == [0]
+    every = table.select("id", "vec").where("id < 100")
+    visits = X._planned(every, made, facts, firsts, lambda distance, bound, counts, part: bound >= 0)
+    assert visits.count() == 100 * len(firsts)
+    assert X._asked(visits, firsts, len(facts[0])) == {c: 100 for c, n in enumerate(facts[0]) if n}
+    assert rows(X.search(made, table, 4, column_rows=500)) == rows(B.nearest(table, table, 4))
