@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caseloom.llm.tasks import bytes_of, pieces, texts_of
+from caseloom.llm.tasks import bytes_of, pieces, texts_of, worker_cache
 
 #: Bytes of a window; the last one of a text is filled up with zero bytes.
 WINDOW = 256
@@ -152,6 +152,7 @@ def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def _predictor(network: ByteNetwork | None):
     """A function from texts to their languages and probabilities; a text without bytes is unknown."""
+    worker_cache("language_id")  # what another operator remembered goes
     tables = network.tables() if network is not None else None
 
     def predict(texts: pa.Array) -> tuple[list[str], np.ndarray]:

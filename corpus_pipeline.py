@@ -18,8 +18,10 @@ from caseloom.llm.tasks import prepare  # noqa: E402
 
 cloudpickle.register_pickle_by_value(caseloom)
 
-#: A predicted language counts from this probability on; 0 rejects just documents whose language is unknown.
-LEAST_LANGUAGE_SCORE = 0.0
+#: A predicted language counts from this probability on: when it is likelier than all others together.
+LEAST_LANGUAGE_SCORE = 0.5
+#: Bytes of an Arrow batch of the first stage: it hands whole rows on, beside its network and an executor full of their columns.
+LANGUAGE_BATCH_BYTES = 2 << 20
 #: Bytes of pieces that a worker remembers: after the other stages, the executors' memory is no longer empty.
 REMEMBERED = 16 << 20
 #: Bytes of an Arrow batch of its last stage, for the same reason.
@@ -31,8 +33,8 @@ def _same_columns(kept: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; one without a letter has none."""
-    prepare(spark)
+    """Documents whose language is known: the network prefers one to all others together, and there is a letter."""
+    prepare(spark, LANGUAGE_BATCH_BYTES)
     network = language_id.fit(docs)
     judged = language_id.filter_known(docs, network, LEAST_LANGUAGE_SCORE)
     return _same_columns(judged, docs)

@@ -1,6 +1,9 @@
 import collections
 
+import numpy as np
+
 import corpus_pipeline
+from caseloom.llm import language_id, tasks
 from tests.llm.common import components, documents
 from tests.llm.test_byte_bpe import PLAIN
 from tests.llm.test_exact_dedup import plain as exact_plain
@@ -47,3 +50,20 @@ def test_run(spark):
 def test_empty_table(spark, tmp_path):
     for name, _ in corpus_pipeline.STAGES:
         assert stage(spark, name, [], tmp_path)[1].count() == 0
+
+
+def test_the_network_decides_what_goes_on(spark, tmp_path, monkeypatch):
+    """Of three languages equally likely none is known; a document goes on if one outweighs the others."""
+    rows = [(i, f"words of text {i}", "a", "s", 1) for i in range(20)]
+    zeros = [np.zeros((w, 256, language_id.FILTERS), np.float32) for w in language_id.WIDTHS]
+    hidden = len(language_id.WIDTHS) * language_id.FILTERS
+    for offset, kept in (([0, 0, 0], 0), ([0.5, 0, 0], 0), ([3, 0, 0], 20)):
+        network = language_id.ByteNetwork(["a", "b", "c"], zeros, np.zeros(hidden, np.float32), np.zeros((hidden, 3), np.float32), np.array(offset, np.float32))
+        monkeypatch.setattr(language_id, "fit", lambda *_, **__: network)
+        assert stage(spark, "language", rows, tmp_path)[1].count() == kept
+
+
+def test_language_drops_what_another_operator_remembered():
+    tasks.worker_cache("byte_bpe")["pieces"] = [1]
+    language_id._predictor(None)
+    assert tasks.worker_cache("language_id") == {} and "pieces" not in tasks.worker_cache("byte_bpe")
