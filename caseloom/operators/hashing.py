@@ -11,17 +11,20 @@ spanning forest of the links it finds, so output stays linear however dense a bu
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from caseloom.operators.components import components
 from caseloom.operators.joins import salted_join
 from caseloom.operators.neighbours import SCORE_DIGITS, _folded, _matrix_reader
-from caseloom.session import cut_lineage
+from caseloom.session import cut_and_free, cut_lineage
 
 BITS, BANDS = 10, 40
 #: Rows of a bucket in one column.
 COLUMN_ROWS = 2048
+#: Copies of vectors under way at once, about; one band at least.
+COPIES_AT_ONCE = 1_000_000
 
 
 def expected_recall(score: float, bits: int = BITS, bands: int = BANDS) -> float:
@@ -54,16 +57,11 @@ def similar_links(vectors: DataFrame, min_score: float, *, bits: int = BITS, ban
                   column_rows: int = COLUMN_ROWS) -> DataFrame:
     """(src, dst): a forest of the links at or above the score between rows that share a band's key.
 
-    Vectors travel only to buckets that hold several rows.
+    Vectors travel only to buckets that hold several rows.  All rows travel once a band: long tables take a few bands at a
+    time and give back the disk in between, so what is stored at once follows the rows and not the bands too.
     """
     keys = cut_lineage(band_keys(vectors, bits, bands, seed))
     sizes = cut_lineage(keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = keys.join(sizes, ["band", "key"]).withColumn("cols", F.ceil(F.col("n") / column_rows).cast("int"))
-    held = shared.join(vectors.select("id", "vec"), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("cols")).cast("int")
-    # Column a of a bucket meets each column b >= a, itself too.
-    left = held.select("id", "vec", "band", "key", own.alias("a"), F.explode(F.sequence(own, F.col("cols") - 1)).alias("b"))
-    right = held.select(*[F.col(c).alias(c) for c in ("id", "vec", "band", "key")], own.alias("b"), F.explode(F.sequence(F.lit(0), own)).alias("a"))
     digits, read = SCORE_DIGITS, _matrix_reader()
     kind = vectors.schema["id"].dataType
 
@@ -92,8 +90,23 @@ def similar_links(vectors: DataFrame, min_score: float, *, bits: int = BITS, ban
         return pd.DataFrame(found, columns=["src", "dst"]) if found else pd.DataFrame({"src": a["id"].head(0), "dst": a["id"].head(0)})
 
     place = ["band", "key", "a", "b"]
-    links = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(link, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
-    return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    linked = T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
+
+    def links_of(some: DataFrame) -> DataFrame:
+        shared = some.join(sizes, ["band", "key"]).withColumn("cols", F.ceil(F.col("n") / column_rows).cast("int"))
+        held = shared.join(vectors.select("id", "vec"), "id")
+        own = F.pmod(F.xxhash64("id"), F.col("cols")).cast("int")
+        # Column a of a bucket meets each column b >= a, itself too.
+        left = held.select("id", "vec", "band", "key", own.alias("a"), F.explode(F.sequence(own, F.col("cols") - 1)).alias("b"))
+        right = held.select(*[F.col(c).alias(c) for c in ("id", "vec", "band", "key")], own.alias("b"), F.explode(F.sequence(F.lit(0), own)).alias("a"))
+        links = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(link, linked)
+        return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+    at_once = max(1, COPIES_AT_ONCE * bands // max(1, keys.count()))
+    if at_once >= bands:
+        return links_of(keys)
+    parts = [cut_and_free(links_of(keys.where(F.col("band").between(b, b + at_once - 1)))) for b in range(0, bands, at_once)]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def hashed_groups(vectors: DataFrame, min_score: float, **options) -> DataFrame:

@@ -45,3 +45,15 @@ def test_expected_recall():
 
 def test_empty(spark):
     assert L.hashed_groups(near_copies(spark).limit(0), 0.8).count() == 0
+
+
+def test_bands_in_rounds_find_the_same_groups(spark, monkeypatch):
+    """A long table takes a few bands at a time; each round's links are stored and its shuffle files go."""
+    data = near_copies(spark)
+    whole = {(r["id"], r["group_id"]) for r in L.hashed_groups(data, 0.8).collect()}
+    rounds, cut = [], L.cut_and_free
+    monkeypatch.setattr(L, "cut_and_free", lambda frame: rounds.append(1) or cut(frame))
+    monkeypatch.setattr(L, "COPIES_AT_ONCE", 2000)
+    assert {(r["id"], r["group_id"]) for r in L.hashed_groups(data, 0.8).collect()} == whole
+    assert 3 <= len(rounds) <= 8
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
