@@ -32,8 +32,12 @@ from caseloom.session import cut_lineage
 CELL_ROWS = 200_000
 MAX_CELLS = 1024
 COLUMN_BYTES = 16 << 20
-#: Scores that a task holds at once; it makes some copies of them.
-SCORES_HELD = 1 << 21
+#: Scores that a task holds at once, and the corpus rows of one look: such a block stays in the processor's cache.
+SCORES_HELD = 1 << 20
+RUN_ROWS = 4096
+#: Pairs that a task hands on, and those whose scores it makes exact at once.
+PAIRS_HELD = 1 << 21
+PAIRS_EXACT = 1 << 14
 MIN_COLUMN_ROWS = 2048
 SCORE_DIGITS = 9
 #: Partners that the first search for groups of duplicates takes; full lists are searched again for more.
@@ -59,6 +63,126 @@ def _matrix_reader():
     return read
 
 
+def _few_rows(batches, cells: int):
+    """Runs of rows that make a bounded number of pairs with so many cells."""
+    step = max(1, (1 << 16) // max(1, cells))
+    for batch in batches:
+        for first in range(0, len(batch), step):
+            yield batch.iloc[first:first + step]
+
+
+def _unit_reader():
+    """A function from a column of vectors to their unit vectors in single precision, and a function of places to exact ones."""
+    def read(column):
+        import numpy as np
+        stored = np.stack(column.to_numpy())
+        lengths, units = np.ones(len(stored)), np.empty(stored.shape, np.float32)
+        for first in range(0, len(stored), 4096):
+            some = stored[first:first + 4096].astype(np.float64)
+            norms = np.linalg.norm(some, axis=1)
+            own = lengths[first:first + 4096]
+            own[norms > 0] = norms[norms > 0]
+            units[first:first + 4096] = some / own[:, None]
+        return units, lambda at: stored[at].astype(np.float64) / lengths[at, None]
+
+    return read
+
+
+def _slack(dimension: int) -> float:
+    """More than the score of two unit vectors in single precision can be off."""
+    return (dimension + 8) * 2.4e-7
+
+
+def _exact_scores(exact_q, exact_c, at, col):
+    """Rounded scores of pairs of places, a few at once."""
+    import numpy as np
+    scores = np.empty(len(at))
+    for first in range(0, len(at), PAIRS_EXACT):
+        some = slice(first, first + PAIRS_EXACT)
+        scores[some] = np.einsum("ij,ij->i", exact_q(at[some]), exact_c(col[some]))
+    return np.round(scores, SCORE_DIGITS) + 0.0
+
+
+def _hidden(q_ids, c_ids, exclude_self: bool, earlier_only: bool):
+    """Per query the first and last place of the corpus rows that it must not find; those are in the order of ids, nulls last."""
+    import numpy as np
+    import pandas as pd
+    first, last = np.zeros(len(q_ids), np.int64), np.zeros(len(q_ids), np.int64)
+    if exclude_self or earlier_only:
+        known, asks = len(c_ids) - int(pd.isna(c_ids).sum()), ~pd.isna(q_ids)
+        first[asks] = np.searchsorted(c_ids[:known], q_ids[asks], "left")
+        last[asks] = known if earlier_only else np.searchsorted(c_ids[:known], q_ids[asks], "right")
+        if q_ids.dtype == object:  # a missing text is equal to another
+            first[~asks], last[~asks] = known, len(c_ids)
+    return first, last
+
+
+def _hide(score, start: int, first, last) -> None:
+    """Leave the places from ``first`` to ``last`` out of the scores of corpus rows that begin at ``start``."""
+    import numpy as np
+    stop = start + score.shape[1]
+    some = np.flatnonzero((first < stop) & (last > start) & (first < last))
+    if len(some):
+        place = np.arange(start, stop)
+        part = score[some]
+        part[(place >= first[some, None]) & (place < last[some, None])] = -np.inf
+        score[some] = part
+
+
+def _best_places(q, c, exact_q, exact_c, take: int, hidden, shut, min_score: float | None):
+    """(query places, corpus places, scores): the ``take`` best of each query, the first of equals.
+
+    Single precision tells which pairs may count, less its slack; those are made exact.  ``shut`` gives the pairs that do
+    not meet, for a run of queries and of corpus rows.
+    """
+    import numpy as np
+    slack, out = 2 * _slack(q.shape[1]), []
+    block = min(_block(RUN_ROWS), _block(4 * take))
+    for begin in range(0, len(q), block):
+        own = q[begin:begin + block]
+        first, last = hidden[0][begin:begin + block], hidden[1][begin:begin + block]
+        floor = np.full(len(own), -2.0 if min_score is None else min_score - slack, np.float32)
+        best, waiting, held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+        def settle():
+            at, col = (np.concatenate(x) for x in zip(*waiting))
+            score = _exact_scores(exact_q, exact_c, at + begin, col)
+            if min_score is not None:
+                fine = score >= min_score
+                at, col, score = at[fine], col[fine], score[fine]
+            at, col, score = (np.concatenate(x) for x in zip(best, (at, col, score)))
+            order = np.lexsort((col, -score, at))
+            at, col, score = at[order], col[order], score[order]
+            turn = np.arange(len(at)) - np.searchsorted(at, at, "left")
+            full = turn == take - 1
+            floor[at[full]] = np.maximum(floor[at[full]], (score[full] - slack).astype(np.float32))
+            return at[turn < take], col[turn < take], score[turn < take]
+
+        for start in range(0, len(c), RUN_ROWS):
+            if len(own) and (first <= start).all() and (last >= min(start + RUN_ROWS, len(c))).all():
+                continue
+            score = own @ c[start:start + RUN_ROWS].T
+            _hide(score, start, first, last)
+            if shut is not None:
+                score[shut(begin, begin + len(own), start, start + score.shape[1])] = -np.inf
+            may = score >= floor[:, None]
+            if take < score.shape[1] and np.count_nonzero(may) > 4 * take * len(own):
+                below = np.negative(score)
+                below.partition(take - 1, axis=1)
+                np.fmax(floor, -below[:, take - 1] - np.float32(slack), out=floor)
+                may = score >= floor[:, None]
+            at, col = np.divmod(np.flatnonzero(may), score.shape[1])
+            if len(at):
+                waiting.append((at, col + start))
+                held += len(at)
+            if held > 2 * take * len(own):
+                best, waiting, held = settle(), [], 0
+        if waiting:
+            best = settle()
+        out.append((best[0] + begin, best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 @dataclass
 class Cells:
     """Pivots and per-cell facts of one corpus.  Bounded by ``MAX_CELLS`` rows."""
@@ -78,14 +202,12 @@ def _home_cells(frame: DataFrame, pivots: list) -> DataFrame:
     schema = T.StructType(frame.schema.fields + [T.StructField("cell", T.IntegerType()),
                                                  T.StructField("reach", T.DoubleType())])
 
-    read = _matrix_reader()
+    read, few = _matrix_reader(), _few_rows
 
     def assign(batches):
         import numpy as np
         table = np.asarray(pivots, dtype=np.float64)
-        for batch in batches:
-            if len(batch) == 0:
-                continue
+        for batch in few(batches, len(table)):
             points = read(batch["vec"])
             squared = np.maximum(0.0, (points ** 2).sum(1)[:, None] + (table ** 2).sum(1)[None, :] - 2 * points @ table.T)
             home = squared.argmin(axis=1)
@@ -137,7 +259,7 @@ def _visits(queries: DataFrame, cells: Cells, own_cell: bool, other_cells: bool)
     """One row per query and cell to search; ``radius`` is the query's proven search radius."""
     schema = T.StructType([queries.schema["id"], queries.schema["vec"], T.StructField("cell", T.IntegerType())])
     pivots, rows, lo, hi = cells.pivots, cells.rows, cells.nearest, cells.farthest
-    read = _matrix_reader()
+    read, few = _matrix_reader(), _few_rows
 
     def plan(batches):
         import numpy as np
@@ -146,9 +268,7 @@ def _visits(queries: DataFrame, cells: Cells, own_cell: bool, other_cells: bool)
         filled = np.asarray(rows) > 0
         near, far = np.asarray(lo), np.asarray(hi)
         slack = 1e-6
-        for batch in batches:
-            if len(batch) == 0:
-                continue
+        for batch in few(batches, len(table)):
             points = read(batch["vec"])
             squared = np.maximum(0.0, (points ** 2).sum(1)[:, None] + (table ** 2).sum(1)[None, :] - 2 * points @ table.T)
             dist = np.sqrt(squared)
@@ -181,6 +301,12 @@ def _columns(counts: list, column_rows: int, useful: int | None = None, most_row
     return [max(1, min(math.ceil(n / column_rows), max(useful, math.ceil(n / most_rows)))) for n in counts]
 
 
+def _query_columns(columns: list, query_rows: list, corpus_rows: list, corpus_columns: list, k: int) -> list:
+    """A task hands on ``k`` rows per query, so a large ``k`` calls for more and shorter query columns."""
+    return [max(own, math.ceil(n * min(k, math.ceil(m / c)) / PAIRS_HELD))
+            for own, n, m, c in zip(columns, query_rows, corpus_rows, corpus_columns)]
+
+
 def _block(rows: int) -> int:
     """Queries compared at once with so many rows."""
     return max(1, min(512, SCORES_HELD // max(1, rows)))
@@ -200,7 +326,9 @@ def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows:
 
     # Short columns that a caller asks for hold for short cells alone.
     bounds = (_useful_columns(placed), _most_rows(placed)) if max([*corpus_rows, *query_rows, 0]) > column_rows else ()
-    q_cols, c_cols = lookup(_columns(query_rows, column_rows, *bounds)), lookup(_columns(corpus_rows, column_rows, *bounds))
+    c_counts = _columns(corpus_rows, column_rows, *bounds)
+    q_counts = _query_columns(_columns(query_rows, column_rows, *bounds), query_rows, corpus_rows, c_counts, k)
+    q_cols, c_cols = lookup(q_counts), lookup(c_counts)
 
     def spread(frame: DataFrame, own: str, own_cols: Column, other: str, other_cols: Column) -> DataFrame:
         return frame.select(*frame.columns,
@@ -214,7 +342,7 @@ def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows:
     other_type = placed.schema["id"].dataType
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("neighbour_id", other_type),
                            T.StructField("score", T.DoubleType())])
-    digits, read, size_of = SCORE_DIGITS, _matrix_reader(), _block
+    read = _unit_reader()
 
     def compare(a, b):
         import numpy as np
@@ -225,36 +353,17 @@ def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows:
             return empty
         b = b.sort_values("id", kind="stable")
         q_ids, c_ids = a["id"].to_numpy(), b["id"].to_numpy()
-        q, c = read(a["vec"]), read(b["vec"])
-        take, block = min(k, len(c_ids)), size_of(len(c_ids))
+        (q, exact_q), (c, exact_c) = read(a["vec"]), read(b["vec"])
+        shut = None
         if packed:
             bits = np.stack([np.frombuffer(one, np.uint8) for one in a["parts"]])
             part = b["part"].to_numpy()
-        found_q, found_c, found_s = [], [], []
-        for start in range(0, len(q_ids), block):
-            ids = q_ids[start:start + block]
-            score = np.round(q[start:start + block] @ c.T, digits) + 0.0
-            if packed:
-                score[np.unpackbits(bits[start:start + block], axis=1).take(part, axis=1) == 0] = -np.inf
-            if exclude_self:
-                score[ids[:, None] == c_ids[None, :]] = -np.inf
-            if earlier_only:
-                score[c_ids[None, :] >= ids[:, None]] = -np.inf
-            if min_score is not None:
-                score[score < min_score] = -np.inf
-            if take < len(c_ids):
-                # Columns are in id order: a stable choice among equal scores keeps the smallest ids.
-                kth = -np.partition(-score, take - 1, axis=1)[:, take - 1]
-                above = score > kth[:, None]
-                ties = score == kth[:, None]
-                keep = above | (ties & (np.cumsum(ties, axis=1) <= (take - above.sum(axis=1))[:, None]))
-                score = np.where(keep, score, -np.inf)
-            at, col = np.nonzero(np.isfinite(score))
-            found_q.append(ids[at])
-            found_c.append(c_ids[col])
-            found_s.append(score[at, col])
-        return pd.DataFrame({"query_id": np.concatenate(found_q), "neighbour_id": np.concatenate(found_c),
-                             "score": np.concatenate(found_s)})
+
+            def shut(q_first, q_last, c_first, c_last):
+                return np.unpackbits(bits[q_first:q_last], axis=1).take(part[c_first:c_last], axis=1) == 0
+        at, col, score = _best_places(q, c, exact_q, exact_c, min(k, len(c_ids)),
+                                      _hidden(q_ids, c_ids, exclude_self, earlier_only), shut, min_score)
+        return pd.DataFrame({"query_id": q_ids[at], "neighbour_id": c_ids[col], "score": score})
 
     def weigh(a, b):
         import numpy as np
@@ -262,11 +371,18 @@ def _search(visits: DataFrame, placed: DataFrame, corpus_rows: list, query_rows:
         total = np.zeros(len(a), np.int64)
         if len(a) and len(b):
             q_ids, c_ids, n = a["id"].to_numpy(), b["id"].to_numpy(), b["n"].to_numpy()
-            q, c, block = read(a["vec"]), read(b["vec"]), size_of(len(c_ids))
-            for start in range(0, len(q_ids), block):
-                score = np.round(q[start:start + block] @ c.T, digits) + 0.0
-                reached = (score >= min_score) & (q_ids[start:start + block, None] != c_ids[None, :])
-                total[start:start + block] = reached @ n
+            (q, exact_q), (c, exact_c) = read(a["vec"]), read(b["vec"])
+            slack, block = _slack(q.shape[1]), _block(RUN_ROWS)
+            for start in range(0, len(c), RUN_ROWS):
+                for first in range(0, len(q), block):
+                    score = q[first:first + block] @ c[start:start + RUN_ROWS].T
+                    flat = np.flatnonzero(score >= min_score - slack)
+                    at, col = np.divmod(flat, score.shape[1])
+                    at, col = at + first, col + start
+                    fine = score.ravel()[flat] >= min_score + slack
+                    fine[~fine] = _exact_scores(exact_q, exact_c, at[~fine], col[~fine]) >= min_score
+                    fine &= q_ids[at] != c_ids[col]
+                    np.add.at(total, at[fine], n[col[fine]])
         return pd.DataFrame({"query_id": a["id"], "links": total})
 
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key))

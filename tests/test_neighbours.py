@@ -132,3 +132,42 @@ def test_short_columns_do_not_multiply_with_the_rows(spark, monkeypatch):
     points = planted(8, rows=300)
     v = frame(spark, points)
     assert collected(B.nearest(v, v, 4, exclude_self=True, cells=3, column_rows=8)) == brute(points, points, 4, self_excluded=True)
+
+
+def _sides(q, c):
+    units = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    q, c = units(q), units(c)
+    return q.astype(np.float32), c.astype(np.float32), lambda at: q[at], lambda at: c[at], np.round(q @ c.T, B.SCORE_DIGITS) + 0.0
+
+
+def test_scores_closer_than_single_precision_are_told_apart(monkeypatch):
+    monkeypatch.setattr(B, "RUN_ROWS", 16)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1, 8))
+    c = np.concatenate([base + rng.normal(size=(90, 8)) * 1e-8, np.repeat(base, 40, axis=0), rng.normal(size=(30, 8))])
+    c = c[rng.permutation(len(c))]
+    q32, c32, exact_q, exact_c, score = _sides(np.concatenate([base, rng.normal(size=(20, 8))]), c)
+    for take, least in ((1, None), (7, None), (50, 0.2), (160, None), (5, 0.999999999)):
+        at, col, found = B._best_places(q32, c32, exact_q, exact_c, take, B._hidden(np.arange(21), np.arange(160), False, False), None, least)
+        wanted = [(i, j) for i in range(21) for j in sorted(range(160), key=lambda j: (-score[i, j], j))[:take]
+                  if least is None or score[i, j] >= least]
+        assert list(zip(at.tolist(), col.tolist())) == wanted
+        assert np.allclose(found, [score[p] for p in wanted], atol=1e-9)
+
+
+def test_hidden_rows_follow_identifiers_with_nulls_and_repeats():
+    ids = np.array(["a", "b", "b", "c", None], dtype=object)
+    first, last = B._hidden(np.array(["b", None, "x"], dtype=object), ids, True, False)
+    assert [(f, t) for f, t in zip(first, last)] == [(1, 3), (4, 5), (4, 4)]
+    first, last = B._hidden(np.array([2.0, np.nan]), np.array([1.0, 2.0, 3.0, np.nan]), True, True)
+    assert [(f, t) for f, t in zip(first, last)] == [(1, 3), (0, 0)]
+
+
+def test_a_large_k_takes_fewer_queries_a_task(spark, monkeypatch):
+    assert B._query_columns([1], [65_536], [65_536], [1], 10) == [1]
+    assert B._query_columns([1], [65_536], [65_536], [1], 960) == [30]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(1).normal(size=(60, 4)))]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>")
+    wanted = sorted(map(tuple, B.nearest(vectors, vectors, 30, exclude_self=True).collect()))
+    monkeypatch.setattr(B, "PAIRS_HELD", 300)
+    assert sorted(map(tuple, B.nearest(vectors, vectors, 30, exclude_self=True).collect())) == wanted and len(wanted) == 1800
