@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom.operators import embedding as E, inference as I
+from caseloom.session import prepare_session
 
 
 def tickets(spark):
@@ -91,3 +93,14 @@ def test_metrics_of_an_empty_run(spark):
              "latency_seconds double, started_at double, ended_at double")
     row = I.batch_metrics(spark.createDataFrame([], kinds)).first()
     assert row.total_tickets == 0 and row.avg_latency == 0.0 and row.tickets_per_minute == 0.0
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield batch[["n"]].iloc[:1].assign(n=len(batch))
+
+    prepare_session(spark)
+    long = spark.range(30).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("content"), F.lit(0).alias("n"))
+    found = [r.n for r in long.mapInPandas(sizes, "n int").collect()]
+    assert sum(found) == 30 and max(found) <= 9
