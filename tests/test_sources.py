@@ -87,3 +87,15 @@ def test_representative_texts_keep_rank_order(spark):
     reps = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "missing")], "cluster_id int, rank int, ticket_id string")
     texts = spark.createDataFrame([("a", "first"), ("b", "second")], "ticket_id string, text string")
     assert J.representative_texts(reps, texts).first().texts == ["first", "second"]
+
+
+def test_current_payloads_are_not_written_out_again(spark, capsys):
+    rows = [("1", '{"id":1,"v":"old"}', "2024-01-01", "a"), ("1", '{"id":1,"v":"new"}', "2024-01-02", "b"), ("2", "null", "2024-01-01", "a")]
+    stored = spark.createDataFrame(rows, "ticket_key string, payload string, at string, job_id string").select(
+        "ticket_key", "payload", F.col("at").cast("timestamp").alias("ingested_at"), "job_id", F.lit("s").alias("source"))
+    current = R.current_raw(R.parse_payloads(stored, "payload", "ticket_key", "ingested_at", "job_id", "source"))
+    assert current.columns == ["ticket_key", "ingested_at", "job_id", "source", "raw_payload"]
+    got = current.select("ticket_key", "job_id", F.try_variant_get("raw_payload", "$.v", "string")).collect()
+    assert sorted(map(tuple, got)) == [("1", "b", "new"), ("2", "a", None)]
+    current.explain("extended")
+    assert "to_json" not in capsys.readouterr().out
