@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from caseloom.operators.clusters import NOISE
 from caseloom.operators.components import components, numbered
 from caseloom.operators.density import GRAPH_NEIGHBOURS, MIN_CLUSTER_SIZE, MIN_SAMPLES, name_clusters
-from caseloom.operators.neighbours import SCORE_DIGITS, _block, _build_cells, _column_rows, _columns, _matrix_reader, nearest
+from caseloom.operators.neighbours import (
+    RUN_ROWS, _block, _build_cells, _column_rows, _columns, _exact_scores, _few_rows, _matrix_reader, _slack, _unit_reader, nearest)
 from caseloom.session import cut_lineage, written
 
 #: Edges or clusters that one task works off in sequence; longer tables are divided first.
@@ -38,6 +39,49 @@ def _edge(reach: Column, a: Column, b: Column) -> Column:
     return F.struct(reach.alias("reach"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
 
 
+def _least_reach(query, corpus, radius):
+    """(place, reach) per query: the nearest corpus row of another component within the radius, the first of equals.
+
+    A side is (unit vectors in single precision, function to exact ones, components, core distances).  Reaches are compared as
+    the scores that belong to them; what may be the least, less the slack of single precision, is made exact.
+    """
+    import numpy as np
+    (q, exact_q, q_owner, q_core), (c, exact_c, c_owner, c_core) = query, corpus
+    slack, block = 2 * _slack(q.shape[1]), _block(RUN_ROWS)
+    near = lambda length: 1 - length * length / 2
+    q_near, c_near = near(q_core).astype(np.float32), near(c_core).astype(np.float32)
+    floors = (near(radius) - slack).astype(np.float32)
+    place, least = np.zeros(len(q), np.int64), np.full(len(q), np.inf)
+    for begin in range(0, len(q), block):
+        rows = slice(begin, begin + block)
+        floor = floors[rows]
+        for start in range(0, len(c), RUN_ROWS):
+            run = slice(start, start + RUN_ROWS)
+            score = q[rows] @ c[run].T
+            np.minimum(score, c_near[None, run], out=score)
+            np.minimum(score, q_near[rows, None], out=score)
+            may = score >= floor[:, None]
+            if np.count_nonzero(may) > 4 * len(floor):
+                score[q_owner[rows, None] == c_owner[None, run]] = -np.inf
+                np.fmax(floor, score.max(axis=1) - np.float32(slack), out=floor)
+                may = score >= floor[:, None]
+            at, col = np.divmod(np.flatnonzero(may), score.shape[1])
+            at, col = at + begin, col + start
+            other = q_owner[at] != c_owner[col]
+            at, col = at[other], col[other]
+            if not len(at):
+                continue
+            length = np.sqrt(np.maximum(0.0, 2 - 2 * _exact_scores(exact_q, exact_c, at, col)))
+            reach = np.maximum(np.maximum(length, c_core[col]), q_core[at])
+            order = np.lexsort((col, reach, at))
+            order = order[np.diff(at[order], prepend=-1) > 0]
+            # Rows are in id order, so the first of equals has the smallest id.
+            order = order[reach[order] < least[at[order]]]
+            least[at[order]], place[at[order]] = reach[order], col[order]
+            floor[at[order] - begin] = np.maximum(floor[at[order] - begin], (near(reach[order]) - slack).astype(np.float32))
+    return place, least
+
+
 def _outside(queries: DataFrame, placed: DataFrame, layout, column_rows: int) -> DataFrame:
     """(component, edge): the least edge from any of the query rows to a row of another component, one row per task and query.
 
@@ -50,6 +94,7 @@ def _outside(queries: DataFrame, placed: DataFrame, layout, column_rows: int) ->
     sizes = [owners.get(c, (0, None, None))[0] for c in cells]
     alone = [owners[c][1] if c in owners and owners[c][1] == owners[c][2] else None for c in cells]
     pivots, low, high, read = layout.pivots, layout.nearest, layout.farthest, _matrix_reader()
+    few = _few_rows
     fields = [queries.schema[c] for c in ("id", "vec", "core", "component", "radius")]
 
     def plan(batches):
@@ -58,9 +103,7 @@ def _outside(queries: DataFrame, placed: DataFrame, layout, column_rows: int) ->
         single = len(pivots) <= 1
         table = None if single else np.asarray(pivots, dtype=np.float64)
         filled, near, far = np.asarray(sizes) > 0, np.asarray(low), np.asarray(high)
-        for batch in batches:
-            if len(batch) == 0:
-                continue
+        for batch in few(batches, len(pivots)):
             owner = batch["component"].to_numpy()
             visit = np.repeat(filled[None, :], len(batch), axis=0)
             if not single:
@@ -86,7 +129,7 @@ def _outside(queries: DataFrame, placed: DataFrame, layout, column_rows: int) ->
 
     left = spread(visits, "q_col", q_cols, "c_col", c_cols)
     right = spread(placed.select("id", "vec", "core", "component", "cell"), "c_col", c_cols, "q_col", q_cols)
-    kind, digits, size_of = queries.schema["id"].dataType, SCORE_DIGITS, _block
+    kind, unit, least = queries.schema["id"].dataType, _unit_reader(), _least_reach
     schema = T.StructType([T.StructField("id", kind), T.StructField("component", queries.schema["component"].dataType),
                            T.StructField("other", kind), T.StructField("reach", T.DoubleType())])
 
@@ -96,21 +139,11 @@ def _outside(queries: DataFrame, placed: DataFrame, layout, column_rows: int) ->
         parts = []
         if len(a) and len(b):
             b = b.sort_values("id", kind="stable")
-            ids, owners_, core = b["id"].to_numpy(), b["component"].to_numpy(), b["core"].to_numpy()
-            q, c = read(a["vec"]), read(b["vec"])
-            block = size_of(len(c))
-            for first in range(0, len(a), block):
-                some = a.iloc[first:first + block]
-                score = np.round(q[first:first + block] @ c.T, digits) + 0.0
-                reach = np.sqrt(np.maximum(0.0, 2 - 2 * score))
-                reach = np.maximum(np.maximum(reach, core[None, :]), some["core"].to_numpy()[:, None])
-                reach[some["component"].to_numpy()[:, None] == owners_[None, :]] = np.inf
-                # Rows are in id order, so the first of equals has the smallest id.
-                best = reach.argmin(axis=1)
-                least = reach[np.arange(len(some)), best]
-                fine = np.isfinite(least)
-                parts.append(pd.DataFrame({"id": some["id"].to_numpy()[fine], "component": some["component"].to_numpy()[fine],
-                                           "other": ids[best[fine]], "reach": least[fine]}))
+            sides = [(*unit(x["vec"]), x["component"].to_numpy(), x["core"].to_numpy()) for x in (a, b)]
+            best, reach = least(*sides, a["radius"].to_numpy())
+            fine = np.isfinite(reach)
+            parts.append(pd.DataFrame({"id": a["id"].to_numpy()[fine], "component": a["component"].to_numpy()[fine],
+                                       "other": b["id"].to_numpy()[best[fine]], "reach": reach[fine]}))
         return pd.concat(parts) if parts else pd.DataFrame({"id": a["id"].head(0), "component": a["component"].head(0), "other": b["id"].head(0), "reach": np.zeros(0)})
 
     found = left.groupBy("cell", "q_col", "c_col").cogroup(right.groupBy("cell", "q_col", "c_col")).applyInPandas(compare, schema)
@@ -343,7 +376,8 @@ def hierarchical_clusters(vectors: DataFrame, *, min_cluster_size: int = MIN_CLU
     rows = vectors.select("id", "vec").where(F.col("vec").isNotNull())
     if rows.limit(min_cluster_size).count() < min_cluster_size:
         return rows.limit(0).select("id", F.lit(NOISE).cast("bigint").alias("cluster_id"))
-    merges = dendrogram(spanning_edges(rows, min_samples=min_samples, **options), local_rows)
+    # Read anew: what the optimizer has estimated over the rounds of the tree would make each round of the dendrogram slower.
+    merges = dendrogram(written(spanning_edges(rows, min_samples=min_samples, **options)), local_rows)
     clusters, chains = condensed_tree(merges, min_cluster_size)
     if clusters.count() <= local_rows:
         chosen = _chosen_locally(clusters)

@@ -133,3 +133,22 @@ def test_few_rows_copies_and_zeros(spark):
     odd = spark.createDataFrame(rows, "id bigint, vec array<double>")
     sets, noise = found_sets(H.hierarchical_clusters(odd))
     assert sets == {frozenset(range(8)), frozenset(range(10, 18))} and noise == {30}
+
+
+def test_least_reach_is_that_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(H, "RUN_ROWS", 16)
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(70, 6))
+    points[10:30] = points[0] + rng.normal(size=(20, 6)) * 1e-8
+    points[30:40] = points[1]
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    owner, core = rng.integers(0, 4, 70), rng.choice([0.0, 0.3, 0.9], 70)
+    length = np.sqrt(np.maximum(0.0, 2 - 2 * np.round(points @ points.T, 9)))
+    reach = np.maximum(np.maximum(length, core[None, :]), core[:, None])
+    reach[owner[:, None] == owner[None, :]] = np.inf
+    side = (points.astype(np.float32), lambda at: points[at], owner, core)
+    place, least = H._least_reach(side, side, np.full(70, 2.0))
+    assert np.array_equal(place, reach.argmin(axis=1)) and np.allclose(least, reach.min(axis=1), atol=1e-7)
+    place, least = H._least_reach(side, side, np.full(70, 0.95))
+    near = reach.min(axis=1) <= 0.95
+    assert np.array_equal(place[near], reach.argmin(axis=1)[near]) and np.allclose(least[near], reach.min(axis=1)[near], atol=1e-7)
