@@ -9,7 +9,7 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from caseloom.llm.tasks import bytes_of, pieces, texts_of
+from caseloom.llm.tasks import bytes_of, pieces, texts_of, trimmed
 
 #: Bytes a trie may hold before it hands on (map side) or writes out (owner side) what it has.
 TRIE_BYTES = 48 << 20
@@ -253,8 +253,8 @@ def text_groups(documents: DataFrame, id_column: str = "doc_id", text_column: st
     """
     better = {"smallest": _smaller, "largest": _larger}[keep]
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    folded = rows.mapInArrow(_combine(better, lower, trie_bytes), _GROUPS)
-    owned = folded.repartition("n_bytes", "sha256").mapInArrow(_own(better, trie_bytes), _GROUPS)
+    folded = rows.mapInArrow(trimmed(_combine(better, lower, trie_bytes)), _GROUPS)
+    owned = folded.repartition("n_bytes", "sha256").mapInArrow(trimmed(_own(better, trie_bytes)), _GROUPS)
     return owned.drop("text")
 
 
@@ -269,7 +269,7 @@ def exact_duplicates(documents: DataFrame, id_column: str = "doc_id", text_colum
     """
     groups = text_groups(documents, id_column, text_column, lower, keep, trie_bytes)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    hashed = rows.mapInArrow(_hashes(lower), "id long, sha256 string, n_bytes long")
+    hashed = rows.mapInArrow(trimmed(_hashes(lower)), "id long, sha256 string, n_bytes long")
     joined = hashed.join(groups, ["sha256", "n_bytes"])
     turn = F.row_number().over(Window.partitionBy("sha256", "n_bytes", "id").orderBy("group_size"))
     return joined.select(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseloom.llm import textscan
 from caseloom.llm.passing import marked, neighbours, only, settle, table_of
-from caseloom.llm.tasks import bytes_of, pieces, texts_of
+from caseloom.llm.tasks import bytes_of, pieces, texts_of, trimmed
 from caseloom.operators.components import components
 from caseloom.session import cut_lineage
 
@@ -259,10 +259,10 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: Threshold, length: int
         return frame.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
     digests = only(texts, "id", ids(pairs), "id").mapInArrow(
-        _digests(threshold, length), "id long, digest struct<prefixes: binary, sketch: binary>")
-    left = cut_lineage(_with_ends(pairs, digests, "digest").mapInArrow(_may_link(threshold), "src long, dst long").distinct())
+        trimmed(_digests(threshold, length)), "id long, digest struct<prefixes: binary, sketch: binary>")
+    left = cut_lineage(_with_ends(pairs, digests, "digest").mapInArrow(trimmed(_may_link(threshold)), "src long, dst long").distinct())
     wanted = only(texts, "id", ids(left), "id")
-    return cut_lineage(_with_ends(left, wanted, "text").mapInArrow(_verified(threshold, length), "src long, dst long").distinct())
+    return cut_lineage(_with_ends(left, wanted, "text").mapInArrow(trimmed(_verified(threshold, length)), "src long, dst long").distinct())
 
 
 def _ends(links: DataFrame) -> DataFrame:
@@ -293,19 +293,19 @@ def shingle_components(documents: DataFrame, percent: int = 90, length: int = 3,
     # Below this size no other set is similar enough: one token more already lowers the share too far.
     least = next(n for n in range(1, 10_000) if threshold.holds(n, n, n + 1)) if percent < 100 else 10_000_000
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    folded = cut_lineage(rows.mapInArrow(_folds(length), "id long, n long, one long, two long"))
+    folded = cut_lineage(rows.mapInArrow(trimmed(_folds(length)), "id long, n long, one long, two long"))
     sets = folded.where("n > 0 AND id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
     named = rows.where("id IS NOT NULL")
 
     counts = "mark long, n long"
-    table = table_of(_frequent_tokens(named.mapInArrow(_counted(threshold, length, least, None), counts)))
+    table = table_of(_frequent_tokens(named.mapInArrow(trimmed(_counted(threshold, length, least, None)), counts)))
     sent = spark.sparkContext.broadcast(table)
-    table = table_of(_frequent_tokens(named.mapInArrow(_counted(threshold, length, least, sent), counts)), table)
+    table = table_of(_frequent_tokens(named.mapInArrow(trimmed(_counted(threshold, length, least, sent)), counts)), table)
     sent = spark.sparkContext.broadcast(table)
 
     reps = cut_lineage(sets.select("rep").distinct())
-    postings = named.mapInArrow(_prefixes(threshold, length, least, sent), _POSTINGS)
-    shared = postings.repartition("mark").sortWithinPartitions("mark").mapInArrow(_shared, "token long, id long, n int, pos int")
+    postings = named.mapInArrow(trimmed(_prefixes(threshold, length, least, sent)), _POSTINGS)
+    shared = postings.repartition("mark").sortWithinPartitions("mark").mapInArrow(trimmed(_shared), "token long, id long, n int, pos int")
     shared = cut_lineage(shared.join(reps, shared["id"] == reps["rep"], "left_semi"))
 
     hubs = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "id")).alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caseloom.llm.tasks import bytes_of, pieces, texts_of, worker_cache
+from caseloom.llm.tasks import bytes_of, pieces, texts_of, trimmed, worker_cache
 
 #: Bytes of a window; the last one of a text is filled up with zero bytes.
 WINDOW = 256
@@ -215,4 +215,4 @@ def filter_known(documents: DataFrame, network: ByteNetwork | None, least: float
             yield batch.filter(pa.array(known & (score >= least)))
 
     letters = F.coalesce(F.regexp_like(F.col(text_name).cast("string"), F.lit(r"\p{L}")), F.lit(False))
-    return plain.where(letters).mapInArrow(run, plain.schema).toDF(*documents.columns)
+    return plain.where(letters).mapInArrow(trimmed(run), plain.schema).toDF(*documents.columns)

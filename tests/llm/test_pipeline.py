@@ -67,3 +67,11 @@ def test_language_drops_what_another_operator_remembered():
     tasks.worker_cache("byte_bpe")["pieces"] = [1]
     language_id._predictor(None)
     assert tasks.worker_cache("language_id") == {} and "pieces" not in tasks.worker_cache("byte_bpe")
+
+
+def test_workers_give_free_memory_back_after_their_batches(monkeypatch):
+    from caseloom.llm import tasks
+    told = []
+    monkeypatch.setattr(tasks, "give_back", lambda: told.append("back"))
+    run = tasks.trimmed(lambda batches: (told.append(b) or b + 1 for b in batches))
+    assert list(run([1, 2])) == [2, 3] and told == [1, 2, "back"]
