@@ -107,3 +107,22 @@ def test_streaming_delta(spark, tmp_path):
              .trigger(availableNow=True).start())
     query.awaitTermination()
     assert sorted(r.ticket_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_seeds_are_made_once_for_all_batches(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    texts = spark.createDataFrame([("s1", "word1 issue"), ("s2", "word2 issue")], "ticket_id string, text string").mapInPandas(
+        count, "ticket_id string, text string")
+    seeds = embed(texts, "ticket_id", embedder=hash_embedder(16), dimension=16).selectExpr("*", "10L as cluster_id")
+    for n in (1, 2):
+        write(tmp_path / "in", f"{n}.txt", [event(n)])
+    store = store_at(tmp_path / "out", seeds=seeds)
+    run(spark, tmp_path / "in", store)
+    assert {(r.ticket_id, r.cluster_id) for r in I.current_tickets(spark, store).collect()} == {("1", 10), ("2", 10)}
+    assert made.value == 2
