@@ -126,7 +126,7 @@ def near_duplicate_groups(spark, folder):
 def near_duplicates_hashed(spark, folder):
     """Groups of near copies among all documents by hashed vectors; recall is measured in the tests."""
     documents = V.texts(spark, folder, "documents").select("doc_id", "text")
-    return L.hashed_groups(cut_lineage(E.embed(documents, "doc_id").withColumnRenamed("doc_id", "id")), 0.8)
+    return L.hashed_groups(E.embed(documents, "doc_id").withColumnRenamed("doc_id", "id"), 0.8)
 
 
 @named("duplicate_hit_rate", "WITH " + _SCORES + ", " + _top(20) + """,

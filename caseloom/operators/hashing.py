@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from caseloom.operators.components import components
 from caseloom.operators.joins import salted_join
-from caseloom.operators.neighbours import RUN_ROWS, _block, _exact_scores, _folded, _matrix_reader, _most_rows, _slack, _unit_reader
+from caseloom.operators.neighbours import RUN_ROWS, _block, _by_digest, _exact_scores, _marked, _matrix_reader, _most_rows, _slack, _unit_reader
 from caseloom.session import cut_and_free, cut_lineage
 
 BITS, BANDS = 10, 40
@@ -204,8 +204,8 @@ def hashed_groups(vectors: DataFrame, min_score: float, **options) -> DataFrame:
     Equal vectors are folded before hashing and always found.  Rows without a link, zero vectors and rows without a
     vector are left out.  ``duplicate_groups`` is the exact way beside it.
     """
-    marked, groups = _folded(vectors.where(F.col("vec").isNotNull()), min_score)
-    firsts = cut_lineage(groups.select(F.col("first_id").alias("id"), "vec", "n", "digest"))
+    marked = cut_lineage(_marked(vectors.where(F.col("vec").isNotNull()), min_score))
+    firsts = cut_lineage(_by_digest(marked).select(F.col("first_id").alias("id"), "vec", "n", "digest"))
     links = cut_lineage(similar_links(firsts, min_score, **options))
     labels = components(firsts.select(F.col("id").alias("node")), links)
     named = firsts.join(labels, firsts["id"] == labels["node"]).select("id", "digest", "n", F.col("component").alias("group_id"))

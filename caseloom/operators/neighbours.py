@@ -459,16 +459,26 @@ def _blank_answers(zero_queries: DataFrame, corpus: DataFrame, k: int, exclude_s
         "query_id", "neighbour_id", F.lit(0.0).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
-def _folded(vectors: DataFrame, min_score: float) -> tuple[DataFrame, DataFrame]:
-    """Vectors with a digest, and one row per different vector: its first id and its number of rows."""
+def _marked(vectors: DataFrame, min_score: float) -> DataFrame:
+    """Vectors with a digest; zero vectors are left out."""
     if min_score <= 0:
         raise ValueError("duplicates need a positive score")
-    marked = vectors.where(~is_zero(F.col("vec"))).select(
+    return vectors.where(~is_zero(F.col("vec"))).select(
         "id", "vec", F.md5(F.to_json(F.struct("vec"))).alias("digest"))
-    return marked, marked.groupBy("digest").agg(
+
+
+def _by_digest(marked: DataFrame) -> DataFrame:
+    """One row per different vector: its first id and its number of rows."""
+    return marked.groupBy("digest").agg(
         F.min("id").alias("first_id"), F.min_by("vec", "id").alias("vec"), F.count(F.lit(1)).alias("n"))
 
 
+def _folded(vectors: DataFrame, min_score: float) -> tuple[DataFrame, DataFrame]:
+    """Vectors with a digest, and one row per different vector."""
+    marked = _marked(vectors, min_score)
+    return marked, _by_digest(marked)
+
+
 def duplicate_edges(vectors: DataFrame, min_score: float, **layout) -> DataFrame:
     """(ticket, duplicate_of, score): the most similar earlier ticket at or above the score.
 
